@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.instants import with_source_instant
+from ..functions.shared import shared_dir
 from ..operators.gap_tree import cut_sessions, gap_tree
+from ..sources.incremental import Ledger, due_records
 
 #: table, row id, value, source of the zone
 TIMES = (
@@ -57,4 +60,31 @@ def p2_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found, "p2_settings": p2_settings, "p4_found": p4_found}
+#: source type of sync_runs, table, source key, record key, edit time, table of the zones
+VERSIONS = (
+    ("slite", "slite_pages", "default", "page_id", "last_edited_at"),
+    ("jira", "jira_tickets", "instance", "ticket_key", "updated"),
+    ("issues", "issues", "repo", "issue_number", "updated_at"),
+)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next run, as one batch of a ledger of its own: manifest, anti-join, batch by name, commit."""
+    zones, runs = table(spark, sf_dir, "source_zones"), table(spark, sf_dir, "sync_runs")
+
+    def versions(kind: str, tab: str, source: str, key: str, edit: str, rows: DataFrame) -> DataFrame:
+        where = None if source == "default" else source
+        df = rows.select(*([where] if where else []), key, edit, "fetched_at")
+        df = with_source_instant(df, edit, zones, tab, where, "edit_us")
+        src = F.col(where) if where else F.lit("default")
+        return df.select(F.lit(kind).alias("source_type"), src.alias("source_key"), F.col(key).cast("string").alias("record_key"), "fetched_at", "edit_us")
+
+    def work(new: dict[str, DataFrame]) -> DataFrame:
+        return due_records(reduce(DataFrame.unionByName, [versions(*v, new[v[1]]) for v in VERSIONS]), runs)
+
+    ledger = Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    found = ledger.run({v[1]: table(spark, sf_dir, v[1]) for v in VERSIONS}, work)
+    return found if found is not None else spark.createDataFrame([], "source_type string, source_key string, record_key string")
+
+
+QUERIES = {"p2_found": p2_found, "p2_settings": p2_settings, "p4_found": p4_found, "p6_found": p6_found}
