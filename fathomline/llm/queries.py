@@ -1,4 +1,23 @@
 """Queries of the training-data problems and the SQL beside them."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.instants import with_source_instant
+from .conversations import conversations
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "session_logs").select("session_id", "entry_id", "entry_type", "message", "entry_timestamp", "host")
+    timed = with_source_instant(rows, "entry_timestamp", table(spark, sf_dir, "source_zones"), "session_logs", "host")
+    return conversations(timed, "session_id", "entry_id", "entry_type", "message", "utc_us")
+
+
+QUERIES: dict = {"p7_found": p7_found}
 ORACLES: dict[str, str] = {}
