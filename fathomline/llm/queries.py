@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.instants import with_source_instant
 from .conversations import conversations
+from .cuts import flagged, share
+from .leaks import find_leaks
+from .tokens import encode
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,5 +22,22 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations(timed, "session_id", "entry_id", "entry_type", "message", "utc_us")
 
 
-QUERIES: dict = {"p7_found": p7_found}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = flagged(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return marked.filter("cut").select(F.col("key").alias("doc_id"))
+
+
+def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return share(flagged(table(spark, sf_dir, "documents"), "doc_id", "text", "source"))
+
+
+QUERIES: dict = {"p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_share": p10_share}
 ORACLES: dict[str, str] = {}
