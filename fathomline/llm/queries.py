@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions.instants import with_source_instant
 from .conversations import conversations
 from .cuts import flagged, share
 from .leaks import find_leaks
+from .personal import Lexicon, find_places, learn, redact
 from .tokens import encode
 
 
@@ -16,6 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tab, row_key, text) of the three tables with free text."""
+    keys = {"documents": "doc_id", "slack_messages": "msg_id", "chunks": "chunk_id"}
+    one = lambda tab, key: table(spark, sf_dir, tab).select(F.lit(tab).alias("tab"), F.col(key).cast("string").alias("row_key"), "text")
+    return reduce(DataFrame.unionByName, [one(*x) for x in keys.items()])
+
+
+def _lexicon(spark: SparkSession, sf_dir: str, texts: DataFrame) -> Lexicon:
+    jira = table(spark, sf_dir, "jira_tickets")
+    return learn(texts, [table(spark, sf_dir, "slack_users").select("real_name"), jira.select("reporter").distinct(), jira.select("assignee").distinct()])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _texts(spark, sf_dir)
+    return find_places(texts, _lexicon(spark, sf_dir, texts))
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _texts(spark, sf_dir)
+    return redact(texts, _lexicon(spark, sf_dir, texts))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "session_logs").select("session_id", "entry_id", "entry_type", "message", "entry_timestamp", "host")
     timed = with_source_instant(rows, "entry_timestamp", table(spark, sf_dir, "source_zones"), "session_logs", "host")
@@ -39,5 +64,5 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share(flagged(table(spark, sf_dir, "documents"), "doc_id", "text", "source"))
 
 
-QUERIES: dict = {"p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_share": p10_share}
+QUERIES: dict = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_share": p10_share}
 ORACLES: dict[str, str] = {}
