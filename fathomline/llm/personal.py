@@ -84,12 +84,17 @@ ADDRESS = re.compile(
     rf"|(?i:p\. ?o\. box|po box|post box|postfach|apartado|boîte postale) \d{{1,6}}{_TOWN}?"
     rf")"
 )
-_ADDRESS_HINT = re.compile(
-    r"(?i)straße|strasse|str\.|gasse|weg |platz |allee |box \d|postfach|apartado|postale|\b(?:rue|calle|avenida|plaza|paseo|camino|viale?|piazza|rua|chemin|impasse|quai)\b"
-    r"|\d[a-z]? [a-z][\w'’-]*(?: [a-z][\w'’-]*){0,2} " + _SUFFIX.replace("(?i:", "(?:")
-)
+#: Cheap tests for a text that may hold an address: a number before a capital and a kind of street, or a word that stands in one.
+_NUMBERED = re.compile(rf"\d[A-Za-z]? {_CAP}(?: {_CAP}){{0,2}} {_SUFFIX}")
+_STREETS = (
+    "straße", "strasse", "str. ", "gasse ", "weg ", "platz ", "allee ", "allée ", "box ", "postfach ", "apartado ", "postale ", "rue ", "avenue ", "boulevard ", "place ",
+    "chemin ", "impasse ", "quai ", "calle ", "avenida ", "plaza ", "paseo ", "camino ", "via ", "viale ", "piazza ", "rua ",
+)
 _DIGITS = re.compile(r"\d[\d ().-]{5,}|[A-Za-z]\d{8}")
-_CANDIDATE = re.compile(rf"(?:(\S+)[ \t]+)?(?<!\w)({_CAP},? (?:[A-Z]\. )?{_CAP})(?:[ \t]*([^\w\s]|[\w'’-]+))?")
+#: Capitalised words in a row; the last two are the candidate.
+_RUN = re.compile(rf"(?<!\w){_CAP}(?:(?:,? (?:[A-Z]\. )?){_CAP})+")
+_LAST_TWO = re.compile(rf"{_CAP},? (?:[A-Z]\. )?{_CAP}$")
+_AFTER = re.compile(r"[ \t]*([^\w\s]|[\w'’-]+)")
 
 
 @dataclass
@@ -122,9 +127,16 @@ def pairs_of(texts: list[str | None]) -> Counter:
     for t in texts:
         if not t:
             continue
-        for m in _CANDIDATE.finditer(t):
-            left, name, right = m.groups()
-            left, right = _word(left), _word(right)
+        for m in _RUN.finditer(t):
+            last = _LAST_TWO.search(m.group())
+            if not last:
+                continue
+            name, at = last.group(), m.start() + last.start()
+            line = t[max(0, at - 48) : at].rpartition("\n")[2]
+            before = line.split()
+            left = _word(before[-1]) if before and line[-1:] in " \t" else ""
+            after = _AFTER.match(t, m.end())
+            right = _word(after[1]) if after else ""
             # a pattern needs a word: the one before, or at the start of a line the one after
             if not (any(map(str.isalpha, left)) if left else right.isalpha()):
                 continue
@@ -280,7 +292,7 @@ class Finder:
             found += [(*m.span(), "email") for m in EMAIL_BRACKETS.finditer(t)]
         if " dot " in low:
             found += [(*m.span(), "email") for m in EMAIL_WORDS.finditer(t)]
-        if _ADDRESS_HINT.search(t):
+        if any(w in low for w in _STREETS) or _NUMBERED.search(t):
             found += [(*m.span(), "address") for m in ADDRESS.finditer(t)]
         if _DIGITS.search(t):
             found += [(*m.span(), "phone") for m in PHONE.finditer(t)]
