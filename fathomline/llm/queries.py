@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.instants import with_source_instant
 from .conversations import conversations
 from .cuts import flagged, share
+from .documented import pairs
+from .handwritten import not_by_hand
 from .leaks import find_leaks
 from .personal import Lexicon, find_places, learn, redact
 from .tokens import encode
@@ -19,6 +21,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "chunks").filter("collection = 'code_chunks'")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_pairs(spark, sf_dir).select("chunk_id", "func_name", "decl_line")
+
+
+def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(_code(spark, sf_dir), "chunk_id", "text", "metadata", "file_path")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_reasons(spark, sf_dir).select("repo", "file_path")
+
+
+def p3_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return not_by_hand(table(spark, sf_dir, "file_hashes"), _code(spark, sf_dir))
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tab, row_key, text) of the three tables with free text."""
     keys = {"documents": "doc_id", "slack_messages": "msg_id", "chunks": "chunk_id"}
@@ -64,5 +86,5 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share(flagged(table(spark, sf_dir, "documents"), "doc_id", "text", "source"))
 
 
-QUERIES: dict = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_share": p10_share}
+QUERIES: dict = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p3_found": p3_found, "p3_reasons": p3_reasons, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_share": p10_share}
 ORACLES: dict[str, str] = {}
