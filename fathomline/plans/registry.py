@@ -1,7 +1,7 @@
 """Everything that the core registers."""
 
-from . import problems
+from . import problems, reference
 
-FLAGSHIP = "p2_settings"
-QUERIES = {**problems.QUERIES}
-ORACLES: dict[str, str] = {}
+FLAGSHIP = "ret11_search"
+QUERIES = {**reference.QUERIES, **problems.QUERIES}
+ORACLES = {**reference.ORACLES, **problems.ORACLES}
