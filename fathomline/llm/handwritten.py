@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .documented import _HIDDEN, _LANGUAGE
+from ..functions.source_text import EXTENSIONS, HIDDEN
 
 SHARE, LIFT, FILES, REPOS = 0.25, 3.0, 8, 3  # a mined pattern: share of shown origin, against all files, files and repositories that have it
 HEAD_LINES = 15
@@ -164,7 +164,7 @@ def measures(text: str, lang: str | None, first_line: int) -> tuple[int, ...]:
             if not OURS.search(bare):
                 tool |= bool(GENERATED.search(bare))
                 vendor |= bool(VENDORED.search(bare))
-    hidden = _HIDDEN.get(lang or "", _HIDDEN["java"])
+    hidden = HIDDEN.get(lang or "", HIDDEN["java"])
     literals: list[str] = []
 
     def out(m: re.Match) -> str:
@@ -212,7 +212,7 @@ def evidence(chunks: DataFrame) -> DataFrame:
                 if isinstance(path, str) and isinstance(repo, str):
                     line = meta.get("line_start")
                     line = line if isinstance(line, int) else 1
-                    rows.append((repo, path, *measures(text, _LANGUAGE.get(path.rsplit(".", 1)[-1].lower()), line)))
+                    rows.append((repo, path, *measures(text, EXTENSIONS.get(path.rsplit(".", 1)[-1].lower()), line)))
             if rows:
                 kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * 8]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
