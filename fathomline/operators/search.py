@@ -16,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ def matching(**equal) -> Column:
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], k: int | None = None, out: str = "rank") -> DataFrame:
     """1-based rank within keys; k keeps the best (Catalyst limits each group before the shuffle)."""
-    df = df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    df = df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     return df.filter(F.col(out) <= k) if k else df
 
 
@@ -116,18 +117,32 @@ def nearest(items: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> Da
         return items.select("collection", "chunk_id", "embedding").mapInArrow(run, schema)
 
     if not rows:
-        return spark.createDataFrame([], schema + ", rank int")
+        return spark.createDataFrame([], schema + ", rank bigint")
     found = reduce(DataFrame.unionByName, [one(rows[i : i + BLOCK]) for i in range(0, len(rows), BLOCK)])
     return ranked(found, ["qid", "collection"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
-def hashed_vector(text: Column, dim: int = 64) -> Column:
-    """A deterministic embedding without a model: term counts in dim hashed places, length 1; blank texts give zeros."""
+def hashed_vectors(df: DataFrame, keys: list[str], text: str, dim: int = 64) -> DataFrame:
+    """(keys, embedding): term counts in dim hashed places, length 1; a deterministic embedding without a model.
+
+    Terms are hashed in the JVM; a batch is counted at once.  Blank and null texts give zeros.
+    """
     place = lambda t: (F.conv(F.substring(F.sha2(t, 256), 1, 7), 16, 10).cast("bigint") % dim).cast("int")
-    places = F.transform(tokens(text), place)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(places, lambda p: p == d)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = batch.column(len(keys))
+            n = batch.num_rows
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(places), 0).to_numpy(zero_copy_only=False)
+            flat = places.flatten().to_numpy(zero_copy_only=False)
+            x = np.bincount(np.repeat(np.arange(n), sizes) * dim + flat, minlength=n * dim).reshape(n, dim).astype(np.float64)
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keys))], lists], names=[*keys, "embedding"])
+
+    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", embedding array<double>"
+    return df.select(*keys, F.transform(tokens(F.col(text)), place).alias("p")).mapInArrow(run, schema)
 
 
 def fuse(legs: list[DataFrame], n: int, rrf_k: int = 60) -> DataFrame:
@@ -145,11 +160,17 @@ def merge_collections(hits: DataFrame, top_k: int, order: list[str]) -> DataFram
     return ranked(merged, ["qid"], [F.desc("score"), F.asc("__o"), F.asc("__r"), F.asc("chunk_id")], top_k).drop("__r", "__o")
 
 
-def lexical_score(query: Column, text: Column) -> Column:
-    """The default reranker: share of the query's terms in the text, plus a little for the terms' density."""
-    q, t = F.array_distinct(tokens(query)), tokens(text)
-    common = F.size(F.array_intersect(q, t))
-    return F.round(common / F.greatest(F.size(q), F.lit(1)) + 0.1 * F.size(F.filter(t, lambda x: F.array_contains(q, x))) / F.greatest(F.size(t), F.lit(1)), 9)
+def with_lexical_score(hits: DataFrame, query: str = "query", text: str = "text", out: str = "lexical") -> DataFrame:
+    """The default reranker: share of the query's terms in the text, plus a little for their density.
+
+    explode(array(x)) takes both texts apart once for each row, not once for each term.
+    """
+    terms = F.struct(F.array_distinct(tokens(F.col(query))).alias("q"), tokens(F.col(text)).alias("t"))
+    df = hits.withColumn("__x", F.explode(F.array(terms)))
+    q, t = F.col("__x.q"), F.col("__x.t")
+    common, held = F.size(F.array_intersect(q, t)), F.size(F.filter(t, lambda x: F.array_contains(q, x)))
+    score = common / F.greatest(F.size(q), F.lit(1)) + 0.1 * held / F.greatest(F.size(t), F.lit(1))
+    return df.withColumn(out, F.round(score, 9)).drop("__x")
 
 
 def rerank(hits: DataFrame, score: Column) -> DataFrame:

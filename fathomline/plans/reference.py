@@ -39,7 +39,7 @@ _SUFFIX = r"lower(regexp_extract(regexp_extract(p, '([^/\\]*)$', 1), '[^.](\.[^.
 _LANGUAGE = "CASE " + " ".join(f"WHEN sfx = '{k}' THEN '{v}'" for k, v in tx.LANGUAGES.items()) + " END"
 _EXCLUDED = " OR ".join(f"regexp_matches(p, '{tx.glob_regex(p)}')" for p in EXCLUDED)
 _GLOBS = ("**/*.md", "**/*.mdx", "**/*.txt", "**/*.rst", "**/*.html", "**/*.adoc")
-_TOKENS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}_]+'), t -> t <> '')"
+_TOKENS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}_]+'), lambda t: t <> '')"
 
 # ---- sources ----------------------------------------------------------------------------------------------------
 
@@ -166,7 +166,7 @@ e AS (SELECT msg_id, unnest(list_distinct(regexp_extract_all(text, '<@(U[A-Z0-9]
 r AS (SELECT msg_id, list({{'i': id, 'n': coalesce(name, id)}}) AS ms FROM e LEFT JOIN u ON id = user_id GROUP BY 1),
 s AS (SELECT m.*, coalesce(u.name, m.user_id, 'unknown') AS author, CASE WHEN (subtype IS NULL OR subtype NOT IN ({_NOISE})) AND trim(text) <> '' THEN
   '@' || coalesce(u.name, m.user_id, 'unknown') || ': ' || CASE WHEN ms IS NULL THEN trim(text) ELSE
-   list_reduce(list_prepend(trim(text), list_transform(ms, x -> '<@' || x.i || '>' || chr(1) || '@' || x.n)), (a, b) -> replace(a, split_part(b, chr(1), 1), split_part(b, chr(1), 2))) END END AS line
+   list_reduce(list_prepend(trim(text), list_transform(ms, lambda x: '<@' || x.i || '>' || chr(1) || '@' || x.n)), lambda a, b: replace(a, split_part(b, chr(1), 1), split_part(b, chr(1), 2))) END END AS line
  FROM m LEFT JOIN u USING (user_id) LEFT JOIN r USING (msg_id))"""
 
 
@@ -222,14 +222,14 @@ bm AS (SELECT *, row_number() OVER (PARTITION BY qid, collection ORDER BY score
  (SELECT qid, collection, doc_id AS chunk_id, round(sum(w), 9) AS score FROM w JOIN q USING (term) GROUP BY ALL))"""
 
 
-@query(f"WITH {_BM25} SELECT qid, collection, chunk_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10")
+@query(f"WITH {_BM25} SELECT qid, collection, chunk_id, score, rank FROM bm WHERE rank <= 10")
 def ret02_bm25(spark, sf):
     """RET-02, AGG-11: the ten best of each query in each collection by BM25."""
-    return search.bm25(_chunks(spark, sf), _queries(spark, sf), 10).withColumn("score", F.round("score", 6))
+    return search.bm25(_chunks(spark, sf), _queries(spark, sf), 10)
 
 
-@query("""WITH e AS (SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings),
-n AS (SELECT vec_id, list_transform(v, x -> x / sqrt(list_dot_product(v, v))) AS v FROM e),
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+n AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
 s AS (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, round(list_dot_product(q.v, c.v), 9) AS score FROM n q, n c WHERE q.vec_id % 100 = 0)
 SELECT qid, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""")
 def ret01_dense(spark, sf):
@@ -252,17 +252,15 @@ de AS (SELECT *, row_number() OVER (PARTITION BY qid, collection ORDER BY score
 
 def _legs(spark, sf, k):
     chunks, asked = _chunks(spark, sf), _queries(spark, sf)
-    items = chunks.select("collection", "chunk_id", search.hashed_vector(F.col("text")).alias("embedding"))
-    dense = search.nearest(items, asked.select("qid", search.hashed_vector(F.col("query")).alias("embedding")), k, 6)
-    return dense, search.bm25(chunks, asked, k)
+    items, vectors = search.hashed_vectors(chunks, ["collection", "chunk_id"], "text"), search.hashed_vectors(asked, ["qid"], "query")
+    return search.nearest(items, vectors, k, 6), search.bm25(chunks, asked, k)
 
 
 @query(f"WITH {_BM25}, {_DENSE} SELECT qid, collection, chunk_id, round(score, 6) AS score, rank FROM de WHERE rank <= 10")
 def enc01_hashed_dense(spark, sf):
     """ENC-01..03: the deterministic embedder, searched by cosine."""
-    chunks, asked = _chunks(spark, sf), _queries(spark, sf)
-    items = chunks.select("collection", "chunk_id", search.hashed_vector(F.col("text")).alias("embedding"))
-    return search.nearest(items, asked.select("qid", search.hashed_vector(F.col("query")).alias("embedding")), 10, 6)
+    items, vectors = search.hashed_vectors(_chunks(spark, sf), ["collection", "chunk_id"], "text"), search.hashed_vectors(_queries(spark, sf), ["qid"], "query")
+    return search.nearest(items, vectors, 10, 6)
 
 
 _RRF = """
@@ -301,14 +299,14 @@ def _found(spark, sf):
     """The merged list with texts and sources, reranked."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source", "section_path")
     hits = _merged(spark, sf).join(docs, "chunk_id").join(_queries(spark, sf), "qid")
-    return search.rerank(hits, search.lexical_score(F.col("query"), F.col("text")))
+    return search.rerank(search.with_lexical_score(hits), F.col("lexical")).drop("lexical")
 
 
 _RERANKED = rf"""
 rt AS (SELECT mg.qid, mg.collection, mg.chunk_id, mg.rank AS r0, d.source, d.text, d.section_path, list_distinct({_TOKENS.format("b.text")}) AS q, {_TOKENS.format("d.text")} AS t
  FROM mg JOIN documents d ON doc_id = chunk_id JOIN benchmark b ON item_id = qid WHERE mg.rank <= 20),
 rs AS (SELECT qid, collection, chunk_id, r0, source, text, section_path, round(len(list_intersect(q, list_distinct(t)))::DOUBLE / greatest(len(q), 1)
- + 0.1::DOUBLE * len(list_filter(t, x -> list_contains(q, x)))::DOUBLE / greatest(len(t), 1), 9) AS score FROM rt),
+ + 0.1::DOUBLE * len(list_filter(t, lambda x: list_contains(q, x)))::DOUBLE / greatest(len(t), 1), 9) AS score FROM rt),
 rr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, r0) AS rank FROM rs)"""
 
 
@@ -376,8 +374,8 @@ def enc04_postings(spark, sf):
     return p.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 
-@query("""SELECT vec_id, list_aggregate(list_transform(embedding, x -> round(x::DOUBLE * 127)::INT), 'sum')::BIGINT AS scalar_sum,
-len(list_filter(embedding, x -> x > 0))::BIGINT AS bits FROM embeddings""")
+@query("""SELECT vec_id, list_aggregate(list_transform(embedding, lambda x: round(x::DOUBLE * 127)::INT), 'sum')::BIGINT AS scalar_sum,
+len(list_filter(embedding, lambda x: x > 0))::BIGINT AS bits FROM embeddings""")
 def snk10_quantised(spark, sf):
     """SNK-10: vectors as bytes and as sign bits."""
     e = table(spark, sf, "embeddings")
@@ -396,7 +394,7 @@ def chk01_sections(spark, sf):
 
 
 @query(r"""WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(replace(text, chr(13), ''), '\n[ \t\n\x0b\f]*\n')) AS p, generate_subscripts(regexp_split_to_array(replace(text, chr(13), ''), '\n[ \t\n\x0b\f]*\n'), 1) AS i FROM documents
- WHERE text IS NOT NULL AND doc_id % 1 = 0)
+ WHERE text IS NOT NULL)
 SELECT doc_id, 'Paragraph ' || i AS section_path, length(trim(p, chr(32) || chr(9) || chr(10) || chr(11) || chr(12))) AS n FROM p WHERE trim(p, chr(32) || chr(9) || chr(10) || chr(11) || chr(12)) <> ''""")
 def chk02_paragraphs(spark, sf):
     """CHK-02: paragraphs of plain text; blank ones count in the labels only."""
@@ -529,14 +527,14 @@ def jon02_changes(spark, sf):
     return changes.file_changes(last(f.filter("last_indexed < timestamp_ntz'2025-09-01'")), last(f), ["repo", "file_path"], "hash")
 
 
-@query("""SELECT m.thread_ts AS root, m.channel_id, count(DISTINCT m.msg_id) AS n_replies, max(r.msg_id) AS root_id FROM slack_messages m
+@query("""SELECT m.thread_ts AS root, m.channel_id, count(DISTINCT m.msg_id) AS n_replies, coalesce(max(r.msg_id), 0) AS root_id FROM slack_messages m
 LEFT JOIN (SELECT channel_id, ts, max(msg_id) AS msg_id FROM slack_messages GROUP BY ALL) r ON r.ts = m.thread_ts AND r.channel_id = m.channel_id WHERE m.thread_ts IS NOT NULL GROUP BY ALL""")
 def jon05_threads(spark, sf):
     """JON-05: roots with their replies."""
     m = table(spark, sf, "slack_messages").select("channel_id", "ts", "msg_id", "thread_ts")
     roots = m.groupBy("channel_id", F.col("ts").alias("thread_ts")).agg(F.max("msg_id").alias("root_id"))
     replies = m.filter("thread_ts is not null").groupBy("channel_id", "thread_ts").agg(F.countDistinct("msg_id").alias("n_replies"))
-    return replies.join(roots, ["channel_id", "thread_ts"], "left").select(F.col("thread_ts").alias("root"), "channel_id", "n_replies", "root_id")
+    return replies.join(roots, ["channel_id", "thread_ts"], "left").select(F.col("thread_ts").alias("root"), "channel_id", "n_replies", F.coalesce("root_id", F.lit(0)).cast("bigint").alias("root_id"))
 
 
 @query("SELECT count(*) AS n_queries, round(coalesce(avg(value), 0), 6) AS avg_value, round(coalesce(max(value), 0), 6) AS max_value FROM events")
@@ -645,7 +643,7 @@ def fn11_entity_names(spark, sf):
     return table(spark, sf, "documents").filter("section_path is not null").select("doc_id", tx.entity_name(F.col("section_path")).alias("entity_name"))
 
 
-@query(r"""SELECT entry_id, regexp_replace(message, '(?s)<system-reminder>.*?</system-reminder>', '', 'g') AS message FROM (SELECT DISTINCT entry_id, message FROM session_logs WHERE message IS NOT NULL)""")
+@query(r"""SELECT entry_id, regexp_replace(regexp_replace(message, '(?s)<system-reminder>.*?</system-reminder>', '', 'g'), '(?s)<local-command-[A-Za-z0-9-]+>.*?</local-command-[A-Za-z0-9-]+>', '', 'g') AS message FROM (SELECT DISTINCT entry_id, message FROM session_logs WHERE message IS NOT NULL)""")
 def fn05_noise(spark, sf):
     """FN-05: texts without tagged noise."""
     m = table(spark, sf, "session_logs").filter("message is not null").select("entry_id", "message").distinct()
