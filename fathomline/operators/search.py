@@ -3,10 +3,9 @@
 All queries of a batch run as one plan.  Chunks are (collection, chunk_id, text, ...),
 queries (qid, query, ...).  Filters are applied to the chunks before either leg.
 
-Scale: postings are aggregated on the map side; only postings of the queries' terms are joined,
-by their measured size.  The dense leg reads the vectors in place: queries are shipped in
-blocks of bounded size, every partition keeps its k best for each query, and only these are
-shuffled.  No leg ever pairs a query with all chunks in a shuffle.
+Scale: both legs read the chunks in place.  Queries are shipped in blocks of bounded size, every
+batch of chunks keeps its k best for each query, and only these are shuffled; no leg ever pairs
+a query with all chunks in a shuffle.
 """
 
 from __future__ import annotations
@@ -24,6 +23,8 @@ K1, B = 1.2, 0.75
 TOKEN_SPLIT = r"[^\p{L}\p{N}_]+"
 #: Queries shipped in one pass of the dense leg.
 BLOCK = 4096
+#: Queries in one pass of the sparse leg, and chunks in one of its matrices.
+TEXT_BLOCK, ROWS = 512, 512
 
 
 def tokens(text: Column) -> Column:
@@ -55,20 +56,81 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> Data
     Okapi BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)) over the collection; a term counts
     once in a query.  Scores are rounded, so that ties don't hang on the order of sums;
     they break by chunk_id.
+
+    Two reads of the chunks, no shuffle of postings: the first counts the queries' terms (sums
+    for each collection and term), the second weighs each batch of chunks against a block of
+    queries as matrices and keeps the k best of the batch.
     """
-    sized = chunks.select("collection", "chunk_id", tokens(F.col("text")).alias("__t")).select("collection", "chunk_id", "__t", F.size("__t").alias("length"))
-    stats = sized.groupBy("collection").agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
-    terms = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    wanted = terms.select("term").distinct()
-    each = sized.select("collection", "chunk_id", "length", F.explode("__t").alias("term")).join(wanted, "term", "left_semi")
-    post = each.groupBy("collection", "chunk_id", "term", "length").agg(F.count("*").alias("tf"))
-    df = post.groupBy("collection", "term").agg(F.count("*").alias("df"))
-    idf = df.join(stats, "collection").select("collection", "term", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_length")
-    tf, length = F.col("tf"), F.col("length")
-    weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("avg_length")))
-    weighted = post.join(idf, ["collection", "term"]).select("collection", "chunk_id", "term", weight.alias("w"))
-    scored = weighted.join(terms, "term").groupBy("qid", "collection", "chunk_id").agg(F.round(F.sum("w"), digits).alias("score"))
-    return ranked(scored, ["qid", "collection"], [F.desc("score"), F.asc("chunk_id")], k)
+    spark = chunks.sparkSession
+    asked = [(r[0], r[1]) for r in queries.select("qid", F.array_distinct(tokens(F.col("query")))).toLocalIterator() if r[1]]
+    id_type, qid_type = chunks.schema["chunk_id"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
+    schema = f"qid {qid_type}, collection string, chunk_id {id_type}, score double"
+    if not asked:
+        return spark.createDataFrame([], schema + ", rank bigint")
+    split = chunks.select("collection", "chunk_id", tokens(F.col("text")).alias("t"))
+    sizes = {r[0]: (r[1], float(r[2] or 0)) for r in split.groupBy("collection").agg(F.count("*"), F.avg(F.size("t"))).toLocalIterator()}
+    terms = queries.select(F.explode(tokens(F.col("query"))).alias("term")).distinct()
+    counted = split.select("collection", F.explode(F.array_distinct("t")).alias("term")).join(terms, "term", "left_semi").groupBy("collection", "term").agg(F.count("*").alias("df"))
+    df: dict[str, dict[str, int]] = {}
+    for name, term, n in counted.toLocalIterator():  # terms of the queries x collections
+        df.setdefault(name, {})[term] = n
+
+    def one(block: list) -> DataFrame:
+        vocab: dict[str, int] = {}
+        for _, ts in block:
+            for t in ts:
+                vocab.setdefault(t, len(vocab))
+        wanted = np.zeros((len(vocab), len(block)), np.float64)
+        for j, (_, ts) in enumerate(block):
+            wanted[[vocab[t] for t in ts], j] = 1.0
+        idf = {}
+        for name, (n, _) in sizes.items():
+            d = np.array([df.get(name, {}).get(t, 0) for t in vocab], np.float64)
+            idf[name] = np.log1p((n - d + 0.5) / (d + 0.5))
+        shipped = spark.sparkContext.broadcast(([i for i, _ in block], vocab, wanted, idf, {c: v[1] for c, v in sizes.items()}))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, vocab, wanted, idf, mean = shipped.value
+            for batch in batches:
+                lists = batch.column(2)
+                length = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                coded = lists.flatten().dictionary_encode()
+                known = np.array([vocab.get(t, -1) for t in coded.dictionary.to_pylist()] or [-1], np.int64)
+                term = known[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+                row = np.repeat(np.arange(batch.num_rows), length)
+                row, term = row[term >= 0], term[term >= 0]
+                names = np.array(batch.column(0).to_pylist(), object)
+                for name in set(names.tolist()):
+                    at = np.flatnonzero(names == name)
+                    for lo in range(0, len(at), ROWS):
+                        part = at[lo : lo + ROWS]
+                        place = np.full(batch.num_rows, -1, np.int64)
+                        place[part] = np.arange(len(part))
+                        mine = place[row] >= 0
+                        tf = np.bincount(place[row[mine]] * len(vocab) + term[mine], minlength=len(part) * len(vocab)).reshape(len(part), -1).astype(np.float64)
+                        used = tf.any(axis=0)
+                        tf = tf[:, used]
+                        norm = K1 * (1 - B + B * length[part] / max(mean[name], 1e-9))
+                        score = np.round((tf * (K1 + 1) / (tf + norm[:, None]) * idf[name][used]) @ wanted[used], digits)
+                        yield from _best(score.T, k, ids, name, batch.column(1), part)
+
+        return split.mapInArrow(run, schema)
+
+    found = reduce(DataFrame.unionByName, [one(asked[i : i + TEXT_BLOCK]) for i in range(0, len(asked), TEXT_BLOCK)])
+    return ranked(found, ["qid", "collection"], [F.desc("score"), F.asc("chunk_id")], k)
+
+
+def _best(score: np.ndarray, k: int, ids: list, name: str | None, keys: pa.Array, at: np.ndarray, positive: bool = True) -> Iterator[pa.RecordBatch]:
+    """The k best of each row of scores (queries x chunks), with all that tie with the last."""
+    if score.shape[1] > k:
+        edge = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+        keep = score >= edge[:, None]
+    else:
+        keep = np.ones(score.shape, bool)
+    q, c = np.nonzero(keep & (score > 0) if positive else keep)
+    if len(q):
+        cols = [pa.array([ids[i] for i in q.tolist()]), pa.array([name] * len(q), pa.string()), keys.take(pa.array(at[c])), pa.array(score[q, c])]
+        yield pa.RecordBatch.from_arrays(cols, names=["qid", "collection", "chunk_id", "score"])
 
 
 def nearest(items: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> DataFrame:
@@ -103,16 +165,7 @@ def nearest(items: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> Da
                 for name in set(names.tolist()):
                     at = np.flatnonzero(names == name)
                     s = np.round(q @ (x[at] / norm[at, None]).T, digits)
-                    if len(at) > k:
-                        # all that tie with the k-th stay: the final order is decided over everything
-                        edge = np.partition(s, len(at) - k, axis=1)[:, len(at) - k]
-                        qi, ci = np.nonzero(s >= edge[:, None])
-                    else:
-                        qi, ci = (x.ravel() for x in np.indices(s.shape))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[i] for i in qi]), pa.array([name] * len(qi), pa.string()), part.column(1).take(pa.array(at[ci])), pa.array(s[qi, ci])],
-                        names=["qid", "collection", "chunk_id", "score"],
-                    )
+                    yield from _best(s, k, ids, name, part.column(1), at, positive=False)
 
         return items.select("collection", "chunk_id", "embedding").mapInArrow(run, schema)
 
