@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 K1, B = 1.2, 0.75
 TOKEN_SPLIT = r"[^\p{L}\p{N}_]+"
@@ -64,7 +65,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> Data
     spark = chunks.sparkSession
     asked = [(r[0], r[1]) for r in queries.select("qid", F.array_distinct(tokens(F.col("query")))).toLocalIterator() if r[1]]
     id_type, qid_type = chunks.schema["chunk_id"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
-    schema = f"qid {qid_type}, collection string, chunk_id {id_type}, score double"
+    schema, qid_arrow = f"qid {qid_type}, collection string, chunk_id {id_type}, score double", to_arrow_type(queries.schema["qid"].dataType)
     if not asked:
         return spark.createDataFrame([], schema + ", rank bigint")
     split = chunks.select("collection", "chunk_id", tokens(F.col("text")).alias("t"))
@@ -87,7 +88,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> Data
         for name, (n, _) in sizes.items():
             d = np.array([df.get(name, {}).get(t, 0) for t in vocab], np.float64)
             idf[name] = np.log1p((n - d + 0.5) / (d + 0.5))
-        shipped = spark.sparkContext.broadcast(([i for i, _ in block], vocab, wanted, idf, {c: v[1] for c, v in sizes.items()}))
+        shipped = spark.sparkContext.broadcast((pa.array([i for i, _ in block], qid_arrow), vocab, wanted, idf, {c: v[1] for c, v in sizes.items()}))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, vocab, wanted, idf, mean = shipped.value
@@ -120,7 +121,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> Data
     return ranked(found, ["qid", "collection"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
-def _best(score: np.ndarray, k: int, ids: list, name: str | None, keys: pa.Array, at: np.ndarray, positive: bool = True) -> Iterator[pa.RecordBatch]:
+def _best(score: np.ndarray, k: int, ids: pa.Array, name: str | None, keys: pa.Array, at: np.ndarray, positive: bool = True) -> Iterator[pa.RecordBatch]:
     """The k best of each row of scores (queries x chunks), with all that tie with the last."""
     if score.shape[1] > k:
         edge = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
@@ -129,7 +130,7 @@ def _best(score: np.ndarray, k: int, ids: list, name: str | None, keys: pa.Array
         keep = np.ones(score.shape, bool)
     q, c = np.nonzero(keep & (score > 0) if positive else keep)
     if len(q):
-        cols = [pa.array([ids[i] for i in q.tolist()]), pa.array([name] * len(q), pa.string()), keys.take(pa.array(at[c])), pa.array(score[q, c])]
+        cols = [ids.take(pa.array(q)), pa.array([name] * len(q), pa.string()), keys.take(pa.array(at[c])), pa.array(score[q, c])]
         yield pa.RecordBatch.from_arrays(cols, names=["qid", "collection", "chunk_id", "score"])
 
 
@@ -142,13 +143,13 @@ def nearest(items: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> Da
     """
     rows = [(r[0], r[1]) for r in queries.select("qid", "embedding").toLocalIterator() if r[1] and any(r[1])]
     qid_type, id_type = queries.schema["qid"].dataType.simpleString(), items.schema["chunk_id"].dataType.simpleString()
-    schema = f"qid {qid_type}, collection string, chunk_id {id_type}, score double"
+    schema, qid_arrow = f"qid {qid_type}, collection string, chunk_id {id_type}, score double", to_arrow_type(queries.schema["qid"].dataType)
     spark = items.sparkSession
 
     def one(block: list) -> DataFrame:
         q = np.array([v for _, v in block], np.float64)
         q /= np.linalg.norm(q, axis=1, keepdims=True)
-        shipped = spark.sparkContext.broadcast(([i for i, _ in block], q))
+        shipped = spark.sparkContext.broadcast((pa.array([i for i, _ in block], qid_arrow), q))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shipped.value
