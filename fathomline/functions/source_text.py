@@ -29,10 +29,18 @@ HIDDEN["typescript"] = HIDDEN["javascript"]
 
 ARGS = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
 _GENERIC = r"(?:<[^<>(){};]*(?:<[^<>(){};]*(?:<[^<>]*>[^<>]*)*>[^<>(){};]*)*>)"
-_NO_NAME = frozenset(
-    "if for while switch catch return new else do try throw typeof delete await yield in of instanceof function class super this import with "
-    "using lock fixed foreach synchronized assert match loop sizeof nameof when case default checked unchecked stackalloc var let const get set init add remove".split()
-)
+_NO_NAME = {
+    "javascript": frozenset(
+        "if for while switch catch return new else do try throw typeof delete await yield in of instanceof function class super this import with case default var let const".split()
+    ),
+    "java": frozenset(
+        "if for while switch catch return new else do try throw synchronized assert instanceof super this class interface enum import package case default".split()
+    ),
+    "csharp": frozenset(
+        "if for foreach while switch catch return new else do try throw using lock fixed checked unchecked sizeof typeof nameof stackalloc when in is as base this class interface struct enum namespace case default".split()
+    ),
+}
+_NO_NAME["typescript"] = _NO_NAME["javascript"]
 _JS_HEAD = r"(?:(?:public|private|protected|static|async|readonly|override|abstract|declare|accessor|get|set)\s+)*\*?\s*"
 _MODIFIERS = {
     "java": r"(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp|transient)",
@@ -95,11 +103,11 @@ def declarations(mask: str, lang: str) -> list[tuple[int, int, int, str]]:
     for pattern in DECLARED[lang]:
         for m in pattern.finditer(mask):
             name = m["name"]
-            if name in _NO_NAME:
+            if name in _NO_NAME.get(lang, ()):
                 continue
             if lang in ("java", "csharp"):
                 head, kind = m["head"] or "", m["type"]
-                if kind in _NO_NAME or (kind and kind.split("<")[0] in ("return", "new", "throw", "else", "await", "yield", "record", "class", "struct", "enum", "interface", "namespace")):
+                if kind in _NO_NAME[lang] or (kind and kind.split("<")[0] in ("return", "new", "throw", "else", "await", "yield", "record", "class", "struct", "enum", "interface", "namespace")):
                     continue
                 ends = mask[m.end() : m.end() + 1]
                 if kind is None and (ends not in ("{",) if not head.strip() else ends == ""):
