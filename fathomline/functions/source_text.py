@@ -27,7 +27,7 @@ HIDDEN = {
 }
 HIDDEN["typescript"] = HIDDEN["javascript"]
 
-ARGS = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
+ARGS = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
 _GENERIC = r"(?:<[^<>(){};]*(?:<[^<>(){};]*(?:<[^<>]*>[^<>]*)*>[^<>(){};]*)*>)"
 _NO_NAME = {
     "javascript": frozenset(
@@ -41,7 +41,7 @@ _NO_NAME = {
     ),
 }
 _NO_NAME["typescript"] = _NO_NAME["javascript"]
-_JS_HEAD = r"(?:(?:public|private|protected|static|async|readonly|override|abstract|declare|accessor|get|set)\s+)*\*?\s*"
+_JS_HEAD = r"(?:(?:public|private|protected|static|async|readonly|override|abstract|declare|accessor|get|set)\s+)*+(?:\*\s*)?"
 _MODIFIERS = {
     "java": r"(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp|transient)",
     "csharp": r"(?:public|private|protected|internal|static|virtual|override|abstract|async|sealed|extern|unsafe|new|partial|readonly)",
@@ -68,7 +68,10 @@ DECLARED = {
         re.compile(r"(?m)^[ \t]*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>[\w$]+)\s*(?=[<(])"),
         re.compile(rf"(?m)^[ \t]*(?:export\s+)?(?:const|let|var)\s+(?P<name>[\w$]+)\s*(?::[^=\n]+(?:=>[^=\n]+)?)?=\s*(?:async\s*)?(?:function\b|{_GENERIC}?\s*{ARGS}\s*(?::[^={{;\n]+)?=>|[\w$]+\s*=>)"),
         re.compile(rf"(?m)^[ \t]*(?:(?:public|private|protected|static|readonly|override|declare)\s+)*(?P<name>[\w$#]+)\s*(?::[^=\n;]+)?=\s*(?:async\s*)?(?:function\b|{_GENERIC}?\s*{ARGS}\s*(?::[^={{;\n]+)?=>)"),
-        re.compile(rf"(?m)^[ \t]*(?P<head>{_JS_HEAD})(?P<name>[\w$#]+)\s*{_GENERIC}?\s*{ARGS}\s*(?::\s*[^;=]+?)?\s*(?=\{{|\Z)"),
+        re.compile(
+            rf"(?m)^[ \t]*+(?P<head>{_JS_HEAD})(?!(?:if|for|while|switch|catch|return|with|function|await|new|throw|typeof|super|else|do)\b)(?P<name>[\w$#]++)\s*{_GENERIC}?\s*{ARGS}"
+            rf"\s*(?::[^;={{}}()\n]+(?:\{{[^{{}}\n]*\}}[^;={{}}\n]*)?)?\s*(?=\{{)"
+        ),
         re.compile(rf"(?m)^[ \t]*(?P<name>[\w$]+)\s*:\s*(?:async\s*)?(?:function\b\s*\*?[\w$]*\s*\(|{ARGS}\s*=>)"),
     ],
     "java": [_typed("java")],
