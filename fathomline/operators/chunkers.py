@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,32 +17,20 @@ from .windows import segments
 
 # Document suffix -> language; only markdown has sections.
 DOCUMENTS = {".md": "markdown", ".mdx": "markdown", ".txt": "text", ".rst": "rst", ".html": "html", ".adoc": "asciidoc"}
-_HEADING = re.compile(r"(#{1,4})\s+(.+)")
+_HEADING = re.compile(r"(?m)^(#{1,4})[^\S\n]+(.+)$")
 _PARAGRAPH = re.compile(r"\n\s*\n")
 
 
 def sections(text: str) -> list[tuple[str, str, int]]:
     """(path, content, level) of markdown; the path joins the open headings, a skipped level nests."""
-    out: list[tuple[str, str, int]] = []
-    titles: list[str] = []
-    body: list[str] = []
-    level = 0
-
-    def close() -> None:
-        content = "\n".join(body).strip()
-        if content:
-            out.append((" > ".join(titles) or "Document", content, level))
-
-    for line in text.split("\n"):
-        if m := _HEADING.fullmatch(line):
-            close()
-            level = len(m[1])
-            del titles[level - 1 :]
-            titles.append(m[2].strip())
-            body = []
-        else:
-            body.append(line)
-    close()
+    heads = list(_HEADING.finditer(text))
+    starts, ends = [0, *[m.end() for m in heads]], [*[m.start() for m in heads], len(text)]
+    levels, titles = [0, *[len(m[1]) for m in heads]], ["", *[m[2].strip() for m in heads]]
+    out, open_ = [], ()
+    for a, b, level, title in zip(starts, ends, levels, titles):
+        open_ = (*open_[: level - 1], title) if level else ()
+        if body := text[a:b].strip():
+            out.append((" > ".join(open_) or "Document", body, level))
     return out
 
 
@@ -58,32 +47,25 @@ def pack(content: str, most: int, overlap: int) -> list[str]:
     if len(content) <= most:
         return [content]
     out: list[str] = []
-    held = ""
 
-    def start(tail: str, joint: str, piece: str) -> str:
-        return tail[-overlap:] + joint + piece if overlap else piece
+    def grow(held: str, piece: str, joint: str) -> str:
+        """held with piece; where that is too long, held is given out and its tail goes on."""
+        if not held or len(held) + len(joint) + len(piece) <= most:
+            return held + joint + piece if held else piece
+        out.append(held.strip())
+        return held[-overlap:] + joint + piece if overlap else piece
 
+    held = ""
     for p in content.split("\n\n"):
-        if len(p) > most:
-            if held.strip():
-                out.append(held.strip())
-                held = ""
-            run = ""
-            for w in p.split(" "):
-                if run and len(run) + len(w) + 1 > most:
-                    out.append(run.strip())
-                    run = start(run, " ", w)
-                else:
-                    run = f"{run} {w}" if run else w
-            held = run if run.strip() else held
-        elif held and len(held) + len(p) + 2 > most:
+        if len(p) <= most:
+            held = grow(held, p, "\n\n")
+            continue
+        if held.strip():
             out.append(held.strip())
-            held = start(held, "\n\n", p)
-        else:
-            held = f"{held}\n\n{p}" if held else p
-    if held.strip():
-        out.append(held.strip())
-    return out
+            held = ""
+        rest = reduce(lambda run, word: grow(run, word, " "), p.split(" "), "")
+        held = rest if rest.strip() else held
+    return [*out, held.strip()] if held.strip() else out
 
 
 DOC_FIELDS = "chunk_id string, section_path string, section_index int, chunk_index int, text string, entity_name string"

@@ -26,6 +26,8 @@ TOKEN_SPLIT = r"[^\p{L}\p{N}_]+"
 BLOCK = 4096
 #: Queries in one pass of the sparse leg, and chunks in one of its matrices.
 TEXT_BLOCK, ROWS = 512, 512
+#: Queries in a batch; a larger one is refused.
+MOST_QUERIES = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -51,6 +53,14 @@ def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
     return each.groupBy("collection", "chunk_id", "term", "length").agg(F.count("*").alias("tf"))
 
 
+def _shipped(queries: DataFrame) -> list[tuple]:
+    """A batch of queries as rows on the driver, block by block on the workers; its size is checked, never cut."""
+    rows = [tuple(r) for r in queries.limit(MOST_QUERIES + 1).toLocalIterator()]
+    if len(rows) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries in a batch; search them in several batches")
+    return rows
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """(qid, collection, chunk_id, score, rank): the k best of each query in each collection.
 
@@ -63,7 +73,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> Data
     queries as matrices and keeps the k best of the batch.
     """
     spark = chunks.sparkSession
-    asked = [(r[0], r[1]) for r in queries.select("qid", F.array_distinct(tokens(F.col("query")))).toLocalIterator() if r[1]]
+    asked = _shipped(queries.select("qid", F.array_distinct(tokens(F.col("query"))).alias("t")).filter(F.size("t") > 0))
     id_type, qid_type = chunks.schema["chunk_id"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
     schema, qid_arrow = f"qid {qid_type}, collection string, chunk_id {id_type}, score double", to_arrow_type(queries.schema["qid"].dataType)
     if not asked:
@@ -141,7 +151,7 @@ def nearest(items: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> Da
     match nothing.  Vectors stay where they are: each batch is multiplied with a block of
     queries, keeps k for each query and collection, and the few left meet in one shuffle.
     """
-    rows = [(r[0], r[1]) for r in queries.select("qid", "embedding").toLocalIterator() if r[1] and any(r[1])]
+    rows = [(i, v) for i, v in _shipped(queries.select("qid", "embedding")) if v and any(v)]
     qid_type, id_type = queries.schema["qid"].dataType.simpleString(), items.schema["chunk_id"].dataType.simpleString()
     schema, qid_arrow = f"qid {qid_type}, collection string, chunk_id {id_type}, score double", to_arrow_type(queries.schema["qid"].dataType)
     spark = items.sparkSession
