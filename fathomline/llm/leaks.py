@@ -27,12 +27,14 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 RUN = 15  # consecutive words of an item that count
 SHARE = 0.8  # of the item's words in order, in one passage
 SEED = 3  # words in a seed
 RARE = 4  # items that may hold a seed
 BLOCK = 20_000  # items in one pass
+MOST = 1_000_000  # items in one call; more are refused, never cut
 
 _DROP = dict.fromkeys(map(ord, "­​‌‍⁠﻿'’‘ʼ`"))
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&(?:[a-z]+|#\d+);")
@@ -154,7 +156,9 @@ class Index:
 
 def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """(doc_id, item_id) of every document and test item that leaked into it."""
-    rows = [(r[0], r[1]) for r in items.select(item_id, item_text).dropDuplicates([item_id]).toLocalIterator() if r[0] is not None]
+    rows = [(r[0], r[1]) for r in items.filter(F.col(item_id).isNotNull()).select(item_id, item_text).dropDuplicates([item_id]).limit(MOST + 1).toLocalIterator()]
+    if len(rows) > MOST:
+        raise ValueError(f"more than {MOST} test items; take them in several calls")
     own = own_words(rows)
     blocks = [dict(list(own.items())[k : k + BLOCK]) for k in range(0, max(1, len(own)), BLOCK)]
     corpus = docs.select(doc_id, text)
