@@ -51,12 +51,12 @@ def _time(k: str) -> str:
 
 #: suffix of the group names -> branch
 _BRANCHES = {
+    "n": r"(?<n>\d{1,18})(?:\.(?<nf>\d+))?",
     "a": rf"(?<ya>\d{{4}})(?<sep>[-/.])(?<ma>\d{{1,2}})\k<sep>(?<da>\d{{1,2}})(?:(?:t|\s+|,\s*){_time('a')})?",
     "b": rf"(?<yb>\d{{4}})(?<mb>\d{{2}})(?<db>\d{{2}})t(?<Hb>\d{{2}})(?<Mb>\d{{2}})(?:(?<Sb>\d{{2}})(?:[.,](?<fb>\d+))?)?(?:\s*(?<zb>{_ZONE}))?",
     "c": rf"(?:[a-z]{{3,9}},?\s+)?(?<dc>\d{{1,2}})[\s-](?<mc>{_MONTH})[\s-](?<yc>\d{{4}}|\d{{2}})(?:,?\s+{_time('c')})?",
     "d": rf"(?<dd>\d{{1,2}})/(?<md>{_MONTH})/(?<yd>\d{{4}}|\d{{2}})(?:[\s:]+{_time('d')})?",
     "e": rf"(?:[a-z]{{3,9}},?\s+)?(?<me>{_MONTH})\s+(?<de>\d{{1,2}}),?\s+(?<ye>\d{{4}})(?:,?\s+(?:at\s+)?{_time('e')})?",
-    "n": r"(?<n>\d{1,18})(?:\.(?<nf>\d+))?",
 }
 PATTERN = r"(?i)^\s*(?:" + "|".join(_BRANCHES.values()) + r")\s*$"
 _FIELDS = {
@@ -86,7 +86,7 @@ def _components(value: Column) -> Column:
 
 def _days(y: Column, m: Column, d: Column) -> Column:
     """Days from 1970-01-01 of a proleptic Gregorian date, integers only."""
-    div = lambda a, b: F.floor(a / F.lit(b)).cast("long")
+    div = lambda a, b: F.call_function("div", a, F.lit(b))
     a = F.when(m <= 2, 1).otherwise(0)
     yy, mm = y + 4800 - a, m + 12 * a - 3
     return (d + div(153 * mm + 2, 5) + 365 * yy + div(yy, 4) - div(yy, 100) + div(yy, 400) - 32045 - 2440588).cast("long")
@@ -104,7 +104,7 @@ def with_instant(df: DataFrame, value_col: str, out: str = "utc_us", zone_col: s
     columns of df keep their names.
     """
     keep = df.columns
-    c, f, v = "__i_c", "__i_f", "__i_us"
+    c, f, h, v = "__i_c", "__i_f", "__i_h", "__i_us"
     raw = F.col(f"`{value_col}`").cast("string")
     # explode(array(x)) computes x once: neither a filter nor a projection above copies it below.
     df = df.select("*", F.explode(F.array(_components(raw))).alias(c))
@@ -132,24 +132,30 @@ def with_instant(df: DataFrame, value_col: str, out: str = "utc_us", zone_col: s
     valid = (y >= 1) & m.between(1, 12) & (d >= 1) & (d <= _month_days(y, m)) & hour.between(0, 23) & (M <= 59) & (S <= 59)
     local = F.when(valid, ((_days(y, m, d) * 24 + hour) * 60 + M) * 60000000 + S.cast("long") * 1000000 + F.coalesce(g("f"), F.lit(0)))
     z = g("z")
-    fixed = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])[F.upper(z)]
     off = r"(?i)^(?:utc|gmt)?([+-])(\d{1,2}):?(\d{2})?$"
-    oh, om = F.regexp_extract(z, off, 2).try_cast("int"), F.coalesce(F.regexp_extract(z, off, 3).try_cast("int"), F.lit(0))
-    minutes = F.when(z.rlike(off), F.when((oh <= 18) & (om <= 59), (oh * 60 + om) * F.when(F.regexp_extract(z, off, 1) == "-", -1).otherwise(1))).otherwise(fixed)
-    by_zone = lambda zone: F.when(
-        zone.isin(*zone_names()), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), zone))
-    )
+    offset = F.split(F.regexp_replace(z, off, f"$1{_SEP}$2{_SEP}$3"), _SEP, -1)
     own = F.coalesce(F.col(f"`{zone_col}`").cast("string"), F.lit("UTC")) if zone_col else F.lit("UTC")
+    # another barrier: the local time and the parts of the offset are computed once, whatever the zone is
+    df = df.select("*", F.explode(F.array(F.struct(local.alias("local"), offset.alias("o"), z.alias("z"), own.alias("own"), n.alias("n"), g("nf").alias("nf")))).alias(h)).drop(c, f)
+    k = lambda name: F.col(h)[name]
+    local, z, own, n, o = k("local"), k("z"), k("own"), k("n"), k("o")
+    oh, om = o[1].try_cast("int"), F.coalesce(o[2].try_cast("int"), F.lit(0))
+    shifted = F.when((oh <= 18) & (om <= 59), local - (oh * 60 + om) * F.when(o[0] == "-", -60000000).otherwise(60000000).cast("long"))
+    fixed = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])[F.upper(z)]
+    by_zone = lambda zone: F.when(zone.isin(*zone_names()), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), zone)))
     of_local = (
-        F.when(z.isNotNull(), F.when(minutes.isNotNull(), local - minutes.cast("long") * 60000000).otherwise(F.when(~z.rlike(off), by_zone(z))))
+        F.when(local.isNull(), None)
+        .when(F.size(o) == 3, shifted)
+        .when(z.contains("/"), by_zone(z))
+        .when(z.isNotNull(), local - fixed.cast("long") * 60000000)
         .when(own == "UTC", local)
         .otherwise(by_zone(own))
     )
-    frac = F.coalesce(g("nf"), F.lit(0)).cast("long")
+    frac = F.coalesce(k("nf"), F.lit(0)).cast("long")
     of_number = (
         F.when((n == 0) & (frac == 0), None)
         .when(n < 100_000_000_000, n * 1_000_000 + frac)
-        .when(n < 100_000_000_000_000, n * 1_000 + F.floor(frac / 1000).cast("long"))
+        .when(n < 100_000_000_000_000, n * 1_000 + F.call_function("div", frac, F.lit(1000)))
         .when(n < 100_000_000_000_000_000, n)
     )
     df = df.select("*", F.explode(F.array(F.when(n.isNotNull(), of_number).otherwise(of_local))).alias(v))
