@@ -86,6 +86,105 @@ class Engine:
         self.chunks.delete(written(stale.select("chunk_id", "collection"), "stale"))
         self.chunks.merge(new)
 
+    # ---- synced sources: landed rows in, chunks out; a cursor for each source
+
+    def cursor(self, source: str) -> DataFrame:
+        """(source_key, last_synced) of a kind of source."""
+        path = f"{self.root}/cursors"
+        fs, _ = self.chunks._fs()
+        if not fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(path)):
+            return self.spark.createDataFrame([], "source_key string, last_synced string")
+        rows = self.spark.read.schema("source string, source_key string, last_synced string").parquet(path).filter(F.col("source") == source)
+        return rows.groupBy("source_key").agg(F.max("last_synced").alias("last_synced"))  # appended, the greatest counts
+
+    def _fresh(self, rows: DataFrame, source: str, key: str, time_column: str, strict: bool = False) -> DataFrame:
+        """Rows not before their source's cursor (after it if strict); rows without a time always."""
+        seen = self.cursor(source).withColumnRenamed("source_key", "__k")
+        joined = rows.join(seen, F.col(key) == F.col("__k"), "left")
+        at = F.coalesce(F.col(time_column), F.lit(""))
+        newer = (at > F.col("last_synced")) if strict else (at >= F.col("last_synced"))
+        return joined.filter((at == "") | F.col("last_synced").isNull() | newer).drop("__k", "last_synced")
+
+    def _commit(self, rows: DataFrame, source: str, key: str, time_column: str) -> None:
+        """Moves cursors; written after the chunks, so a run that dies is repeated."""
+        last = rows.filter(F.coalesce(F.col(time_column), F.lit("")) != "").groupBy(F.col(key).cast("string").alias("source_key")).agg(F.max(time_column).alias("last_synced"))
+        last.select(F.lit(source).alias("source"), "source_key", "last_synced").write.mode("append").parquet(f"{self.root}/cursors")
+
+    def sync_issues(self, issues: DataFrame, comments: DataFrame | None = None) -> int:
+        """issues: repo, issue_number, title, body, labels, updated_at, pull_request?; comments: repo, issue_number, pos, user, body."""
+        from .functions.shared import written
+        from .functions.text import chunk_id
+
+        cfg = self.config.issues
+        if "pull_request" in issues.columns:
+            issues = issues.filter("pull_request is null")
+        if cfg.include_labels:
+            issues = issues.filter(F.arrays_overlap("labels", F.array(*map(F.lit, cfg.include_labels))))
+        if cfg.exclude_labels:
+            issues = issues.filter(~F.coalesce(F.arrays_overlap("labels", F.array(*map(F.lit, cfg.exclude_labels))), F.lit(False)))
+        new = written(changes.latest(self._fresh(issues, "issues", "repo", "updated_at"), ["repo", "issue_number"], [F.col("updated_at")]), "issues")
+        source = F.concat_ws("#", "repo", "issue_number")
+        number = F.concat(F.lit("issue"), F.col("issue_number").cast("string"))
+        about = new.withColumns({"chunk_id": chunk_id(F.col("repo"), number, "description", "0"), "chunk_type": F.lit("description"), "text": chunkers.issue_text(F.col("repo"), F.col("issue_number"), F.col("title"), F.col("body"), cfg.chunk_max_tokens)})
+        self.put("issue_descriptions", about, source)
+        if comments is not None:
+            said = comments.join(new.select("repo", "issue_number"), ["repo", "issue_number"], "left_semi")
+            said = said.withColumns({"chunk_id": chunk_id(F.col("repo"), number, "comment", F.col("pos")), "chunk_type": F.lit("comment"), "text": chunkers.comment_text(F.col("user"), F.concat(F.lit("#"), F.col("issue_number").cast("string")), F.col("body"), cfg.chunk_max_tokens)})
+            self.put("issue_discussions", said, source)
+        self._commit(new, "issues", "repo", "updated_at")
+        return new.count()
+
+    def sync_tickets(self, tickets: DataFrame) -> int:
+        """tickets: instance, ticket_key, summary, description (document tree), updated (comparable text)."""
+        from .functions.shared import written
+        from .functions.text import adf_text, chunk_id
+
+        new = written(changes.latest(self._fresh(tickets, "jira", "instance", "updated"), ["instance", "ticket_key"], [F.col("updated")]), "tickets")
+        rows = new.withColumns({"chunk_id": chunk_id(F.col("instance"), F.col("ticket_key"), "description", "0"), "chunk_type": F.lit("description"), "text": chunkers.ticket_text(F.col("instance"), F.col("ticket_key"), F.col("summary"), adf_text(F.col("description")))})
+        self.put("jira_descriptions", rows, F.concat_ws(":", "instance", "ticket_key"))
+        self._commit(new, "jira", "instance", "updated")
+        return new.count()
+
+    def sync_pages(self, pages: DataFrame) -> int:
+        """pages: page_id, title, url, last_edited_at, content; pages at the cursor are known, pages without a time are always taken."""
+        from .functions.shared import written
+
+        keyed = pages.withColumn("__source", F.lit("default"))
+        new = written(changes.latest(self._fresh(keyed, "slite", "__source", "last_edited_at", strict=True), ["page_id"], [F.col("last_edited_at")]), "pages")
+        cfg = self.config.documents
+        rows = chunkers.document_chunks(new, "page_id", "content", "page_id", "slite", cfg.chunk_max_tokens, cfg.overlap_tokens, markdown=True)
+        self.put("slite_pages", rows.withColumn("chunk_type", F.lit("slite_page")), F.col("page_id"))
+        self._commit(new, "slite", "__source", "last_edited_at")
+        return new.count()
+
+    def sync_changes(self, prs: DataFrame, files_: DataFrame, comments: DataFrame) -> int:
+        """prs: repo, pr_number, title, body, updated_at; files_ and comments as chunkers.change_chunks takes them."""
+        from .functions.shared import written
+
+        new = written(changes.latest(self._fresh(prs, "prs", "repo", "updated_at"), ["repo", "pr_number"], [F.col("updated_at")]), "prs")
+        keys = new.select("repo", "pr_number")
+        of_new = lambda df: df.join(keys, ["repo", "pr_number"], "left_semi")
+        rows = written(chunkers.change_chunks(new, of_new(files_), of_new(comments), self.config.issues.chunk_max_tokens), "changes")
+        for name in ("pr_diffs", "pr_discussions"):
+            self.put(name, rows.filter(F.col("collection") == name), F.concat_ws("#", "repo", "pr_number"))
+        self._commit(new, "prs", "repo", "updated_at")
+        return new.count()
+
+    def sync_chat(self, messages: DataFrame) -> None:
+        """messages as chunkers.chat_chunks takes them: whole channels, a channel's chunks are replaced."""
+        cfg = self.config.chat
+        rows = messages.filter(F.col("channel_id").isin(*cfg.channels)) if cfg.channels else messages
+        self.put("slack_messages", chunkers.chat_chunks(rows, cfg.gap_minutes * 60, cfg.window_cap, cfg.chunk_max_tokens), F.col("channel_id"))
+
+    def sync_sessions(self, entries: DataFrame) -> None:
+        """entries as chunkers.session_chunks takes them: whole sessions, a session's chunks are replaced."""
+        self.put("session_logs", chunkers.session_chunks(entries, self.config.sessions.chunk_max_tokens), F.col("session_id"))
+
+    def views(self) -> None:
+        """Chunks and collections as temporary views, for spark.sql."""
+        self.chunks.read().createOrReplaceTempView("chunks")
+        self.status().createOrReplaceTempView("collections")
+
     def remove_repo(self, repo: str) -> None:
         from .functions.shared import written
 

@@ -102,7 +102,7 @@ def document_chunks(docs: DataFrame, key: str, text: str, path: str | Column, pr
 
     path = F.col(path) if isinstance(path, str) else path
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col(text).cast("string"), path.cast("string")).mapInArrow(run, f"{key} {kind}, {DOC_FIELDS}")
+    return docs.select(key, F.col(text).cast("string").alias("__t"), path.cast("string").alias("__p")).mapInArrow(run, f"{key} {kind}, {DOC_FIELDS}")
 
 
 def hunks(patch: Column) -> Column:

@@ -35,3 +35,30 @@ def test_index_search_change_remove(spark, tmp_path):
     assert e.evaluate(cases).first().mrr == 1.0
     e.remove_repo("app")
     assert e.chunks.read().count() == 0 and e.state.read().count() == 0
+
+
+def test_sync(spark, tmp_path):
+    e = Engine(spark, f"{tmp_path}/index", buckets=1)
+    issues = "repo string, issue_number int, title string, body string, labels array<string>, updated_at string"
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    first = [("r", 1, "Bug", "broken", ["bug"], "2025-01-01"), ("r", 2, "Old", None, [], "2025-01-02"), ("r", 1, "Bug", "older", [], "2024-01-01")]
+    said = make([("r", 1, 0, "ann", "me too"), ("r", 1, 1, "bob", "same")], "repo string, issue_number int, pos int, user string, body string")
+    assert e.sync_issues(make(first, issues), said) == 2
+    # the second run: one is new, one at the cursor comes again, its comment is gone
+    assert e.sync_issues(make([("r", 1, "Bug", "fixed", ["bug"], "2025-02-01"), ("r", 9, "Before", "x", [], "2024-05-05"), ("r", 2, "Old", None, [], "2025-01-02")], issues), said.filter("pos = 0")) == 2
+    got = {(r.collection, r.issue_number): r.text for r in e.chunks.read().filter("collection = 'issue_descriptions'").collect()}
+    assert got == {("issue_descriptions", 1): "[r #1] Bug\n\nfixed", ("issue_descriptions", 2): "[r #2] Old\n\n"}
+    assert [r.text for r in e.chunks.read("issue_discussions").collect()] == ["Comment by ann on #1:\n\nme too"]
+    pages = "page_id string, title string, url string, last_edited_at string, content string"
+    assert e.sync_pages(make([("p", "T", "u", "2025-01-01", "# A\nx"), ("q", "T", "u", "", "y")], pages)) == 2
+    assert e.sync_pages(make([("p", "T", "u", "2025-01-01", "# A\nx"), ("q", "T", "u", "", "y")], pages)) == 1  # at the cursor: known; without a time: again
+    assert e.sync_tickets(make([("i", "K-1", "S", '{"type": "doc", "content": []}', "2025")], "instance string, ticket_key string, summary string, description string, updated string")) == 1
+    prs = make([("r", 5, "P", "b", "2025")], "repo string, pr_number int, title string, body string, updated_at string")
+    files = make([("r", 5, 0, "a.py", None, "@@ 1\n+x\n@@ 2\n-y"), ("r", 5, 1, "b.py", "added", None)], "repo string, pr_number int, file_pos int, filename string, status string, patch string")
+    talk = make([("r", 5, 0, "ann", "a.py", "nit")], "repo string, pr_number int, pos int, user string, path string, body string")
+    assert e.sync_changes(prs, files, talk) == 1
+    e.views()
+    counts = {r.collection: r.n_chunks for r in spark.sql("select collection, n_chunks from collections").collect()}
+    assert counts == {"issue_descriptions": 2, "issue_discussions": 1, "slite_pages": 2, "jira_descriptions": 1, "pr_diffs": 3, "pr_discussions": 1}
+    e.reset()
+    assert e.status().count() == 0
