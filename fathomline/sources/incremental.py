@@ -129,6 +129,7 @@ def due_records(rows: DataFrame, runs: DataFrame) -> DataFrame:
     spread over its records, repeated versions collapse on the map side.
     """
     c = cutoffs(runs)
+    rows = rows.select("source_type", "source_key", "record_key", "fetched_at", "edit_us")
     on = [rows["source_type"] == c["source_type"], rows["source_key"].eqNullSafe(c["source_key"])]
     marked = rows.join(c, on, "left").select(
         rows["source_type"], rows["source_key"], "record_key", "edit_us",

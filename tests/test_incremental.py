@@ -41,6 +41,7 @@ def test_due(spark):
     runs = spark.sql(
         f"select 'a' source_type, 'x' source_key, 'ok' run_state, {t.format(2)} committed_until union all select 'a', 'x', 'failed', {t.format(9)} union all select 'a', 'none', 'failed', {t.format(9)} union all select 'a', 'x', 'ok', {t.format(1)}"
     )
+    rows = rows.withColumn("cutoff", F.lit("clash")).withColumn("done", F.lit(1))
     assert sorted(r.record_key for r in due_records(rows, runs).collect()) == ["any", "blank", "first", "newer", "unread"]
     assert due_records(rows.limit(0), runs).count() == 0
     assert due_records(rows, runs.limit(0)).count() == 7
