@@ -167,7 +167,6 @@ def chat_chunks(messages: DataFrame, gap_s: int = 1800, cap: int = 50, max_token
     messages: channel_id, channel_name, ts (text), us, msg_id, line (null: noise), author, root
     (the thread's ts for roots and replies, else null).  A window ends at a gap above gap_s or
     at cap messages; noise counts toward both.  Chunks without a line are left out.
-    A thread's lines meet in one group, its size is bounded by what a chat holds in a thread.
     """
     from pyspark.sql import Window
 
@@ -178,14 +177,19 @@ def chat_chunks(messages: DataFrame, gap_s: int = 1800, cap: int = 50, max_token
     first = F.first("ts").over(Window.partitionBy("channel_id", "__w").orderBy("us", "msg_id"))
     windows = cut.withColumn("key", first).withColumn("chunk_type", F.lit("slack_window")).drop("rn", "break_rn", "__w")
     every = threads.unionByName(windows)
-    order = F.struct("us", "msg_id", "line", "author")
-    grouped = every.groupBy("channel_id", "channel_name", "chunk_type", "key").agg(F.array_sort(F.collect_list(order)).alias("m"))
-    lines = F.transform(F.filter("m", lambda x: x["line"].isNotNull()), lambda x: x["line"])
+    own = ["channel_id", "channel_name", "chunk_type", "key"]
+    # a text is cut at a length, so only the lines that reach it are collected; a thread of any size stays spread
+    before = Window.partitionBy(*own).orderBy("us", "msg_id").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))
+    lines = every.filter("line is not null").withColumn("__seen", seen).filter(F.col("__seen") <= max_tokens * CHARS_PER_TOKEN)
+    lines = lines.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("us", "msg_id", "line"))).alias("l"))
+    authors = every.groupBy(*own, "author").agg(F.min(F.struct("us", "msg_id")).alias("at"), F.count("*").alias("n")).groupBy(*own)
+    authors = authors.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "author"))), lambda x: x["author"]).alias("participants"), F.sum("n").alias("n_messages"))
     label = F.when(F.col("chunk_type") == "slack_thread", "thread").otherwise("conversation")
-    body = F.concat(F.lit("[#"), F.col("channel_name"), F.lit("] "), label, F.lit(":\n"), F.array_join(lines, "\n"))
-    return grouped.filter(F.size(lines) > 0).select(
+    body = F.concat(F.lit("[#"), F.col("channel_name"), F.lit("] "), label, F.lit(":\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
+    return lines.join(authors, own).select(
         chunk_id("slack", F.col("channel_id"), F.col("key")).alias("chunk_id"), "channel_id", "channel_name", "chunk_type", F.col("key").alias("ts"), truncated(body, max_tokens).alias("text"),
-        F.array_distinct(F.transform("m", lambda x: x["author"])).alias("participants"), permalink(F.col("channel_id"), F.col("key")).alias("permalink_path"), F.size("m").alias("n_messages"),
+        "participants", permalink(F.col("channel_id"), F.col("key")).alias("permalink_path"), "n_messages",
     )
 
 
@@ -199,6 +203,10 @@ def session_chunks(entries: DataFrame, max_tokens: int = 512) -> DataFrame:
 
     e = entries.withColumn("bucket", F.floor(F.col("us") / 86_400_000_000).cast("bigint")).withColumn("__p", F.coalesce(F.col("prompt") != "", F.lit(False)))
     cut = segments(e, ["session_id"], ["us", "entry_id"], "bucket", flag="__p").filter("break_rn is not null")
+    # a text is cut at a length: answers behind it aren't collected
+    before = Window.partitionBy("session_id", "break_rn").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.coalesce(F.sum(F.coalesce(F.length("answer"), F.lit(0))).over(before), F.lit(0))
+    cut = cut.withColumn("__seen", seen).filter(F.col("__seen") <= max_tokens * CHARS_PER_TOKEN)
     said = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("rn", "prompt", "answer"))), lambda x: x["answer"]), lambda a: a != "")
     grouped = cut.groupBy("session_id", "break_rn").agg(F.max(F.when(F.col("rn") == F.col("break_rn"), F.col("prompt"))).alias("prompt"), F.min("us").alias("us"), said.alias("answers"))
     full = grouped.filter((F.size("answers") > 0) & F.col("prompt").isNotNull())
