@@ -66,12 +66,18 @@ FAMILIES = (
 )
 
 
+def _any_of(patterns: tuple[str, ...]) -> str:
+    """One expression for all patterns; those that begin at a word's edge share the test for it."""
+    edge = [p[2:] for p in patterns if p.startswith(r"\b")]
+    return "|".join([r"\b(?:" + "|".join(edge) + ")", *[p for p in patterns if not p.startswith(r"\b")]])
+
+
 def intent(query: Column) -> Column:
     """The first family with a pattern in the query, 'all' without one; a null query is 'all'."""
     low = F.lower(query)
     out = F.lit("all")
     for name, _, patterns in reversed(FAMILIES):
-        out = F.when(low.rlike("|".join(patterns)), name).otherwise(out)
+        out = F.when(low.rlike(_any_of(patterns)), name).otherwise(out)
     return out
 
 
