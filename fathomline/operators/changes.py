@@ -33,8 +33,9 @@ def file_changes(previous: DataFrame, current: DataFrame, keys: list[str], mark:
 
 def run_stats(changes: DataFrame, scanned: DataFrame) -> DataFrame:
     """One row of counters of an indexing run."""
-    n = scanned.agg(F.count("*").alias("files_scanned"))
-    c = changes.agg(
-        F.count_if(F.col("change").isin("added", "changed")).alias("files_indexed"), F.count_if(F.col("change") == "removed").alias("files_removed"),
+    each = scanned.select(F.lit("scanned").alias("change")).unionByName(changes.select("change"))
+    counted = each.agg(
+        F.count_if(F.col("change") == "scanned").alias("files_scanned"), F.count_if(F.col("change").isin("added", "changed")).alias("files_indexed"),
+        F.count_if(F.col("change") == "removed").alias("files_removed"),
     )
-    return n.crossJoin(F.broadcast(c)).withColumn("files_skipped", F.col("files_scanned") - F.col("files_indexed"))  # one row each
+    return counted.withColumn("files_skipped", F.col("files_scanned") - F.col("files_indexed"))
