@@ -248,12 +248,12 @@ def mine(files: DataFrame) -> DataFrame:
     parts = files.select("repo", F.col("origin").isNotNull().cast("int").alias("hit"), F.explode(path_parts(F.col("path"))).alias("part"))
     per = parts.groupBy("part", "repo").agg(F.sum("hit").alias("hits"), F.count("*").alias("files")).groupBy("part")
     per = per.agg(F.sum("hits").alias("hits"), F.sum("files").alias("files"), F.count_if(F.col("hits") > 0).alias("repos"))
-    usual = files.agg(F.avg(F.col("origin").isNotNull().cast("int")).alias("usual"))
+    usual = files.agg(F.avg(F.col("origin").isNotNull().cast("int"))).first()[0] or 0.0  # one number
     share = F.col("hits") / F.col("files")
     # lower bound of the share, two deviations down
     low = share - 2 * F.sqrt(share * (1 - share) / F.col("files"))
-    keep = (F.col("files") >= FILES) & (F.col("repos") >= REPOS) & (low >= SHARE) & (low >= LIFT * F.col("usual"))
-    return per.crossJoin(F.broadcast(usual)).filter(keep).select("part")  # one row with one number
+    keep = (F.col("files") >= FILES) & (F.col("repos") >= REPOS) & (low >= SHARE) & (low >= LIFT * usual)
+    return per.filter(keep).select("part")
 
 
 def by_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
