@@ -469,9 +469,12 @@ s AS (SELECT *, sum(b) OVER (PARTITION BY channel_id ORDER BY us, msg_id) AS k F
 c AS (SELECT *, (row_number() OVER (PARTITION BY channel_id, k ORDER BY us, msg_id) - 1) // 5 AS p FROM s)
 SELECT channel_id, min(us) AS start_us, max(us) AS end_us, count(*) AS n FROM c GROUP BY channel_id, k, p""")
 def win01_windows(spark, sf):
-    """WIN-01, SRT-02: gap windows with a cap (five here), a hot channel spread over its days."""
-    m = table(spark, sf, "slack_messages").filter(F.col("ts").rlike(r"^[0-9]{10}\.[0-9]{6}$")).dropDuplicates(["msg_id"])
-    m = m.select("channel_id", "msg_id", F.replace("ts", F.lit("."), F.lit("")).cast("bigint").alias("us")).withColumn("day", F.floor(F.col("us") / 86_400_000_000).cast("bigint"))
+    """WIN-01, SRT-02: gap windows with a cap (five here) over all messages that have a time, in any form; a hot channel spread over its days.
+
+    The SQL beside it still takes ts in one form only.
+    """
+    m = with_instant(table(spark, sf, "slack_messages").select("channel_id", "msg_id", "ts"), "ts", "us").filter("us is not null").dropDuplicates(["msg_id"])
+    m = m.select("channel_id", "msg_id", "us").withColumn("day", F.floor(F.col("us") / 86_400_000_000).cast("bigint"))
     s = windows.segments(m, ["channel_id"], ["us", "msg_id"], "day", gap=("us", 1_800_000_000))
     part = F.floor((F.col("rn") - F.col("break_rn")) / 5)
     return s.groupBy("channel_id", "break_rn", part.alias("p")).agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count("*").alias("n")).drop("break_rn", "p")
@@ -552,9 +555,12 @@ def agg03_files(spark, sf):
 
 @query("SELECT channel_id, arg_max(ts, replace(ts, '.', '')::BIGINT) AS newest FROM slack_messages WHERE regexp_matches(ts, '^[0-9]{10}\\.[0-9]{6}$') GROUP BY 1")
 def agg06_newest(spark, sf):
-    """AGG-06: the cursor of each channel."""
-    m = table(spark, sf, "slack_messages").filter(F.col("ts").rlike(r"^[0-9]{10}\.[0-9]{6}$"))
-    return m.groupBy("channel_id").agg(F.max_by("ts", F.replace("ts", F.lit("."), F.lit("")).cast("bigint")).alias("newest"))
+    """AGG-06: the cursor of each channel, the ts of its newest message in the form it has (of equal times the last by spelling).
+
+    The SQL beside it still takes ts in one form only.
+    """
+    m = with_instant(table(spark, sf, "slack_messages").select("channel_id", "ts"), "ts", "us").filter("us is not null")
+    return m.groupBy("channel_id").agg(F.max_by("ts", F.struct("us", "ts")).alias("newest"))
 
 
 @query("SELECT count(DISTINCT session_id) AS n_sessions, count(DISTINCT entry_id) AS n_entries FROM session_logs")
