@@ -179,9 +179,14 @@ def score_names(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def judge_numbers(pairs: DataFrame) -> DataFrame:
-    """(pattern, is_id): words before numbers; a word that never stands before a clear one is none of a label."""
+    """(pattern, is_id): words before numbers.
+
+    Only a word of OTHER_NUMBERS is none of a label, unless clear numbers follow it as well. That none follows
+    another word says nothing: a label may be used with one kind alone.
+    """
     g = pairs.filter("kind = 'idnum'").groupBy("pattern").agg(F.count_if("clear").alias("clear"), F.count("*").alias("held"))
-    return g.filter(F.col("held") >= 3).select("pattern", (F.col("clear") >= 0.02 * F.col("held")).alias("is_id"))
+    named = F.col("pattern").isin(*OTHER_NUMBERS)
+    return g.filter(F.col("held") >= 3).select("pattern", (~named | (F.col("clear") >= 0.02 * F.col("held"))).alias("is_id"))
 
 
 def full_names(people: list[DataFrame]) -> DataFrame:
