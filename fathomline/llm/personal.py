@@ -47,6 +47,8 @@ _AT = r"(?:\s?[(\[{<]\s?at\s?[)\]}>]\s?)"
 _DOT = r"(?:\s?[(\[{<]\s?(?:dot|punkt|point)\s?[)\]}>]\s?)"
 EMAIL = re.compile(rf"(?<![\w.%+@-]){_LOCAL}@(?:{_LABEL}\.)+[A-Za-z]{{2,24}}(?![\w-]|\.\w|:[\w~/]|@)")
 EMAIL_BRACKETS = re.compile(rf"(?i)(?<![\w.%+@-]){_LOCAL}{_AT}{_LABEL}(?:(?:{_DOT}|\.){_LABEL})+(?![\w-])")
+#: Cheap test for a text that may hold one: the end of _AT, in a text in lower case.
+_AT_END = re.compile(r"at\s?[)\]}>]")
 EMAIL_WORDS = re.compile(rf"(?i)(?<![\w.%+@-]){_LOCAL} at {_LABEL}(?: dot {_LABEL})+(?![\w-])")
 
 PHONE = re.compile(
@@ -293,7 +295,7 @@ class Finder:
         if "@" in t:
             found += [(*m.span(), "email") for m in EMAIL.finditer(t)]
         low = t.lower()
-        if "at)" in low or "at]" in low or "at }" in low or "at }" in low or "at>" in low:
+        if _AT_END.search(low):
             found += [(*m.span(), "email") for m in EMAIL_BRACKETS.finditer(t)]
         if " dot " in low:
             found += [(*m.span(), "email") for m in EMAIL_WORDS.finditer(t)]

@@ -14,3 +14,9 @@ def test_label_of_one_kind_keeps_its_numbers(spark, n):
     finder = personal.Finder(personal.learn(spark.createDataFrame(texts, "text string"), [spark.createDataFrame([], "n string")]))
     t = texts[0][0]
     assert [(k, t[a:b]) for a, b, k in finder.places(t)] == [("idnum", number(0)), ("idnum", "X10000000")]
+
+
+@pytest.mark.parametrize("closing", [")", "]", "}", ">", " )", " ]", " }", " >", "\t}", " ]"])
+def test_every_disguised_address_is_searched(closing):
+    text = f"write to jane ({closing.replace(closing.strip(), '')}at{closing} corp.com today"
+    assert [(k, text[a:b]) for a, b, k in personal.Finder(personal.Lexicon()).places(text)] == [("email", text[9:-6])]
