@@ -1,14 +1,14 @@
 """Evaluation texts leaking into training text.
 
-Rare word n-grams of the test items are the seeds that join passages of the corpus to
-items; a pair found by seeds is scored by Smith-Waterman alignment over words, which
-finds edited copies.  A run of words that long that it counts by itself is found by its
+An index of the test items' words joins passages of the corpus to items: a text that
+holds the words of so large a share of an item, in any order, is scored by Smith-Waterman
+alignment over words, which finds edited copies.  A run of words that long that it counts by itself is found by its
 own n-gram.
 
 The test items are a stated query set of any size, taken in blocks of ``BLOCK`` items
 whose index travels with the function (a bound on what is shipped); the corpus is read
-in place, without a shuffle.  Seeds are rare within the items, so a phrase shared by
-many items brings no candidates; the bound below makes that safe.
+in place, without a shuffle.  A pair that counts passes the index by necessity, so it
+leaves nothing out.
 
 Defined results: null or empty texts and items match nothing; repeated rows give
 repeated pairs; a sentence shared by several items belongs to none, and an item that
@@ -31,8 +31,6 @@ from pyspark.sql import functions as F
 
 RUN = 15  # consecutive words of an item that count
 SHARE = 0.8  # of the item's words in order, in one passage
-SEED = 3  # words in a seed
-RARE = 4  # items that may hold a seed
 BLOCK = 20_000  # items in one pass
 MOST = 1_000_000  # items in one call; more are refused, never cut
 
@@ -85,31 +83,34 @@ def aligned(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class Index:
-    """Seeds of one block of items."""
+    """Words and runs of one block of items."""
 
     def __init__(self, items: dict[int, list[str]]):
         self.vocab: dict[str, int] = {}
         self.items = {}
-        seeds: dict[int, set[int]] = {}
         runs: dict[int, set[int]] = {}
         for i, ws in items.items():
             if ws:
                 ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws], np.int64)
                 self.items[i] = ids
-                for h in self._grams(ids, SEED):
-                    seeds.setdefault(int(h), set()).add(i)
                 for h in self._grams(ids, RUN):
                     runs.setdefault(int(h), set()).add(i)
-        rare = {h: tuple(x) for h, x in seeds.items() if len(x) <= RARE}
-        self.seed_items, self.run_items = rare, {h: tuple(x) for h, x in runs.items()}
-        self.seed_keys = np.array(sorted(rare), np.int64)
+        self.run_items = {h: tuple(x) for h, x in runs.items()}
         self.run_keys = np.array(sorted(runs), np.int64)
-        held = Counter(i for x in rare.values() for i in x)
-        # Of n words in order, a fifth changed, about 0.4 n of the n-grams of three stay whole; of
-        # these the share that is rare.  A quarter of that is asked, and two at least.
-        self.need = {i: max(2, int(0.1 * held[i])) for i in self.items}
-        # an item without enough rare seeds is aligned with every text that has half of its words
-        self.bare = [i for i in self.items if held[i] < 8]
+        # by word: the items that hold it and how often
+        self.order = list(self.items)
+        posts = [(w, k, c) for k, i in enumerate(self.order) for w, c in zip(*np.unique(self.items[i], return_counts=True))]
+        at, self.holders, self.times = np.array(sorted(posts), np.int64).reshape(-1, 3).T
+        self.starts = np.searchsorted(at, np.arange(len(self.vocab) + 2))
+        self.need = np.array([SHARE * len(self.items[i]) for i in self.order])
+
+    def _holding(self, ids: np.ndarray) -> list[int]:
+        """Items of whose words, each as often as the item has it, the text holds a share of SHARE at least."""
+        w = np.unique(ids[ids > 0])
+        first, n = self.starts[w], self.starts[w + 1] - self.starts[w]
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        held = np.bincount(self.holders[at], self.times[at], len(self.order))
+        return [self.order[k] for k in np.flatnonzero(held >= self.need)]
 
     @staticmethod
     def _grams(ids: np.ndarray, n: int) -> np.ndarray:
@@ -141,14 +142,8 @@ class Index:
         if whole.any():
             for h in self._among(self._grams(ids, RUN)[whole], self.run_keys):
                 found.update(self.run_items[int(h)])
-        hits = Counter()
-        for h in np.unique(self._among(self._grams(ids, SEED), self.seed_keys)):
-            hits.update(self.seed_items[int(h)])
-        todo = [i for i, k in hits.items() if k >= self.need[i]]
-        for i in {*todo, *self.bare} - found:
+        for i in set(self._holding(ids)) - found:
             item = self.items[i]
-            if len(np.intersect1d(item, ids)) * 2 < len(np.unique(item)):
-                continue
             if aligned(item, ids) >= SHARE * len(item):
                 found.add(i)
         return sorted(found)
