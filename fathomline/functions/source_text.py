@@ -70,8 +70,10 @@ DECLARED = {
         re.compile(rf"(?m)^[ \t]*(?:(?:public|private|protected|static|readonly|override|declare)\s+)*(?P<name>[\w$#]+)\s*(?::[^=\n;]+)?=\s*(?:async\s*)?(?:function\b|{_GENERIC}?\s*{ARGS}\s*(?::[^={{;\n]+)?=>)"),
         re.compile(
             rf"(?m)^[ \t]*+(?P<head>{_JS_HEAD})(?!(?:if|for|while|switch|catch|return|with|function|await|new|throw|typeof|super|else|do)\b)(?P<name>[\w$#]++)\s*{_GENERIC}?\s*{ARGS}"
-            rf"\s*(?::[^;={{}}()\n]+(?:\{{[^{{}}\n]*\}}[^;={{}}\n]*)?)?\s*(?=\{{)"
+            rf"(?:\s*:(?:[^;={{}}()]++|{ARGS})++(?:\{{[^{{}}\n]*\}}[^;={{}}\n]*)?\s*(?=\{{|\Z)|\s*(?=\{{))"
         ),
+        # a text that ends at the signature: without a modifier or a type it is no other than a call
+        re.compile(rf"(?m)^[ \t]*+(?P<head>{_JS_HEAD.replace(')*+', ')++')})(?!(?:if|for|while|switch|catch|return|with|function|await|new|throw|typeof|super|else|do)\b)(?P<name>[\w$#]++)\s*{_GENERIC}?\s*{ARGS}\s*\Z"),
         re.compile(rf"(?m)^[ \t]*(?P<name>[\w$]+)\s*:\s*(?:async\s*)?(?:function\b\s*\*?[\w$]*\s*\(|{ARGS}\s*=>)"),
     ],
     "java": [_typed("java")],
