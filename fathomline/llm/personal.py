@@ -1,20 +1,30 @@
 """Personal data in free text: places of names, e-mail addresses, phone numbers, identity numbers and addresses.
 
-Bootstrapped contextual extraction.  Seed entities - the people known from tables, and
-identity numbers of unmistakable shape - induce lexical patterns (the words beside them).
-Spark scores the graph of patterns and instances in a few rounds: a pattern is as good as the
-share of its instances believed, an instance as good as the patterns that hold it.
-Patterns of high confidence then add unseen names to the lexicon, and decide on numbers whose
-shape alone is ambiguous.  The last pass finds every place.
-
-Scale: two scans of the text.  The first counts (pattern, instance) pairs within each
-batch before anything is shuffled; the graph is as large as the vocabulary of contexts, not
-as the text.  Lexicon and verdicts on patterns are shipped to the workers; they are
-bounded (``MOST``) and the run stops with an error beyond, it doesn't drop entries.
+Bootstrapped contextual extraction.  One scan of the text collects a graph of patterns (the words
+beside a candidate) and instances (the candidates).  Spark scores it in rounds:
+
+* names: the seeds are the full names of known people.  A pattern is as good as the share of its
+  instances believed; good patterns make unseen pairs and the single parts of names believed,
+  which make further patterns good.  Only parts that the graph believes are found in other
+  company, with an initial or in another order; of a known person nothing but the full name is
+  found without it.
+* numbers: the seeds are numbers of a shape that nothing else has (for) and plain numbers of shapes
+  that no personal number has (against).  A word that is followed by plain numbers, and by hardly
+  any clear ones, counts things: ambiguous numbers behind it are none.  There is no list of
+  such words, nor of labels.
+
+The last pass finds every place.
+
+Scale: two scans of the text.  The first counts (pattern, instance) pairs within each batch before
+anything is shuffled; plain numbers are counted by pattern alone, so the graph is as large as the
+vocabulary of contexts, not as the text.  Each round is written, so lineage doesn't grow.  To the
+workers go the parts of names believed, the known people not covered by them and the words found to count things;
+their number is checked (``MOST``) and the run stops with an error beyond, it doesn't drop entries.
 
 Defined results: null and empty texts have no places; positions count code points from 1;
 repeated rows give repeated places; of overlapping places the longer wins, e-mail before
-address, number and name; a text of any length is read whole.
+address, number and name; a text of any length is read whole; an ambiguous number in a context
+of which nothing is known is one.
 """
 
 from __future__ import annotations
@@ -26,15 +36,17 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import written
 
 ROUNDS = 3
 TRUST = 0.8  # confidence of a pattern from which its instances count
-BOTH = 2  # different trusted patterns that must hold an unseen name
-SUPPORT = 5  # instances of a pattern before it counts
+BOTH = 2  # edges of trusted patterns that must hold an unseen name, or a part of one
+SUPPORT = 5  # edges of a pattern before it counts
+COUNTS = 0.02  # a word with a smaller share of clear numbers counts things
+REACH = 256  # characters in which the two words before a number are looked for; only whole words count
 MOST = 2_000_000  # entries of the lexicon
 
 PLACEHOLDER = {"email": "<EMAIL>", "phone": "<PHONE>", "idnum": "<ID>", "address": "<ADDRESS>", "name": "<NAME>"}
@@ -55,7 +67,7 @@ PHONE = re.compile(
     r"(?<![\w.+#/-])(?<!\d[ ])(?:"
     r"\+\d{1,3}(?:[ .-]?\(\d{1,5}\))?(?:[ .-]?\d{2,5}){2,5}"
     r"|(?:1[ .-])?\(\d{3}\) ?\d{3}[ .-]\d{4}"
-    r"|(?:1[.-])?\d{3}[.-]\d{3}[.-]\d{4}"
+    r"|(?:\d{1,3}[.-])?\d{3}[.-]\d{3}[.-]\d{4}"
     r"|(?:1 )?\d{3} \d{3} \d{4}"
     r"|0\d(?:[ .]\d{2}){4}"
     r"|0\d{2,4}[ /-]\d{5,8}"
@@ -70,8 +82,11 @@ _ID_SHAPES = {
 IDNUM = re.compile(r"(?<![\w.#/+-])(?<!\d )(?:" + "|".join(f"(?P<{k}>{v})" for k, v in _ID_SHAPES.items()) + r")(?![\w]|[-./]\w| \d)")
 #: Shapes that hardly anything else has: the seeds among the numbers.
 CLEAR_SHAPES = frozenset(["nino"])
-#: Words before a number that make it something else.
-OTHER_NUMBERS = frozenset("build version release rev revision ver order ticket issue port epoch trace sku part ref job run commit batch".split())
+
+
+def _clear_phone(number: str) -> bool:
+    return number[0] in "+("
+
 
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w'’-]*"
 _UNIT = r"(?i:flat|apt|apartment|unit|suite|ste|room|appt)\.? ?#?\w{1,5}"
@@ -92,7 +107,10 @@ _STREETS = (
     "straße", "strasse", "str. ", "gasse ", "weg ", "platz ", "allee ", "allée ", "box ", "postfach ", "apartado ", "postale ", "rue ", "avenue ", "boulevard ", "place ",
     "chemin ", "impasse ", "quai ", "calle ", "avenida ", "plaza ", "paseo ", "camino ", "via ", "viale ", "piazza ", "rua ",
 )
-_DIGITS = re.compile(r"\d[\d ().-]{5,}|[A-Za-z]\d{8}")
+#: Cheap test for a text that may hold a personal number: a digit and five more characters that stand in one.
+_DIGITS = re.compile(r"\d[\d ()./-]{5,}|[A-Za-z]\d{8}")
+#: Any number that stands by itself.
+_NUMBER = re.compile(r"(?<![\w.,:/@#+-])\d[\d.,:/-]*(?![\w@])")
 #: Capitalised words in a row; the last two are the candidate.
 _RUN = re.compile(rf"(?<!\w){_CAP}(?:(?:,? (?:[A-Z]\. )?){_CAP})+")
 _LAST_TWO = re.compile(rf"{_CAP},? (?:[A-Z]\. )?{_CAP}$")
@@ -105,22 +123,39 @@ class Lexicon:
 
     given: set[str] = field(default_factory=set)
     family: set[str] = field(default_factory=set)
-    numbers: dict[str, bool] = field(default_factory=dict)  # word before an ambiguous number -> is it one
+    people: set[tuple[str, str]] = field(default_factory=set)  # (given, family) known, but with a part that isn't believed
+    counting: set[str] = field(default_factory=set)  # one or two words before numbers that are none of a person
+    other: set[str] = field(default_factory=set)  # two words that aren't, though the second is
 
 
 # ---- the graph --------------------------------------------------------------------------------------------------
 
 PAIRS = "kind string, pattern string, instance string, clear boolean, n bigint"
+_QUOTES = "\"'“”()[]<>*_"
 
 
-def _word(w: str | None) -> str:
+def _word(w: str) -> str:
     """A context word without its numbers and quotes."""
-    return re.sub(r"\d+", "9", (w or "").lower()).strip("\"'“”()[]<>*_")[:40]
+    return re.sub(r"\d+", "9", w.lower()).strip(_QUOTES)
 
 
-def _before(text: str, at: int) -> str:
-    w = text[max(0, at - 48) : at].split()
-    return _word(w[-1]) if w else ""
+def _left(text: str, at: int) -> list[str]:
+    """Up to two whole words before a place on its line, the nearest last; none if the place follows them without a blank."""
+    line = text.rfind("\n", max(0, at - REACH), at) + 1
+    from_ = line or max(0, at - REACH)
+    if at == from_ or text[at - 1] not in " \t#":
+        return []
+    words = text[from_:at].rstrip("# \t").split()
+    whole = bool(line) or at <= REACH
+    return words[-2:] if whole or len(words) > 2 else words[-2:][-(len(words) - 1) :] if len(words) > 1 else []
+
+
+def contexts(text: str, at: int) -> list[str]:
+    """Patterns of a number: two words, then the nearest alone; none without a word of letters."""
+    words = [_word(w).rstrip(".:,;=") for w in _left(text, at)]
+    if not words or not words[-1].replace("-", "").isalpha():
+        return []
+    return [" ".join(words), words[-1]] if len(words) > 1 else [words[-1]]
 
 
 def pairs_of(texts: list[str | None]) -> Counter:
@@ -134,19 +169,26 @@ def pairs_of(texts: list[str | None]) -> Counter:
             if not last:
                 continue
             name, at = last.group(), m.start() + last.start()
-            line = t[max(0, at - 48) : at].rpartition("\n")[2]
-            before = line.split()
-            left = _word(before[-1]) if before and line[-1:] in " \t" else ""
+            before = _left(t, at)
+            left = _word(before[-1]) if before else ""
             after = _AFTER.match(t, m.end())
             right = _word(after[1]) if after else ""
             # a pattern needs a word: the one before, or at the start of a line the one after
             if not (any(map(str.isalpha, left)) if left else right.isalpha()):
                 continue
             parts = [x.strip(",") for x in name.lower().split() if not (len(x) == 2 and x[1] == ".")]
-            out["name", f"{left} _ {right}", " ".join(parts) + (" ," if "," in name else ""), False] += 1
+            out["name", f"{left} _ {right}", " ".join(parts[::-1] if "," in name else parts), False] += 1
+        starts = set()
         if _DIGITS.search(t):
-            for m in IDNUM.finditer(t):
-                out["idnum", _before(t, m.start()), m.group(), m.lastgroup in CLEAR_SHAPES] += 1
+            for kind, m in [("phone", m) for m in PHONE.finditer(t)] + [("idnum", m) for m in IDNUM.finditer(t)]:
+                starts.add(m.start())
+                clear = m.lastgroup in CLEAR_SHAPES if kind == "idnum" else _clear_phone(m.group())
+                for p in contexts(t, m.start()):
+                    out["number", p, m.group(), clear] += 1
+        for m in _NUMBER.finditer(t):
+            if m.start() not in starts:
+                for p in contexts(t, m.start()):
+                    out["plain", p, "", False] += 1
     return out
 
 
@@ -162,33 +204,65 @@ def count_pairs(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, PAIRS).groupBy("kind", "pattern", "instance", "clear").agg(F.sum("n").alias("n"))
 
 
-def score_names(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Unseen instances (given, family) that trusted patterns hold, after ROUNDS of scoring.
+def _any_of(trust: Column) -> Column:
+    """Belief from several patterns: none of them may be wrong for it to be false."""
+    return F.lit(1.0) - F.product(F.lit(1.0) - trust * 0.9)
 
-    seeds: (instance) of known full names, with and without the comma form.
-    """
-    edges = pairs.filter("kind = 'name'").select("pattern", "instance")
-    known = seeds.select("instance").distinct().withColumn("belief", F.lit(1.0))
-    belief = known
+
+def score_names(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(role g or f, part) of names that the graph believes after ROUNDS of scoring; seeds: (given, family) of known people."""
+    two = F.split("instance", " ")
+    edges = pairs.filter("kind = 'name'").select("pattern", two[0].alias("given"), two[1].alias("family"), F.size(two).alias("k")).filter("k = 2").drop("k").distinct()
+    known = seeds.select("given", "family").distinct().withColumn("seed", F.lit(True))
+    edges = written(edges.join(known, ["given", "family"], "left"), "personal-names")
+    pairs_, parts = None, None
     for k in range(ROUNDS):
-        scored = edges.join(belief, "instance", "left").groupBy("pattern")
-        patterns = scored.agg(F.avg(F.coalesce("belief", F.lit(0.0))).alias("trust"), F.count("*").alias("held"))
-        patterns = patterns.filter((F.col("trust") >= TRUST * (k + 1) / ROUNDS if k < ROUNDS - 1 else F.col("trust") >= TRUST) & (F.col("held") >= SUPPORT))
-        fresh = edges.join(patterns, "pattern").groupBy("instance").agg((F.lit(1.0) - F.product(F.lit(1.0) - F.col("trust") * 0.9)).alias("belief"), F.count("*").alias("patterns"))
-        fresh = fresh.filter(F.col("patterns") >= BOTH).join(known, "instance", "left_anti").select("instance", "belief")
-        belief = known.unionByName(fresh)
-    return fresh
+        df = edges
+        if parts is not None:
+            for role, name in (("g", "given"), ("f", "family")):
+                df = df.join(parts.filter(F.col("role") == role).select(F.col("part").alias(name), F.lit(True).alias(f"__{role}")), name, "left")
+            df = df.join(pairs_.withColumn("__p", F.lit(True)), ["given", "family"], "left")
+            known_ = F.coalesce(F.col("seed"), F.col("__p"), F.col("__g") & F.col("__f"), F.lit(False))
+        else:
+            known_ = F.coalesce(F.col("seed"), F.lit(False))
+        df = df.select("pattern", "given", "family", "seed", known_.alias("believed"))
+        trust = df.groupBy("pattern").agg(F.avg(F.col("believed").cast("double")).alias("trust"), F.count("*").alias("held"))
+        trust = trust.filter((F.col("held") >= SUPPORT) & (F.col("trust") >= TRUST * (k + 1) / ROUNDS))
+        good = written(df.join(trust.select("pattern", "trust"), "pattern", "left"), "personal-round")
+        held = good.filter("trust is not null")
+        pairs_ = held.groupBy("given", "family").agg(_any_of(F.col("trust")).alias("belief"), F.count("*").alias("n"))
+        pairs_ = pairs_.filter((F.col("n") >= BOTH) & (F.col("belief") >= TRUST)).select("given", "family")
+        # a part is as good as the pairs that it stands in: held by trusted patterns, and not mostly in other company
+        sure = good.join(pairs_.withColumn("__fresh", F.lit(True)), ["given", "family"], "left").withColumn("sure", F.col("believed") | F.coalesce("__fresh", F.lit(False)))
+        each = sure.select("sure", "trust", F.explode(F.array(F.struct(F.lit("g").alias("role"), F.col("given").alias("part")), F.struct(F.lit("f").alias("role"), F.col("family").alias("part")))).alias("e"))
+        each = each.groupBy("e.role", "e.part").agg(_any_of(F.when(F.col("sure"), F.coalesce("trust", F.lit(0.0))).otherwise(0.0)).alias("belief"), F.count_if(F.col("sure") & F.col("trust").isNotNull()).alias("n"), F.avg(F.col("sure").cast("double")).alias("share"))
+        parts = written(each.filter((F.col("n") >= BOTH) & (F.col("belief") >= TRUST) & (F.col("share") >= 0.5)).select("role", "part"), "personal-parts")
+    return parts
 
 
 def judge_numbers(pairs: DataFrame) -> DataFrame:
-    """(pattern, is_id): words before numbers.
+    """(pattern, counts): contexts that hold ambiguous numbers, and whether they are found to count things.
 
-    Only a word of OTHER_NUMBERS is none of a label, unless clear numbers follow it as well. That none follows
-    another word says nothing: a label may be used with one kind alone.
+    Clear numbers speak for a context, plain ones against it; an ambiguous one speaks for it as far as
+    the contexts that hold it are trusted.  A context with little evidence is none that counts.
     """
-    g = pairs.filter("kind = 'idnum'").groupBy("pattern").agg(F.count_if("clear").alias("clear"), F.count("*").alias("held"))
-    named = F.col("pattern").isin(*OTHER_NUMBERS)
-    return g.filter(F.col("held") >= 3).select("pattern", (~named | (F.col("clear") >= 0.02 * F.col("held"))).alias("is_id"))
+    numbers = pairs.filter("kind = 'number'").select("pattern", "instance", "clear", "n")
+    sure = numbers.filter("clear").groupBy("pattern").agg(F.sum("n").alias("pos"))
+    plain = pairs.filter("kind = 'plain'").groupBy("pattern").agg(F.sum("n").alias("neg"))
+    unsure = numbers.filter("not clear")
+    base = unsure.select("pattern").distinct().join(sure, "pattern", "left").join(plain, "pattern", "left").select("pattern", F.coalesce("pos", F.lit(0)).cast("double").alias("pos"), F.coalesce("neg", F.lit(0)).cast("double").alias("neg"))
+    base = written(base, "personal-contexts")
+    score = (F.col("pos") + 0.001) / (F.col("pos") + F.col("neg") + 0.01)
+    scored = base.select("pattern", "pos", "neg", score.alias("trust"))
+    for _ in range(ROUNDS - 1):
+        weighed = unsure.join(scored.filter(F.col("pos") + F.col("neg") >= SUPPORT).select("pattern", "trust"), "pattern")
+        sums = weighed.groupBy("instance").agg(F.sum(F.col("n") * F.col("trust")).alias("w"), F.sum("n").alias("m"))
+        # what a context itself says about its instances doesn't count for it
+        own, n = F.coalesce(F.col("n") * F.col("trust"), F.lit(0.0)), F.when(F.col("trust").isNotNull(), F.col("n")).otherwise(0)
+        others = unsure.join(scored.filter(F.col("pos") + F.col("neg") >= SUPPORT).select("pattern", "trust"), "pattern", "left").join(sums, "instance")
+        more = others.filter(F.col("m") > n).groupBy("pattern").agg(F.sum(F.col("n") * (F.col("w") - own) / (F.col("m") - n)).alias("p"))
+        scored = base.join(more, "pattern", "left").select("pattern", (F.col("pos") + F.coalesce("p", F.lit(0.0))).alias("pos"), "neg").select("pattern", "pos", "neg", score.alias("trust"))
+    return scored.select("pattern", ((F.col("pos") + F.col("neg") >= SUPPORT) & (F.col("trust") < COUNTS)).alias("counts"), ((F.col("pos") + F.col("neg") >= SUPPORT) & (F.col("trust") >= COUNTS)).alias("personal"))
 
 
 def full_names(people: list[DataFrame]) -> DataFrame:
@@ -204,21 +278,29 @@ def full_names(people: list[DataFrame]) -> DataFrame:
 def learn(texts: DataFrame, people: list[DataFrame]) -> Lexicon:
     """The lexicon from one scan of the texts (column text) and the known people."""
     pairs = written(count_pairs(texts.select("text")), "personal-pairs")
-    names = full_names(people)
-    seeds = names.select(F.explode(F.array(F.concat_ws(" ", "given", "family"), F.concat(F.col("family"), F.lit(" "), F.col("given"), F.lit(" ,")))).alias("instance"))
-    new = score_names(pairs, seeds).filter(~F.col("instance").endswith(" ,")).select(F.split("instance", " ").alias("p")).filter(F.size("p") == 2)
-    parts = names.unionByName(new.select(F.col("p")[0].alias("given"), F.col("p")[1].alias("family")))
-    entries = parts.select(F.explode(F.array(F.struct(F.lit("g").alias("k"), F.col("given").alias("w")), F.struct(F.lit("f").alias("k"), F.col("family").alias("w")))).alias("e")).select("e.*").distinct()
-    verdicts = judge_numbers(pairs).select(F.when(F.col("is_id"), "y").otherwise("n").alias("k"), F.col("pattern").alias("w"))
-    rows = entries.unionByName(verdicts).limit(MOST + 1).collect()
+    names = written(full_names(people), "personal-people")
+    parts = score_names(pairs, names)
+    role = lambda k, as_: parts.filter(F.col("role") == k).select(F.col("part").alias(as_), F.lit(True).alias(f"__{k}"))
+    bare = names.join(role("g", "given"), "given", "left").join(role("f", "family"), "family", "left").filter("__g is null or __f is null")
+    judged = judge_numbers(pairs)
+    one = judged.filter(~F.col("pattern").contains(" ") & F.col("counts")).select(F.col("pattern").alias("last"))
+    # of two words only those say more of which the second alone says otherwise
+    more = judged.filter(F.col("pattern").contains(" ") & F.col("personal")).withColumn("last", F.substring_index("pattern", " ", -1)).join(one, "last", "left_semi")
+    less = judged.filter("counts").withColumn("last", F.when(F.col("pattern").contains(" "), F.substring_index("pattern", " ", -1))).join(one, "last", "left_anti").select("pattern")
+    rows = (
+        parts.select("role", F.col("part").alias("a"), F.lit("").alias("b")).unionByName(bare.select(F.lit("p").alias("role"), F.col("given").alias("a"), F.col("family").alias("b")))
+        .unionByName(less.select(F.lit("n").alias("role"), F.col("pattern").alias("a"), F.lit("").alias("b"))).unionByName(more.select(F.lit("o").alias("role"), F.col("pattern").alias("a"), F.lit("").alias("b")))
+        .limit(MOST + 1).collect()
+    )
     if len(rows) > MOST:
         raise ValueError(f"the lexicon has more than {MOST} entries; raise MOST and the workers' memory")
     out = Lexicon()
-    for k, w in rows:
-        if k in "gf":
-            (out.given if k == "g" else out.family).add(w)
+    kept = {"g": out.given, "f": out.family, "n": out.counting, "o": out.other}
+    for k, a, b in rows:
+        if k == "p":
+            out.people.add((a, b))
         else:
-            out.numbers[w] = k == "y"
+            kept[k].add(a)
     return out
 
 
@@ -231,12 +313,20 @@ class Finder:
 
         self.lexicon = lexicon
         self.words = None
-        if lexicon.given or lexicon.family:
+        alone = {w for p in lexicon.people for w in p}
+        if lexicon.given or lexicon.family or alone:
             self.words = ahocorasick.Automaton()
-            for w in lexicon.given | lexicon.family:
+            for w in lexicon.given | lexicon.family | alone:
                 self.words.add_word(w, (len(w), (w in lexicon.given) + 2 * (w in lexicon.family)))
             self.words.make_automaton()
 
+    def _personal(self, t: str, at: int) -> bool:
+        """Whether an ambiguous number may be one of a person: not behind words that count things."""
+        words = contexts(t, at)
+        if not words or words[0] in self.lexicon.other:
+            return True
+        return not any(w in self.lexicon.counting for w in words)
+
     @staticmethod
     def _edge(t: str, a: int, b: int) -> bool:
         """Whether t[a:b] is a word by itself, no part of a handle or a file."""
@@ -264,16 +354,17 @@ class Finder:
                 while tokens and tokens[-1][0] >= a:  # a longer word ends here
                     tokens.pop()
                 tokens.append((a, b, kind))
-        out, k = [], 0
+        out, k, people = [], 0, self.lexicon.people
         while k < len(tokens):
             a, b, kind = tokens[k]
             if k + 1 < len(tokens):
                 c, d, other = tokens[k + 1]
                 gap = t[b:c]
-                pair = (kind & 1 and other & 2) or (kind & 2 and other & 1)
+                turned = (low[c:d], low[a:b]) in people
+                pair = (kind & 1 and other & 2) or (kind & 2 and other & 1) or turned or (low[a:b], low[c:d]) in people
                 if pair and (
                     re.fullmatch(r"[ \t ]+|[ \t]*\r?\n[ \t]*", gap)
-                    or (kind & 2 and other & 1 and re.fullmatch(r",[ \t ]*", gap))
+                    or (((kind & 2 and other & 1) or turned) and re.fullmatch(r",[ \t ]*", gap))
                     or re.fullmatch(r"[ \t ]+(?:[^\W\d_]\.?[ \t ]+){1,2}", gap)
                 ):
                     rest = re.match(r"[ \t ]+[^\W\d_]\.(?![\w])", t[d : d + 5]) if kind & 2 and "," in gap else None
@@ -302,11 +393,8 @@ class Finder:
         if any(w in low for w in _STREETS) or _NUMBERED.search(t):
             found += [(*m.span(), "address") for m in ADDRESS.finditer(t)]
         if _DIGITS.search(t):
-            found += [(*m.span(), "phone") for m in PHONE.finditer(t)]
-            for m in IDNUM.finditer(t):
-                w = _before(t, m.start())
-                if m.lastgroup in CLEAR_SHAPES or self.lexicon.numbers.get(w, w not in OTHER_NUMBERS):
-                    found.append((*m.span(), "idnum"))
+            found += [(*m.span(), "phone") for m in PHONE.finditer(t) if _clear_phone(m.group()) or self._personal(t, m.start())]
+            found += [(*m.span(), "idnum") for m in IDNUM.finditer(t) if m.lastgroup in CLEAR_SHAPES or self._personal(t, m.start())]
         found += [(*s, "name") for s in self.names(t)]
         if len(found) < 2:
             return found

@@ -129,7 +129,7 @@ def test_files(spark):
 
 # ---- 5 personal data --------------------------------------------------------------------------------------------
 
-LEX = personal.Lexicon({"marit", "noor"}, {"sorvali", "halloway-reyes"}, {"build": False, "ssn": True})
+LEX = personal.Lexicon({"marit", "noor"}, {"sorvali", "halloway-reyes"}, counting={"build", "lists"})
 
 
 @pytest.mark.parametrize(
@@ -158,14 +158,20 @@ def test_places(text, want):
 def test_bootstrapping_and_redaction(spark):
     people = [(f"{g} {f}",) for g in ("Marit", "Noor", "Tobin") for f in ("Sorvali", "Kestrin", "Okonedo")] + [("Relay Bot",), (None,), ("",)]
     texts = [(f"Please contact {n} at once. The reporter, {n}, can wait. With Copper Lantern off.",) for n, in people if n and "Bot" not in n]
-    texts += [("Please contact Zelda Quint at once. The reporter, Zelda Quint, can wait.",), (None,), ("",), ("national id QQ123456C and SSN 900-11-2222 and Build 900-11-3333",)] + [(f"national id QQ12345{i}C, national id 900-11-222{i}, Build 900-11-333{i}",) for i in range(5)]
+    texts += [("Please contact Zelda Quint at once. The reporter, Zelda Quint, can wait. Z. Quint and Quint, Zelda too.",), (None,), ("",), ("Kennziffer 900-11-2222 and Vorgang 900-11-3333",)]
+    texts += [(f"Kennziffer QQ12345{i}C. Then Vorgang 900-11-333{i}, Vorgang {i}17 and Vorgang 4.{i}",) for i in range(5)]
     df = spark.createDataFrame(texts, "text string")
     lex = personal.learn(df, [spark.createDataFrame(people, "n string")])
-    assert {"zelda"} <= lex.given and {"quint"} <= lex.family and "copper" not in lex.given and "bot" not in lex.family
-    assert lex.numbers["build"] is False and lex.numbers["id"] is True
+    # nobody of this name is in a table; neither word is in the code
+    assert {"zelda"} <= lex.given and {"quint"} <= lex.family and "copper" not in lex.given and "bot" not in lex.family and not lex.people
+    assert "vorgang" in lex.counting and "kennziffer" not in lex.counting
+    assert [k for *_, k in personal.Finder(lex).places("Kennziffer 900-11-2222 and Vorgang 900-11-3333")] == ["idnum"]
+    # with the graph switched off nothing but the full names of the table is found
+    off = personal.Finder(personal.Lexicon(people={("marit", "sorvali")}))
+    assert off.places("Marit Sorvali, Sorvali, Marit, M. Sorvali and Zelda Quint; Vorgang 900-11-3333") == [(0, 13, "name"), (15, 29, "name"), (67, 78, "idnum")]
     rows = df.select(F.lit("t").alias("tab"), F.lit("k").alias("row_key"), "text")
     out = {r.text for r in personal.redact(rows, lex).collect()}
-    assert "Please contact <NAME> at once. The reporter, <NAME>, can wait." in out and None in out and "" in out
+    assert "Please contact <NAME> at once. The reporter, <NAME>, can wait. <NAME> and <NAME> too." in out and None in out and "" in out
     assert personal.find_places(rows.limit(0), lex).count() == 0
     assert personal.learn(df.limit(0), [spark.createDataFrame([], "n string")]) == personal.Lexicon()
 
