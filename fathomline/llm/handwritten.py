@@ -3,15 +3,17 @@
 1. Attribute files (``.gitattributes``) that mark paths as generated or vendored are parsed and
    resolved by glob precedence: the last match of the deepest folder wins, ``-attribute`` says
    that a path is written by hand, which nothing below overrules.
-2. Repositories that declare nothing get equivalent patterns: well-known ones (``KNOWN``), and
-   those mined from the corpus - folders and file-name parts under which files whose own
-   text shows their origin are common, over several repositories.
-3. The text of a file: the notice at its head, the shape of its lines, the share of literals.
+2. The text of a file: the notice at its head, the shape of its lines, the share of literals.
+3. Patterns equivalent to attribute files are mined from the corpus and applied to repositories that declare
+   nothing: folders and file-name parts under which files that are declared, or whose own text shows
+   their origin, are clearly more common than elsewhere (``LIFT``, at ``Z`` deviations), in more than one
+   repository, and which no other pattern explains.  Where a corpus is too small to show
+   it, well-known patterns (``KNOWN``) stand in.
 4. Equal content: a file with the hash of such a file is one, under whatever path.
 
 Scale: chunks are reduced to a few numbers each before the shuffle by (repo, path), so a hot
-repository is spread over its files; mined patterns are aggregated with partial sums and
-applied by a join, never collected.
+repository is spread over its files; patterns are aggregated with partial sums by
+repository; rules of a repository meet its files in salted parts; files without a hash meet nothing.
 
 Defined results: null repo or path: no file; a file without chunks is judged by path and hash;
 rows of one key repeated or older: the latest hash counts, every spelling is reported; unreadable
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 
 from ..functions.source_text import EXTENSIONS, HIDDEN
 
-SHARE, LIFT, FILES, REPOS = 0.25, 3.0, 8, 3  # a mined pattern: share of shown origin, against all files, files and repositories that have it
+LIFT, Z = 1.5, 2.58  # a mined pattern: its share of files not by hand against that of all files, and the deviations by which it must be sure
+ROUNDS = 3  # of dropping patterns that others explain
+SALT = 16  # parts into which the files of a repository are split where they meet its rules
 
 #: Paths that are generated or vendored by convention, in the syntax of attribute files.
 KNOWN = """
@@ -128,16 +132,20 @@ def resolve(path: str, rules: list[tuple[str, str, str]]) -> str | None:
 
 # ---- the text ---------------------------------------------------------------------------------------------------
 
+_MADE = r"(?:generated|created|produced|written|emitted|built)"
+_COPY = r"(?:copy|clone|fork|snapshot|mirror)"
+_KEPT = r"(?:verbatim|unchanged|unmodified|as[- ]is|without (?:any )?(?:changes?|modifications?|edits?))"
 GENERATED = re.compile(
-    r"(?i)@generated\b|<auto-?generated\b|\bauto-?generated (?:file|code|by|from)|\bcode generated by\b|\b(?:automatically|auto) generated\b"
-    r"|\bgenerated (?:by|from|with) .{0,80}(?:do not|don't|not) (?:be )?(?:edit|modif|change)|\bthis file (?:was|is|has been) (?:auto-?|automatically )?(?:generated|created automatically|produced by)"
-    r"|\bcreated automatically\b|\bmanual changes will be (?:lost|overwritten)|\bgenerated file\b.{0,40}(?:do not|don't)|\bdo not (?:edit|modify)[^.]{0,40}\bgenerated\b"
+    rf"(?i)@generated\b|<auto-?generated\b|\bauto-?generated (?:file|code|by|from)|\b(?:code|file|source|module) {_MADE} (?:automatically )?(?:by|from|with)\b|\b(?:automatically|auto|machine)[- ]{_MADE}\b"
+    rf"|\b{_MADE} automatically\b|\bgenerated (?:by|from|with) .{{0,80}}(?:do not|don't|not) (?:be )?(?:edit|modif|change)|\bthis file (?:was|is|has been) (?:auto-?|automatically )?(?:generated|produced by)"
+    r"|\bmanual changes will be (?:lost|overwritten)|\bgenerated file\b.{0,40}(?:do not|don't)|\bdo not (?:edit|modify)[^.]{0,40}\bgenerated\b"
 )
 VENDORED = re.compile(
-    r"(?i)\bbundled copy\b|\bimported without changes\b|\bthis file is part of the [\w.-]+ (?:library|project|package|distribution)\b|\bvendored (?:copy|from)\b|\bcopied (?:verbatim )?from https?://"
-    r"|\bthird[- ]party (?:copy|code)\b|\bupstream https?://|\bunmodified copy\b|@license\b.{0,60}\bv?\d+\.\d+"
+    rf"(?i)\b(?:bundled|vendored|embedded|local|verbatim|unmodified|third[- ]party) {_COPY}\b|\b(?:imported|copied|taken|included|vendored) {_KEPT}\b|\bthis file is part of the [\w.-]+ (?:library|project|package|distribution)\b"
+    r"|\b(?:vendored|copied|taken|adapted) (?:verbatim )?from https?://|\bvendored from\b|\bthird[- ]party code\b|\bupstream https?://|@license\b.{0,60}\bv?\d+\.\d+"
 )
-OURS = re.compile(r"(?i)\bours\b|\bnot a copy\b|\bwritten by hand\b|\bhand-?written\b")
+#: A line that denies it.
+OURS = re.compile(rf"(?i)\b(?:not|never|no|isn't|wasn't|nothing)\b(?: \w+){{0,2}} (?:{_COPY}|copied|generated|vendored|bundled|imported|machine-made)\b|\bhand-?written\b|\bwritten by hand\b")
 _NUMBER = re.compile(r"[-+]?\b(?:0[xX][0-9a-fA-F_]+|0b[01_]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)[uUlLfFdDmMnN]{0,3}\b")
 _STRING = re.compile(r"\"(?:\\.|[^\"\\\n])*(?:\"|\Z)|'(?:\\.|[^'\\\n])*(?:'|\Z)|`[^`]*(?:`|\Z)")
 _WORD = re.compile(r"[^\W\d]\w*")
@@ -231,35 +239,50 @@ def shown() -> tuple[Column, Column, Column, Column]:
 
 # ---- mined patterns ---------------------------------------------------------------------------------------------
 
+#: Folders that the well-known patterns take at the top only: elsewhere they are neither evidence nor condemned.
+TOP_ONLY = sorted(set(re.findall(r"(?m)^([\w-]+)/", KNOWN)) - set(re.findall(r"(?m)^\*\*/([\w-]+)/", KNOWN)))
+
 
 def path_parts(path: Column) -> Column:
-    """Folders and the part before the extension, without numbers: what patterns are made of."""
+    """The top folder, the other folders and the part before the extension, without numbers: what patterns are made of; none of a path with a folder of TOP_ONLY below the top."""
     low = F.lower(path)
-    folders = F.transform(F.filter(F.split(F.regexp_extract(low, "^(.*)/", 1), "/"), lambda x: x != ""), lambda x: F.concat(F.lit("dir:"), F.regexp_replace(x, r"\d+", "#")))
-    file = F.regexp_extract(low, r"([^/]*)$", 1)
-    part = F.regexp_extract(file, r"[._-]([^._-]+)\.[^.]+$", 1)
-    kind = F.when(part.rlike(r"^(?=.*\d)[0-9a-f]{8,}$"), "<hex>").otherwise(F.regexp_replace(part, r"\d+", "#"))
-    return F.array_distinct(F.concat(folders, F.when(part != "", F.array(F.concat(F.lit("part:"), kind))).otherwise(F.array().cast("array<string>"))))
+    plain = lambda x: F.regexp_replace(x, r"\d+", "#")
+    folders = F.filter(F.split(F.regexp_extract(low, "^(.*)/", 1), "/"), lambda x: x != "")
+    named = F.transform(folders, lambda x, i: F.concat(F.when(i == 0, "top:").otherwise("dir:"), plain(x)))
+    part = F.regexp_extract(F.regexp_extract(low, r"([^/]*)$", 1), r"[._-]([^._-]+)\.[^.]+$", 1)
+    kind = F.when(part.rlike(r"^(?=.*\d)[0-9a-f]{8,}$"), "<hex>").otherwise(plain(part))
+    every = F.array_distinct(F.concat(named, F.when(part != "", F.array(F.concat(F.lit("part:"), kind))).otherwise(F.array().cast("array<string>"))))
+    return F.when(F.arrays_overlap(named, F.array(*[F.lit(f"dir:{x}") for x in TOP_ONLY])), F.array().cast("array<string>")).otherwise(every)
+
 
+def mined(files: DataFrame) -> DataFrame:
+    """files: repo, path, origin (null: not known to be other than by hand) -> (repo, path) under mined patterns."""
+    from ..functions.shared import written
 
-def mine(files: DataFrame) -> DataFrame:
-    """files: repo, path, origin (tool, vendor, minified or null) -> (part) that tell a file not written by hand."""
-    parts = files.select("repo", F.col("origin").isNotNull().cast("int").alias("hit"), F.explode(path_parts(F.col("path"))).alias("part"))
+    hit = F.col("origin").isNotNull().cast("int")
+    usual = files.agg(F.avg(hit)).first()[0] or 0.0  # one number
+    parts = files.select("repo", "path", hit.alias("hit"), F.explode(path_parts(F.col("path"))).alias("part"))
     per = parts.groupBy("part", "repo").agg(F.sum("hit").alias("hits"), F.count("*").alias("files")).groupBy("part")
-    per = per.agg(F.sum("hits").alias("hits"), F.sum("files").alias("files"), F.count_if(F.col("hits") > 0).alias("repos"))
-    usual = files.agg(F.avg(F.col("origin").isNotNull().cast("int"))).first()[0] or 0.0  # one number
-    share = F.col("hits") / F.col("files")
-    # lower bound of the share, two deviations down
-    low = share - 2 * F.sqrt(share * (1 - share) / F.col("files"))
-    keep = (F.col("files") >= FILES) & (F.col("repos") >= REPOS) & (low >= SHARE) & (low >= LIFT * usual)
-    return per.filter(keep).select("part")
+    per = per.agg(F.sum("hits").alias("h"), F.sum("files").alias("n"), F.count_if(F.col("hits") > 0).alias("repos"))
+    # lower end of the share's interval after Wilson: sure of a few files as of many
+    q, n = F.col("h") / F.col("n"), F.col("n")
+    low = (q + Z * Z / (2 * n) - Z * F.sqrt(q * (1 - q) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+    found = per.filter((F.col("repos") > 1) & (low >= LIFT * usual)).select("part")
+    held = written(parts.join(found, "part", "left_semi"), "mined")
+    for _ in range(ROUNDS):
+        # files that no other pattern holds must show it too; a pattern that is never alone stays
+        alone = held.groupBy("repo", "path").agg(F.count("*").alias("k"), F.min("part").alias("part"), F.max("hit").alias("hit")).filter("k = 1")
+        explained = alone.groupBy("part").agg(F.sum("hit").alias("h"), F.count("*").alias("n")).filter((F.col("h") + 0.5) / (F.col("n") + 1) < LIFT * usual)
+        held = held.join(explained, "part", "left_anti")
+    return held.select("repo", "path").distinct()
 
 
 def by_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds said: what attribute files (rules: repo, rules ARRAY<STRUCT>) or else well-known patterns say."""
     known = rules_of("", KNOWN)
     tests = [(g, k) for _, p, k in known if (g := glob(p))]
-    joined = files.join(rules, "repo", "left").select("repo", "path", "rules")
+    parts = rules.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    joined = files.withColumn("__salt", F.pmod(F.xxhash64("path"), F.lit(SALT)).cast("int")).join(parts, ["repo", "__salt"], "left").select("repo", "path", "rules")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,13 +322,16 @@ def not_by_hand(file_hashes: DataFrame, chunks: DataFrame) -> DataFrame:
     tool, vendor, mini, data = shown()
     seen = evidence(chunks).select("repo", "path", F.when(tool, "tool").when(vendor, "vendor").when(mini, "minified").when(data, "data").alias("origin"))
     files = written(latest.join(seen, ["repo", "path"], "left"), "files")
-    mined = mine(files.withColumn("origin", F.when(F.col("origin") != "data", F.col("origin"))))
-    told = files.select("repo", "path", F.explode(path_parts(F.col("path"))).alias("part")).join(mined, "part", "left_semi").select("repo", "path").distinct().withColumn("mined", F.lit(True))
     said = by_rules(files, attribute_rules(chunks))
-    judged = files.join(said, ["repo", "path"], "left").join(told, ["repo", "path"], "left")
-    reason = F.when(F.col("said") == "hand", None).otherwise(F.coalesce(F.when(F.col("said") != "known", F.col("said")), F.col("origin"), F.when(F.col("said").isNotNull(), "known"), F.when(F.col("mined"), "mined")))
-    judged = judged.select("repo", "path", "hash", (F.col("said").eqNullSafe("hand")).alias("by_hand"), reason.alias("reason"))
+    judged = written(files.join(said, ["repo", "path"], "left"), "said")
+    by_hand, declared = F.col("said").eqNullSafe("hand"), F.when(~F.col("said").isin("hand", "known"), F.col("said"))
+    shows = F.when(~by_hand, F.coalesce(declared, F.when(F.col("origin") != "data", F.col("origin"))))
+    told = mined(judged.select("repo", "path", shows.alias("origin"))).withColumn("mined", F.lit(True))
+    judged = judged.join(told, ["repo", "path"], "left")
+    reason = F.when(~by_hand, F.coalesce(declared, F.col("origin"), F.when(F.col("mined"), "mined"), F.when(F.col("said").isNotNull(), "known")))
+    judged = judged.select("repo", "path", "hash", by_hand.alias("by_hand"), reason.alias("reason"))
     empty = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # of no content, equal everywhere
     copies = judged.filter((F.col("reason").isNotNull()) & (F.col("hash") != "") & (F.col("hash") != empty)).select("hash").distinct().withColumn("copy", F.lit(True))
-    judged = judged.join(copies, "hash", "left").select("repo", "path", F.coalesce("reason", F.when(F.col("copy") & ~F.col("by_hand"), "copy")).alias("reason")).filter("reason is not null")
+    keyed = judged.withColumn("hash", F.coalesce("hash", F.concat(F.lit("\u0000"), "repo", F.lit("\u0000"), "path")))  # files without a hash are spread
+    judged = keyed.join(copies, "hash", "left").select("repo", "path", F.coalesce("reason", F.when(F.col("copy") & ~F.col("by_hand"), "copy")).alias("reason")).filter("reason is not null")
     return listed.select("repo", "file_path", "path").distinct().join(judged, ["repo", "path"]).select("repo", "file_path", "reason")
