@@ -239,20 +239,14 @@ def shown() -> tuple[Column, Column, Column, Column]:
 
 # ---- mined patterns ---------------------------------------------------------------------------------------------
 
-#: Folders that the well-known patterns take at the top only: elsewhere they are neither evidence nor condemned.
-TOP_ONLY = sorted(set(re.findall(r"(?m)^([\w-]+)/", KNOWN)) - set(re.findall(r"(?m)^\*\*/([\w-]+)/", KNOWN)))
-
-
 def path_parts(path: Column) -> Column:
-    """The top folder, the other folders and the part before the extension, without numbers: what patterns are made of; none of a path with a folder of TOP_ONLY below the top."""
+    """Folders and the part before the extension, without numbers: what patterns are made of."""
     low = F.lower(path)
     plain = lambda x: F.regexp_replace(x, r"\d+", "#")
-    folders = F.filter(F.split(F.regexp_extract(low, "^(.*)/", 1), "/"), lambda x: x != "")
-    named = F.transform(folders, lambda x, i: F.concat(F.when(i == 0, "top:").otherwise("dir:"), plain(x)))
+    folders = F.transform(F.filter(F.split(F.regexp_extract(low, "^(.*)/", 1), "/"), lambda x: x != ""), lambda x: F.concat(F.lit("dir:"), plain(x)))
     part = F.regexp_extract(F.regexp_extract(low, r"([^/]*)$", 1), r"[._-]([^._-]+)\.[^.]+$", 1)
     kind = F.when(part.rlike(r"^(?=.*\d)[0-9a-f]{8,}$"), "<hex>").otherwise(plain(part))
-    every = F.array_distinct(F.concat(named, F.when(part != "", F.array(F.concat(F.lit("part:"), kind))).otherwise(F.array().cast("array<string>"))))
-    return F.when(F.arrays_overlap(named, F.array(*[F.lit(f"dir:{x}") for x in TOP_ONLY])), F.array().cast("array<string>")).otherwise(every)
+    return F.array_distinct(F.concat(folders, F.when(part != "", F.array(F.concat(F.lit("part:"), kind))).otherwise(F.array().cast("array<string>"))))
 
 
 def mined(files: DataFrame) -> DataFrame:
