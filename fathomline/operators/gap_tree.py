@@ -21,7 +21,7 @@ never more than its square root.  A second pass joins the spines of an entity.
 Defined results
 ---------------
 * Null entity or null time: no event.  Of an id delivered twice the earliest time counts.
-* Equal times: gap 0, same session.  A null id: equal rows count once.
+* Equal times: gap 0, same session.  Null ids: events of one entity at one time count once, at other times by themselves.
 * Empty table: empty tree.  Columns other than the three are ignored.
 """
 
@@ -182,7 +182,7 @@ def _join_spines(t: pa.Table) -> pa.Table:
 def gap_tree(events: DataFrame, entity: str, us: str, event_id: str) -> DataFrame:
     """(entity, start_us, end_us, n_events, own_gap, parent_gap): all nodes, single events included (own_gap -1)."""
     e = events.select(F.col(entity).cast("string").alias("entity"), F.col(us).cast("long").alias("us"), F.col(event_id).alias("id"))
-    e = e.filter("entity is not null and us is not null").groupBy("id", "entity").agg(F.min("us").alias("us"))
+    e = e.filter("entity is not null and us is not null").groupBy("id", "entity", F.when(F.col("id").isNull(), F.col("us")).alias("alone")).agg(F.min("us").alias("us"))
     ordered = e.repartitionByRange("entity", "us", "id").sortWithinPartitions("entity", "us").select("entity", "us")
     folded = written(ordered.mapInArrow(_fold_partition, SCHEMA), "gap-tree")
     nodes = folded.filter(F.col("state") == NODE)

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.instants import ABBREVIATIONS, with_source_instant
-from ..functions.shared import shared_dir
+from ..functions.shared import exists, shared_dir
 from ..operators.gap_tree import cut_sessions, gap_tree
-from ..sources.incremental import Ledger, due_records
+from ..sources.incremental import SEEN, Ledger, due, marked, seen_edits
 
 #: table, row id, value, source of the zone
 TIMES = (
@@ -66,24 +66,34 @@ VERSIONS = (
     ("jira", "jira_tickets", "instance", "ticket_key", "updated"),
     ("issues", "issues", "repo", "issue_number", "updated_at"),
 )
+_VERSION = "source_type string, source_key string, record_key string, edit_us bigint"
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next run, as one batch of a ledger of its own: manifest, anti-join, batch by name, commit."""
+    """The run after the last good one, over a ledger of its own.
+
+    Versions are landed in two folders of files, those fetched up to their source's cut-off and later ones.  A first run
+    commits the files of the first folder, with the latest edit of each record as its output; the next run
+    lists both, drops what the manifest holds, and compares the rest with that output.
+    """
     zones, runs = table(spark, sf_dir, "source_zones"), table(spark, sf_dir, "sync_runs")
 
-    def versions(kind: str, tab: str, source: str, key: str, edit: str, rows: DataFrame) -> DataFrame:
+    def versions(kind: str, tab: str, source: str, key: str, edit: str) -> DataFrame:
         where = None if source == "default" else source
-        df = rows.select(*([where] if where else []), key, edit, "fetched_at")
+        df = table(spark, sf_dir, tab).select(*([where] if where else []), key, edit, "fetched_at")
         df = with_source_instant(df, edit, zones, tab, where, "edit_us")
         src = F.col(where) if where else F.lit("default")
         return df.select(F.lit(kind).alias("source_type"), src.alias("source_key"), F.col(key).cast("string").alias("record_key"), "fetched_at", "edit_us")
 
-    def work(new: dict[str, DataFrame]) -> DataFrame:
-        return due_records(reduce(DataFrame.unionByName, [versions(*v, new[v[1]]) for v in VERSIONS]), runs)
-
-    ledger = Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
-    found = ledger.run({v[1]: table(spark, sf_dir, v[1]) for v in VERSIONS}, work)
+    home = f"{shared_dir(spark)}/due-{uuid.uuid4().hex}"
+    rows = marked(reduce(DataFrame.unionByName, [versions(*v) for v in VERSIONS]), runs)
+    rows.withColumn("landed", F.when(F.col("done"), "before").otherwise("after")).drop("done").write.partitionBy("landed").parquet(f"{home}/landing")
+    landed = lambda *names: spark.read.schema(_VERSION).parquet(*[f"{home}/landing/landed={n}" for n in names if exists(spark, f"{home}/landing/landed={n}")] or [f"{home}/landing"])
+    ledger = Ledger(spark, f"{home}/ledger")
+    if exists(spark, f"{home}/landing/landed=before"):
+        ledger.run({"versions": landed("before")}, lambda new: seen_edits(new["versions"]))
+    seen = ledger.output(SEEN)
+    found = ledger.run({"versions": landed("before", "after")}, lambda new: due(new["versions"], seen))
     return found if found is not None else spark.createDataFrame([], "source_type string, source_key string, record_key string")
 
 

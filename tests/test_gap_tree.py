@@ -61,3 +61,11 @@ def test_spread_over_partitions(spark):
 
 def test_empty(spark):
     assert gap_tree(spark.createDataFrame([], "user string, us bigint, id bigint, entity string"), "user", "us", "id").collect() == []
+
+
+def test_null_ids_are_events_of_their_own(spark):
+    s = 1_000_000
+    rows = [("u", 0, None), ("u", 10_000 * s, None), ("u", 20_000 * s, None), ("u", 20_000 * s, None), ("u", 20_010 * s, 7), ("u", 30_000 * s, 7)]
+    tree = gap_tree(spark.createDataFrame(rows, "e string, us bigint, id bigint"), "e", "us", "id")
+    got = sorted((r.start_us // s, r.end_us // s, r.n_events) for r in cut_sessions(tree, 1800 * s).collect())
+    assert got == [(0, 0, 1), (10_000, 10_000, 1), (20_000, 20_010, 2)]
