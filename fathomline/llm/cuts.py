@@ -16,8 +16,6 @@ repeated rows are found again, but count once in a histogram; a text is read who
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +25,17 @@ from ..functions.shared import written
 #: number that the lengths of the fifth below it have on average.
 LEAST, PEAK = 3, 15.0
 
-_SPACE = "[\\s​﻿]"
+BLANKS = " \t\n\x0b\f\r\u200b\ufeff"
 #: Marks that tools leave where they cut.
 MARK = (
-    r"(?i)(?:\.\.\.|…)\s*[\[(<](?:truncated|cut|clipped|shortened|snip(?:ped)?|more|continued)[^\])>]{0,40}[\])>]$"
+    r"(?i)(?:\.\.\.|…)\s{0,20}[\[(<](?:truncated|cut|clipped|shortened|snip(?:ped)?|more|continued)[^\])>]{0,40}[\])>]$"
     r"|[\[(<](?:truncated|text truncated|message truncated|message clipped|clipped|content cut|cut off|snip(?:ped)?|output truncated)[^\])>]{0,40}[\])>]$"
     r"|\[(?:\.\.\.|…)\]$"
 )
-END = "[.!?。！？…．؟।][\"'”’»」』)\\]*_`~]*$"
+#: No mark is longer (3 + 20 + 1 + 17 + 40 + 1), so no more of a text's end is searched for one.
+MARK_LENGTH = 100
+#: What ends a complete text, and what may close after it.
+STOPS, CLOSERS = ".!?。！？…．؟।", "\"'”’»」』)]*_`~"
 DOTS = r"(?:\.\.\.|…)$"
 #: Last lines that end without punctuation in complete texts: lists, headings, fences, links, chat, signatures, rows of data, key and value.
 LINE = (
@@ -45,7 +46,7 @@ LINE = (
     r"|(?:https?|ftp)://\S+[)>\]]?$"
     r"|^<?@[\w.<>-]+:\s"
     r"|^(?:—|–|--)\s*\S"
-    r"|^[^\s,;]+(?:[,;][^,;]+){2,}$"
+    r"|^[^\s,;]+(?:[,;][^,;]+){2,}+$"  # possessive: a line may have any number of cells
     r"|^[\w .-]{1,24}:\s\S.{0,60}$"
     r"|^[{\[<].*[}\]>]$"
 )
@@ -54,17 +55,18 @@ CHAT = r"^<?@[\w.<>-]+:\s"
 
 def _shape(text: Column) -> Column:
     """mark, dots, end, line, broken, other: how a text ends."""
-    t = F.regexp_replace(text, f"{_SPACE}+$", "")
-    tail = F.substring(t, -600, 600)
-    last = F.trim(F.substring_index(F.regexp_replace(tail, "\r", "\n"), "\n", -1))
+    t = F.rtrim(text, F.lit(BLANKS))
+    tail = F.substring(t, -MARK_LENGTH, MARK_LENGTH)
+    last = F.trim(F.substring_index(F.translate(t, "\r", "\n"), "\n", -1))
     fences = (F.length(t) - F.length(F.replace(t, F.lit("```"), F.lit("")))) / 3
+    stop = F.right(F.rtrim(t, F.lit(CLOSERS)), F.lit(1))
     return (
         F.when(tail.rlike(MARK), "mark")
-        .when(tail.endswith("�"), "broken")
+        .when(t.endswith("�"), "broken")
         .when(F.pmod(fences.cast("long"), F.lit(2)) == 1, "open")
         .when(tail.rlike(DOTS), "dots")
-        .when(tail.rlike(END), "end")
-        .when(last.rlike(r"^\|") & ~last.rlike(r"\|$"), "open")
+        .when((stop != "") & F.lit(STOPS).contains(stop), "end")
+        .when(last.rlike(r"^\|") & ~last.endswith("|"), "open")
         .when(last.rlike(CHAT), "chat")
         .when(last.rlike(LINE), "line")
         .otherwise("prose")
@@ -72,20 +74,20 @@ def _shape(text: Column) -> Column:
 
 
 def limits(measured: DataFrame) -> DataFrame:
-    """(source, chars, bytes): the length limits of each source, null where there is none."""
-    def one(unit: str) -> DataFrame:
-        texts = measured.filter("shape != 'broken'").groupBy("source", F.col(unit).alias("n"), "hash").agg(F.lit(1))
-        hist = texts.groupBy("source", "n").agg(F.count("*").alias("texts"))
-        top = hist.groupBy("source").agg(F.max_by("texts", "n").alias("at_top"), F.max("n").alias("top"))
-        near = hist.join(top.select(F.col("source").alias("__s"), "top"), F.col("source").eqNullSafe(F.col("__s")))
-        near = near.filter((F.col("n") < F.col("top")) & (F.col("n") >= F.col("top") * 0.8)).groupBy(F.col("__s")).agg(F.sum("texts").alias("below"))
-        both = top.join(near, F.col("source").eqNullSafe(F.col("__s")), "left")
-        usual = F.coalesce(F.col("below"), F.lit(0)) / F.greatest(F.col("top") * 0.2, F.lit(1.0))
-        spike = (F.col("at_top") >= LEAST) & (F.col("at_top") >= PEAK * usual)
-        return both.filter(spike).select(F.col("source").alias("source"), F.col("top").alias("limit"), F.lit(unit).alias("unit"))
-
-    found = reduce(DataFrame.unionByName, [one("chars"), one("bytes")])
-    return found.groupBy("source").agg(F.max(F.when(F.col("unit") == "chars", F.col("limit"))).alias("max_chars"), F.max(F.when(F.col("unit") == "bytes", F.col("limit"))).alias("max_bytes"))
+    """(source, max_chars, max_bytes): the length limits of each source, null where there is none.
+
+    One histogram for both units; the lengths of a source stay spread until their sums.
+    """
+    units = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("n"))))
+    texts = measured.filter("shape != 'broken'").select("source", "hash", units.alias("u")).select("source", "u.unit", "u.n", "hash").distinct()
+    hist = texts.groupBy("source", "unit", "n").agg(F.count("*").alias("texts"))
+    # one row for each length of a source and unit, sorted by length: the top and what lies in the fifth below it
+    lengths = hist.groupBy("source", "unit").agg(F.max_by("texts", "n").alias("at_top"), F.max("n").alias("top"))
+    on = hist["source"].eqNullSafe(lengths["source"]) & (hist["unit"] == lengths["unit"]) & (hist["n"] < lengths["top"]) & (hist["n"] >= lengths["top"] * 0.8)
+    below = lengths.join(hist, on, "left").groupBy(lengths["source"], lengths["unit"], "top", "at_top").agg(F.coalesce(F.sum("texts"), F.lit(0)).alias("below"))
+    spike = (F.col("at_top") >= LEAST) & (F.col("at_top") >= PEAK * F.col("below") / F.greatest(F.col("top") * 0.2, F.lit(1.0)))
+    at = lambda unit: F.max(F.when(F.col("unit") == unit, F.col("top")))
+    return below.filter(spike).groupBy("source").agg(at("chars").alias("max_chars"), at("bytes").alias("max_bytes"))
 
 
 def measure(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:

@@ -103,12 +103,13 @@ k AS (SELECT session_id, entry_id, kind, us, lag(kind) OVER o AS before, lead(ki
 keep AS (SELECT session_id FROM k GROUP BY 1 HAVING NOT bool_or((before IS NULL AND kind <> 'user') OR (kind = 'user' AND coalesce(after <> 'assistant', TRUE))))
 SELECT session_id, (sum(CASE WHEN before = kind THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY us, entry_id))::INT AS turn_no, kind AS speaker, entry_id FROM k
 WHERE session_id IN (SELECT session_id FROM keep) AND session_id NOT IN (SELECT session_id FROM w WHERE bad)"""
+_END = "[.!?。！？…．؟।][\"'”’»」』)\\]*_`~]*$"
 _CUTS = f"""
-WITH d AS (SELECT doc_id, source, text, regexp_replace(text, {_Q(f"{cuts._SPACE}+$")}, '') AS t FROM documents WHERE regexp_matches(text, {_Q("[^\\s\u200b\ufeff]")})),
-l AS (SELECT *, right(t, 600) AS tail, trim(split_part(replace(right(t, 600), chr(13), chr(10)), chr(10), -1)) AS last FROM d),
-s AS (SELECT doc_id, source, length(text) AS chars, strlen(text) AS bytes, text, CASE WHEN regexp_matches(tail, {_Q(cuts.MARK)}) THEN 'mark' WHEN suffix(tail, chr(65533)) THEN 'broken'
-  WHEN ((length(t) - length(replace(t, '```', ''))) // 3) % 2 = 1 THEN 'open' WHEN regexp_matches(tail, {_Q(cuts.DOTS)}) THEN 'dots' WHEN regexp_matches(tail, {_Q(cuts.END)}) THEN 'end'
-  WHEN prefix(last, '|') AND NOT suffix(last, '|') THEN 'open' WHEN regexp_matches(last, {_Q(cuts.CHAT)}) THEN 'chat' WHEN regexp_matches(last, {_Q(cuts.LINE)}) THEN 'line' ELSE 'prose' END AS shape FROM l),
+WITH d AS (SELECT doc_id, source, text, regexp_replace(text, {_Q(f"[\\s\u200b\ufeff]+$")}, '') AS t FROM documents WHERE regexp_matches(text, {_Q("[^\\s\u200b\ufeff]")})),
+l AS (SELECT *, trim(split_part(replace(t, chr(13), chr(10)), chr(10), -1)) AS last FROM d),
+s AS (SELECT doc_id, source, length(text) AS chars, strlen(text) AS bytes, text, CASE WHEN regexp_matches(t, {_Q(cuts.MARK)}) THEN 'mark' WHEN suffix(t, chr(65533)) THEN 'broken'
+  WHEN ((length(t) - length(replace(t, '```', ''))) // 3) % 2 = 1 THEN 'open' WHEN regexp_matches(t, {_Q(cuts.DOTS)}) THEN 'dots' WHEN regexp_matches(t, {_Q(_END)}) THEN 'end'
+  WHEN prefix(last, '|') AND NOT suffix(last, '|') THEN 'open' WHEN regexp_matches(last, {_Q(cuts.CHAT)}) THEN 'chat' WHEN regexp_matches(last, {_Q(cuts.LINE.replace("}+", "}"))}) THEN 'line' ELSE 'prose' END AS shape FROM l),
 h AS (SELECT source, unit, n, count(DISTINCT text) AS texts FROM (SELECT source, text, 'chars' AS unit, chars AS n FROM s WHERE shape <> 'broken' UNION ALL SELECT source, text, 'bytes', bytes FROM s WHERE shape <> 'broken') GROUP BY ALL),
 p AS (SELECT source, unit, max(n) AS top, arg_max(texts, n) AS at_top FROM h GROUP BY ALL),
 b AS (SELECT p.*, coalesce((SELECT sum(texts) FROM h WHERE h.source IS NOT DISTINCT FROM p.source AND h.unit = p.unit AND n < top AND n >= top * 0.8), 0) / greatest(top * 0.2, 1) AS usual FROM p),

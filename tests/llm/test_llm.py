@@ -306,3 +306,12 @@ def test_cuts(spark):
     share = {r.source: (r.n_cut, r.n_at_limit) for r in cuts.share(marked).collect()}
     assert share["limited"] == (32, 32) and share[None][1] == 0
     assert cuts.flagged(df.limit(0), "doc_id", "text", "source").count() == 0
+
+
+def test_long_last_lines(spark):
+    """A last line of any length is what it is: a list item, a row of a table, of data, of chat."""
+    words = " ".join(["word"] * 200)
+    texts = [f"Intro.\n- {words}", f"Intro.\n| {words} | {words} |", f"Intro.\n{','.join(['cell'] * 50_000)}", f"Intro.\n@bob: {words}", f"Intro.\n{words}", f"Intro {words}." + ")" * 700, "a " * 100_000 + "end", " " * 200_000 + "It ends." + " \n" * 50_000, f"Intro.\n| {words} | {words}"]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    got = {r.key: (r.shape, r.cut) for r in cuts.flagged(df, "doc_id", "text", "source").collect()}
+    assert got == {0: ("line", False), 1: ("line", False), 2: ("line", False), 3: ("chat", False), 4: ("prose", True), 5: ("end", False), 6: ("prose", True), 7: ("end", False), 8: ("open", True)}
