@@ -122,6 +122,26 @@ def declarations(mask: str, lang: str) -> list[tuple[int, int, int, str]]:
     return [found[k] for k in sorted(found)]
 
 
+_ENDS = re.compile(r"[{};]")
+
+
+def closing(mask: str, at: int) -> int:
+    """End of the block that opens at or after ``at``; of the statement where none opens."""
+    k, depth = at, 0
+    for m in _ENDS.finditer(mask, at):
+        c = m.group()
+        if c == "{":
+            depth += 1
+        elif c == "}":
+            depth -= 1
+            if depth <= 0:
+                return m.end()
+        elif depth == 0:
+            return m.end()
+        k = m.end()
+    return len(mask) if depth else k
+
+
 def language(metadata: str | None, path: str | None) -> str | None:
     meta = {}
     if metadata:

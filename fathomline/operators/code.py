@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CHARS_PER_TOKEN, Code
-from ..functions.source_text import HIDDEN, declarations, spans
+from ..functions.source_text import HIDDEN, closing, declarations, spans
 from ..functions.text import CODE_MARK, LANGUAGES, LICENCE_MARKS
 
 FIELDS = "chunk_id string, repo string, file_path string, text string, language string, entity_name string, entity_type string, line_range string, line_start int, line_end int, signature string, parent_entity string"
@@ -58,23 +58,6 @@ _VB_LINE = re.compile(r"(?im)^[ \t]*End[ \t]+(?P<end>\w+)|^[ \t]*(?:(?:Public|Pr
 _TERRAFORM = re.compile(r'(?m)^(?P<kind>\w+)(?P<labels>(?:[ \t]+"[^"\n]*")*)[ \t]*\{')
 
 
-def _closing(mask: str, at: int) -> int:
-    """End of the block that opens at or after ``at``; of the statement where none opens."""
-    k, depth = at, 0
-    for m in re.finditer(r"[{};]", mask[at:]):
-        c = m.group()
-        if c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if depth <= 0:
-                return at + m.end()
-        elif depth == 0:
-            return at + m.end()
-        k = at + m.end()
-    return len(mask) if depth else k
-
-
 def _python(text: str) -> list[tuple[str, str, int, int, str | None]]:
     try:
         tree = ast.parse(text)
@@ -131,7 +114,7 @@ def entities(text: str, language: str) -> list[tuple[str, str, int, int, str | N
         for m in _TERRAFORM.finditer(text):
             if text[: m.start()].count("{") == text[: m.start()].count("}"):
                 name = ".".join([m["kind"], *re.findall(r'"([^"]*)"', m["labels"])])
-                out.append((name, "block", m.start(), _closing(text, m.end() - 1), None))
+                out.append((name, "block", m.start(), closing(text, m.end() - 1), None))
         return out
     if lang == "vb":
         out, stack = [], []
@@ -152,11 +135,11 @@ def entities(text: str, language: str) -> list[tuple[str, str, int, int, str | N
     if lang not in _FUNCTION:
         return None
     mask = spans(text, lang)[0]
-    found = [(name, _FUNCTION[lang], start, _closing(mask, end - (mask[end - 1] == "{")), False) for start, _, end, name in declarations(mask, lang)]
+    found = [(name, _FUNCTION[lang], start, closing(mask, end - (mask[end - 1] == "{")), False) for start, _, end, name in declarations(mask, lang)]
     for kind, pattern in _CONTAINERS[lang]:
         for m in pattern.finditer(mask):
             start = m.start() + len(m.group()) - len(m.group().lstrip())
-            found.append((m["name"], kind, start, _closing(mask, m.end()), kind in _HOLDERS))
+            found.append((m["name"], kind, start, closing(mask, m.end()), kind in _HOLDERS))
     out, open_ = [], []
     for name, kind, a, b, holds in sorted(found, key=lambda x: (x[2], -x[3])):
         open_ = [x for x in open_ if x[3] > a]
