@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.source_text import ARGS, declarations, guess, language, spans
+from ..functions.source_text import ARGS, closing, declarations, guess, language, spans
 
 LEAST_WORDS = 5
 
@@ -49,9 +49,10 @@ _DIRECTIVE = re.compile(
     r"nolint|go:[a-z]+\b|\+build|lint:|nosonar|noinspection|checkstyle[:.]|@?suppresswarnings|spotless:|formatter:|resharper |rustfmt|clippy[: ]|clippy::|pragma |region\b|endregion\b|coverage:|@?formatter|stylelint|cspell|spell-?checker|sonar|codeql|biome-ignore|deno-lint|nopep8|cSpell)"
 )
 _TODO = re.compile(r"(?i)^\W*(?:todo|fixme|xxx|hack|tbd|wip|to be (?:done|documented|written)|needs? (?:doc|comment))\b")
+_LICENCE = re.compile(r"(?i)^\W*copyright\b|copyright \(c\)|^\W*\(c\)|licen[sc]ed under|spdx-|all rights reserved")
 _HEADER = re.compile(
-    r"(?i)@generated|auto-?generated|code generated|do not (?:edit|modify)|generated (?:by|from)|created automatically|copyright|\(c\)|licen[sc]ed under|spdx-|all rights reserved|"
-    r"this file is part of|imported without changes|bundled copy|ours, not a copy|at your own risk|the .{1,60} contributors$"
+    r"(?i)@generated|auto-?generated|code generated|do not (?:edit|modify)|generated (?:by|from)|(?:created|produced) automatically|\bthis file is part of|^\W*part of the .{1,60}\b(?:version|release|v) ?\d|"
+    r"\bupstream https?://|^\W*[\w.-]+ v\d+(?:\.\d+)+\b|^\W*the .{1,60} contributors$"
 )
 _XML_OUT = re.compile(r"(?is)<(param|typeparam|returns?|exception|example|code|remarks-code|seealso|permission|value|c)\b[^>]*>.*?(?:</\1>|\Z)|</?[a-z][\w.-]*(?:\s[^<>]*)?/?>")
 _FENCE = re.compile(r"(?s)```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)")
@@ -86,8 +87,8 @@ def prose(doc: str) -> list[str]:
             example = True
         if skip or example or _HEADER.search(bare) or _DIRECTIVE.match(bare):
             continue
-        if _TODO.match(bare):
-            skip = True  # the note goes on
+        if _TODO.match(bare) or _LICENCE.search(bare):
+            skip = True  # the note, the licence goes on
             continue
         if _CODE_LINE.search(bare):
             continue
@@ -165,8 +166,44 @@ def _docstring(text: str, mask: str, strings: dict[int, int], at: int) -> str |
     return body[: -len(m[2])] if body.endswith(m[2]) else body
 
 
-def documented(text: str, lang: str) -> list[tuple[str, int, str]]:
-    """(name, line of the name, documentation) of each function with real documentation."""
+def _body_end(mask: str, lang: str, start: int, head: int) -> int:
+    """End of the function whose head ends at ``head``: of its block, or of the statement where it has none."""
+    if lang != "python":
+        return min(len(mask), closing(mask, head - (mask[head - 1] in "{;")))
+    line = mask.rfind("\n", 0, start) + 1
+    indent = len(mask[line:start].expandtabs())
+    depth, k, n = 0, head, len(mask)
+    while k < n and (mask[k] != ":" or depth):  # the colon that ends the head
+        depth += (mask[k] in "([{") - (mask[k] in ")]}")
+        k += 1
+    end = mask.find("\n", k)
+    if end < 0:
+        return n
+    if mask[k + 1 : end].strip():
+        return end  # on one line
+    last = end
+    for m in _LINE.finditer(mask, end + 1):
+        if m[0].strip() and len(m["indent"].expandtabs()) <= indent:
+            break
+        if m[0].strip():
+            last = m.end()
+    return last
+
+
+_LINE = re.compile(r"(?m)^(?P<indent>[ \t]*).*$")
+
+
+def clean(doc: str) -> str:
+    """Documentation without comment marks and common indentation."""
+    plain = _MARKS.sub("", doc)
+    lines = [x.rstrip() for x in plain.strip("\n").split("\n")]
+    first = 0 if plain.startswith("\n") else 1  # what follows an opening quote isn't indented
+    deep = min((len(x) - len(x.lstrip()) for x in lines[first:] if x.strip()), default=0)
+    return "\n".join([*[x.strip() for x in lines[:first]], *[x[deep:] for x in lines[first:]]]).strip()
+
+
+def documented(text: str, lang: str) -> list[tuple[str, int, str, int, int]]:
+    """(name, line of the name, documentation, start of the declaration, end of its head) of each function with real documentation; places in the text with plain line ends."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     mask, comments, strings = spans(text, lang)
     found = declarations(mask, lang)
@@ -191,26 +228,53 @@ def documented(text: str, lang: str) -> list[tuple[str, int, str]]:
             if doc is not None and not counts(doc, name):
                 doc = None
         if doc is not None:
-            out.append((name, bisect.bisect_left(lines, place) + 1, doc))
+            out.append((name, bisect.bisect_left(lines, place) + 1, doc, start, end))
     return out
 
 
+def with_code(text: str, lang: str, found: list[tuple[str, int, str, int, int]]) -> list[tuple[int, int, str, str]]:
+    """(start, end, code, documentation) of found functions: places count from 0 in the text as it is, whatever its line ends."""
+    plain = text.replace("\r\n", "\n").replace("\r", "\n")
+    mask = spans(plain, lang)[0]
+    # plain places of the line ends that were two characters
+    twice = [m.start() - i for i, m in enumerate(re.finditer("\r\n", text))] if "\r\n" in text else []
+    out = []
+    for _, _, doc, start, head in found:
+        a, b = start, _body_end(mask, lang, start, head)
+        a, b = a + bisect.bisect_left(twice, a), b + bisect.bisect_left(twice, b)
+        out.append((a, b, text[a:b], clean(doc)))
+    return out
+
+
+def functions(chunks: DataFrame, chunk_id: str, text: str, metadata: str, path: str) -> DataFrame:
+    """(chunk_id, func_name, decl_line) of every function with real documentation."""
+    return _each(chunks, chunk_id, text, metadata, path, False)
+
+
 def pairs(chunks: DataFrame, chunk_id: str, text: str, metadata: str, path: str) -> DataFrame:
-    """(chunk_id, func_name, decl_line, documentation) of every function with real documentation."""
+    """(chunk_id, func_name, decl_line, start_pos, end_pos, code, documentation) of every function with real documentation.
+
+    code is the text from start_pos (from 1) up to end_pos (the last character), as it stands; documentation is without marks.
+    """
+    return _each(chunks, chunk_id, text, metadata, path, True)
+
+
+def _each(chunks: DataFrame, chunk_id: str, text: str, metadata: str, path: str, code: bool) -> DataFrame:
+    fields = [("func_name", "string", pa.string()), ("decl_line", "int", pa.int32())]
+    if code:
+        fields += [("start_pos", "int", pa.int32()), ("end_pos", "int", pa.int32()), ("code", "string", pa.string()), ("documentation", "string", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, names, lines, docs = [], [], [], []
+            at, rows = [], []
             for i, (t, meta, p) in enumerate(zip(*[batch.column(k).to_pylist() for k in (1, 2, 3)])):
                 if t and (lang := language(meta, p) or guess(t)):
-                    for name, line, doc in documented(t, lang):
-                        at.append(i)
-                        names.append(name)
-                        lines.append(line)
-                        docs.append(doc)
+                    found = documented(t, lang)
+                    at += [i] * len(found)
+                    rows += [(f[0], f[1], a + 1, b, c, d) for f, (a, b, c, d) in zip(found, with_code(t, lang, found))] if code else [f[:2] for f in found]
             if at:
-                cols = [batch.column(0).take(pa.array(at)), pa.array(names), pa.array(lines, pa.int32()), pa.array(docs)]
-                yield pa.RecordBatch.from_arrays(cols, names=["chunk_id", "func_name", "decl_line", "documentation"])
+                cols = [batch.column(0).take(pa.array(at)), *[pa.array(c, f[2]) for c, f in zip(zip(*rows), fields)]]
+                yield pa.RecordBatch.from_arrays(cols, names=["chunk_id", *[f[0] for f in fields]])
 
     rows = chunks.select(F.col(chunk_id).cast("string"), text, metadata, path)
-    return rows.mapInArrow(run, "chunk_id string, func_name string, decl_line int, documentation string")
+    return rows.mapInArrow(run, ", ".join(["chunk_id string", *[f"{n} {k}" for n, k, _ in fields]]))

@@ -12,7 +12,7 @@ from ..plans.problems import instants_sql
 from . import cuts
 from .conversations import conversations
 from .cuts import flagged, share
-from .documented import pairs
+from .documented import functions, pairs
 from .handwritten import not_by_hand
 from .leaks import find_leaks
 from .personal import Lexicon, find_places, learn, redact
@@ -28,7 +28,7 @@ def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p1_pairs(spark, sf_dir).select("chunk_id", "func_name", "decl_line")
+    return functions(_code(spark, sf_dir), "chunk_id", "text", "metadata", "file_path")
 
 
 def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,7 +71,7 @@ class A:
 
 
 def found(text, lang):
-    return [(n, i) for n, i, _ in documented.documented(text, lang)]
+    return [(n, i) for n, i, *_ in documented.documented(text, lang)]
 
 
 def test_python():
