@@ -130,6 +130,11 @@ def leaked(item: np.ndarray, ids: np.ndarray) -> bool:
     return any(aligned(item, ids[a:b]) >= need for a, b in zip(begins, ends))
 
 
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... n[0] of them, then those from first[1] on."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class Index:
     """Seeds and words of a set of items."""
 
@@ -147,12 +152,33 @@ class Index:
                     seeds.setdefault(self.vocab[w], []).append(i)
                 for h in grams(ids, RUN):
                     runs.setdefault(int(h), set()).add(i)
-        self.seeds = seeds
         self.seed_words = np.zeros(len(self.vocab) + 1, bool)
         self.seed_words[list(seeds)] = True
         self.run_items = {h: tuple(x) for h, x in runs.items()}
         self.run_keys = np.array(sorted(runs), np.int64)
-        self.unique = {i: np.unique(x, return_counts=True) for i, x in self.items.items()}
+        # the different words of all items one after another, and how often each item has them
+        self.order = list(self.items)
+        place = {i: k for k, i in enumerate(self.order)}
+        unique = [np.unique(self.items[i], return_counts=True) for i in self.order]
+        self.word = np.concatenate([u for u, _ in unique] or [np.zeros(0, np.int64)])
+        self.times = np.concatenate([c for _, c in unique] or [np.zeros(0, np.int64)])
+        self.size = np.array([len(u) for u, _ in unique], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.need = np.array([needed(len(self.items[i])) for i in self.order], np.int64)
+        # by word: the items of which it is a seed
+        posts = sorted((w, place[i]) for w, held in seeds.items() for i in held)
+        at, self.seeded = np.array(posts, np.int64).reshape(-1, 2).T
+        self.starts = np.searchsorted(at, np.arange(len(self.vocab) + 2))
+
+    def _holding(self, there: np.ndarray) -> list[int]:
+        """Items with a seed among the words that are there, of which four fifths are there."""
+        w = np.flatnonzero(there & self.seed_words)
+        if not len(w):
+            return []
+        items = np.unique(self.seeded[_ranges(self.starts[w], self.starts[w + 1] - self.starts[w])])
+        at = _ranges(self.first[items], self.size[items])
+        held = np.add.reduceat(self.times[at] * there[self.word[at]], np.cumsum(self.size[items]) - self.size[items])
+        return [self.order[k] for k in items[held >= self.need[items]]]
 
     @staticmethod
     def _among(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -178,9 +204,8 @@ class Index:
         there = np.zeros(len(self.vocab) + 1, bool)
         there[ids] = True
         there[0] = False
-        for i in {i for w in np.flatnonzero(there & self.seed_words).tolist() for i in self.seeds[w]} - found:
-            w, times = self.unique[i]
-            if times[there[w]].sum() >= needed(len(self.items[i])) and leaked(self.items[i], ids):
+        for i in self._holding(there):
+            if i not in found and leaked(self.items[i], ids):
                 found.add(i)
         return sorted(found)
 
