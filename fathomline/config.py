@@ -12,7 +12,7 @@ CHARS_PER_TOKEN = 4
 class Embedding:
     max_tokens: int = 8192
     batch_size: int = 64
-    dim: int = 768
+    dim: int = 256
 
 
 @dataclass(frozen=True)
@@ -34,6 +34,8 @@ class Code:
     doc_budget: float = 0.25
     header_min_chars: int = 40
     index_file_headers: bool = True
+    index_docs: bool = True
+    ignore_files: tuple[str, ...] = (".gitignore", ".indexignore")
     exclude: tuple[str, ...] = ("*.min.js", "vendor/**", "node_modules/**", "*.lock", "*.generated.*")
 
 
@@ -86,10 +88,23 @@ def _merge(kind: type, *layers: dict):
         if is_dataclass(default):
             given[f.name] = _merge(type(default), *values)
         elif values:
-            given[f.name] = tuple(values[-1]) if isinstance(values[-1], list) else values[-1]
+            given[f.name] = _typed(values[-1], default)
     return kind(**given)
 
 
+def _typed(value, default):
+    """A value in the type of the setting; what can't be one is an error, not a surprise later on."""
+    if isinstance(default, tuple):
+        return tuple(value) if isinstance(value, list | tuple) else tuple(x.strip() for x in str(value).split(",") if x.strip())
+    if isinstance(default, bool):
+        if isinstance(value, bool):
+            return value
+        if str(value).strip().lower() not in ("true", "false", "yes", "no", "on", "off", "1", "0"):
+            raise ValueError(f"not a truth value: {value!r}")
+        return str(value).strip().lower() in ("true", "yes", "on", "1")
+    return type(default)(value)
+
+
 def load(project: str | None = None, user: str | None = None) -> Config:
     """Settings from up to two YAML files; a missing file is an empty one."""
     import yaml

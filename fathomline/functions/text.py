@@ -35,7 +35,10 @@ LICENCE_MARKS = (
 NOISE_SUBTYPES = ("channel_join", "channel_leave", "channel_topic", "channel_purpose", "channel_name", "channel_archive", "channel_unarchive", "bot_add", "bot_remove")
 
 # Elements that are no words of a session.
-NOISE_TAGS = r"(?s)<(system-reminder|local-command-[A-Za-z0-9-]+)\b[^>]*>.*?</\1>"
+NOISE_TAGS = (r"(?s)<system-reminder>.*?</system-reminder>", r"(?s)<local-command-[^>]+>.*?</local-command-[^>]+>")
+
+#: What counts as blank at the ends of a text.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
 
 # Block nodes of a document tree.
 BLOCKS = frozenset(
@@ -56,6 +59,16 @@ def uuid5_url(name: Column) -> Column:
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 
 
+def without_noise(text: Column) -> Column:
+    """text without the elements of NOISE_TAGS."""
+    return reduce(lambda t, tag: F.regexp_replace(t, tag, ""), NOISE_TAGS, text)
+
+
+def stripped(text: Column) -> Column:
+    """text without blanks at its ends."""
+    return F.trim(text, F.lit(BLANKS))
+
+
 def truncated(text: Column, max_tokens: int = 512, mark: str = PLAIN_MARK) -> Column:
     """At most max_tokens * 4 characters, with a mark where cut."""
     n = max_tokens * CHARS_PER_TOKEN
@@ -128,6 +141,19 @@ def since_days(text: str) -> int | None:
     return int(m[1])
 
 
+def iso_before(now: str, days: int) -> str:
+    """The ISO time so many days before another one."""
+    from datetime import datetime, timedelta
+
+    return (datetime.fromisoformat(now.replace("Z", "+00:00")) - timedelta(days=days)).isoformat()
+
+
+def says_something(text: Column, least: int = 40) -> Column:
+    """Whether the head of a file is worth a chunk: not too short, and no licence."""
+    low = F.lower(text)
+    return (F.length(F.trim(text)) >= least) & ~reduce(lambda a, m: a | low.contains(m), LICENCE_MARKS, F.lit(False))
+
+
 def first_text(*columns: Column) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*[F.when(c != "", c) for c in columns])

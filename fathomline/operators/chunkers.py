@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CHARS_PER_TOKEN
-from ..functions.text import CODE_MARK, chunk_id, first_text, permalink, truncated
-from .windows import segments
+from ..functions.text import CODE_MARK, adf_text, chunk_id, first_text, permalink, stripped, truncated
+from .windows import gap_windows, segments
 
 # Document suffix -> language; only markdown has sections.
 DOCUMENTS = {".md": "markdown", ".mdx": "markdown", ".txt": "text", ".rst": "rst", ".html": "html", ".adoc": "asciidoc"}
@@ -112,36 +112,108 @@ def hunks(patch: Column) -> Column:
 
 
 def change_chunks(prs: DataFrame, files: DataFrame, comments: DataFrame, max_tokens: int = 512) -> DataFrame:
-    """prs: repo, pr_number, title, body; files: repo, pr_number, file_pos, filename, status, patch; comments: repo, pr_number, pos, user, path, body."""
+    """prs: repo, pr_number, title, body; files: repo, pr_number, file_pos, filename, status, patch; comments: repo, pr_number, pos, user, path, body.
+
+    Heads are stripped before they are cut; a file without a patch has no chunk, a comment without a user is by "unknown".
+    """
     cut = lambda c: truncated(c, max_tokens, CODE_MARK)
     ids = lambda kind, i: chunk_id(F.col("repo"), F.concat(F.lit("pr"), F.col("pr_number").cast("string")), kind, i)
     head = F.concat(F.lit("# PR #"), F.col("pr_number").cast("string"), F.lit(": "), F.coalesce("title", F.lit("")), F.lit("\n\n"), F.coalesce("body", F.lit("")))
-    out = ["chunk_id", "collection", "repo", "pr_number", "chunk_type", "file_path", "text"]
-    about = prs.withColumns({"chunk_id": ids("description", F.lit(0)), "collection": F.lit("pr_diffs"), "chunk_type": F.lit("description"), "file_path": F.lit(""), "text": cut(head)}).select(*out)
+    out = ["chunk_id", "collection", "repo", "pr_number", "chunk_type", "file_path", "reviewer", "text"]
+    none = F.lit(None).cast("string")
+    about = prs.withColumns({"chunk_id": ids("description", F.lit(0)), "collection": F.lit("pr_diffs"), "chunk_type": F.lit("description"), "file_path": F.lit(""), "reviewer": none, "text": cut(stripped(head))}).select(*out)
     each = files.select("repo", "pr_number", "file_pos", "filename", "status", F.posexplode(hunks(F.col("patch"))).alias("hunk_pos", "hunk"))
     # the index of a hunk within its change request; a change request is small, so the window's groups are
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("repo", "pr_number").orderBy("file_pos", "hunk_pos")) - 1
     body = F.concat(F.lit("File: "), F.col("filename"), F.lit(" ("), F.coalesce("status", F.lit("modified")), F.lit(")\n"), F.col("hunk"))
-    diffs = each.withColumn("n", n).withColumns({"chunk_id": ids("diff", F.col("n")), "collection": F.lit("pr_diffs"), "chunk_type": F.lit("diff"), "file_path": F.col("filename"), "text": cut(body)}).select(*out)
-    said = F.concat(F.lit("Review comment by "), F.col("user"), F.lit(" on "), F.coalesce("path", F.lit("")), F.lit(":\n"), F.coalesce(F.col("body"), F.lit("")))
-    talk = comments.withColumns({"chunk_id": ids("review_comment", F.col("pos")), "collection": F.lit("pr_discussions"), "chunk_type": F.lit("review_comment"), "file_path": F.coalesce("path", F.lit("")), "text": cut(said)}).select(*out)
+    diffs = each.withColumn("n", n).withColumns({"chunk_id": ids("diff", F.col("n")), "collection": F.lit("pr_diffs"), "chunk_type": F.lit("diff"), "file_path": F.col("filename"), "reviewer": none, "text": cut(body)}).select(*out)
+    who = F.coalesce("user", F.lit("unknown"))
+    said = F.concat(F.lit("Review comment by "), who, F.lit(" on "), F.coalesce("path", F.lit("")), F.lit(":\n"), F.coalesce(F.col("body"), F.lit("")))
+    talk = comments.withColumns({"chunk_id": ids("review_comment", F.col("pos")), "collection": F.lit("pr_discussions"), "chunk_type": F.lit("review_comment"), "file_path": F.coalesce("path", F.lit("")), "reviewer": who, "text": cut(said)}).select(*out)
     return about.unionByName(diffs).unionByName(talk)
 
 
+def _about(head: Column, title: Column, body: Column, max_tokens: int) -> Column:
+    """head title, a blank line, body: stripped, then cut."""
+    return truncated(stripped(F.concat(F.lit("["), head, F.lit("] "), F.coalesce(title, F.lit("")), F.lit("\n\n"), F.coalesce(body, F.lit("")))), max_tokens, CODE_MARK)
+
+
 def issue_text(repo: Column, number: Column, title: Column, body: Column, max_tokens: int = 512) -> Column:
-    text = F.concat(F.lit("["), repo, F.lit(" #"), number.cast("string"), F.lit("] "), F.coalesce(title, F.lit("")), F.lit("\n\n"), F.coalesce(body, F.lit("")))
-    return truncated(text, max_tokens, CODE_MARK)
+    return _about(F.concat(repo, F.lit(" #"), number.cast("string")), title, body, max_tokens)
 
 
 def ticket_text(instance: Column, key: Column, summary: Column, description: Column, max_tokens: int = 512) -> Column:
-    text = F.concat(F.lit("["), instance, F.lit(" "), key, F.lit("] "), F.coalesce(summary, F.lit("")), F.lit("\n\n"), F.coalesce(description, F.lit("")))
-    return truncated(text, max_tokens, CODE_MARK)
+    return _about(F.concat(instance, F.lit(" "), key), summary, description, max_tokens)
 
 
 def comment_text(user: Column, on: Column, body: Column, max_tokens: int = 512) -> Column:
-    return truncated(F.concat(F.lit("Comment by "), user, F.lit(" on "), on, F.lit(":\n\n"), F.coalesce(body, F.lit(""))), max_tokens, CODE_MARK)
+    who = F.coalesce(user, F.lit("unknown"))
+    return truncated(F.concat(F.lit("Comment by "), who, F.lit(" on "), on, F.lit(":\n\n"), F.coalesce(body, F.lit(""))), max_tokens, CODE_MARK)
+
+
+def _or_empty(df: DataFrame, *names: str) -> Column:
+    """The first of the columns that df has, '' for null and where it has none."""
+    have = [n for n in names if n in df.columns]
+    return F.coalesce(F.col(have[0]).cast("string"), F.lit("")) if have else F.lit("")
+
+
+def _joined(df: DataFrame, name: str) -> Column:
+    return F.coalesce(F.array_join(name, ","), F.lit("")) if name in df.columns else F.lit("")
+
+
+def labelled(df: DataFrame, labels: str, take: tuple[str, ...], leave: tuple[str, ...]) -> DataFrame:
+    """Rows with a label of take (any, where it is empty) and none of leave."""
+    held = lambda names: F.coalesce(F.arrays_overlap(labels, F.array(*map(F.lit, names))), F.lit(False))
+    df = df.filter(held(take)) if take else df
+    return df.filter(~held(leave)) if leave else df
+
+
+def issue_metadata(issues: DataFrame) -> DataFrame:
+    """issues with their metadata flat: issue_title, issue_state, issue_author, issue_labels, created_at, updated_at."""
+    cols = {
+        "issue_title": _or_empty(issues, "title"), "issue_state": _or_empty(issues, "issue_state", "state"), "issue_author": _or_empty(issues, "author_login", "author"),
+        "issue_labels": _joined(issues, "labels"), "created_at": _or_empty(issues, "created_at"), "updated_at": _or_empty(issues, "updated_at"),
+    }
+    return issues.withColumns(cols).drop("labels")
+
+
+def ticket_metadata(tickets: DataFrame) -> DataFrame:
+    """tickets with jira_instance, ticket_summary, ticket_status, ticket_type, reporter, assignee, priority, labels, created_at, updated_at."""
+    cols = {
+        "jira_instance": F.col("instance"), "ticket_summary": _or_empty(tickets, "summary"), "ticket_status": _or_empty(tickets, "ticket_status", "status"), "ticket_type": _or_empty(tickets, "ticket_type", "type"),
+        "reporter": _or_empty(tickets, "reporter"), "assignee": _or_empty(tickets, "assignee"), "priority": _or_empty(tickets, "priority"), "labels": _joined(tickets, "labels"),
+        "created_at": _or_empty(tickets, "created"), "updated_at": _or_empty(tickets, "updated"),
+    }
+    return tickets.withColumns(cols)
+
+
+def change_metadata(prs: DataFrame) -> DataFrame:
+    """(repo, pr_number, pr_title, pr_state, pr_author, pr_labels, merged_at)."""
+    return prs.select(
+        "repo", "pr_number", _or_empty(prs, "title").alias("pr_title"), _or_empty(prs, "pr_state", "state").alias("pr_state"), _or_empty(prs, "pr_author", "author").alias("pr_author"),
+        _joined(prs, "labels").alias("pr_labels"), _or_empty(prs, "merged_at").alias("merged_at"),
+    )
+
+
+def issue_chunks(issues: DataFrame, max_tokens: int = 512) -> DataFrame:
+    """issues (repo, issue_number, title, body, ...) with chunk_id, chunk_type and text of their descriptions."""
+    number = F.concat(F.lit("issue"), F.col("issue_number").cast("string"))
+    text = issue_text(F.col("repo"), F.col("issue_number"), F.col("title"), F.col("body"), max_tokens)
+    return issues.withColumns({"chunk_id": chunk_id(F.col("repo"), number, "description", "0"), "chunk_type": F.lit("description"), "text": text})
+
+
+def ticket_chunks(tickets: DataFrame, max_tokens: int = 512) -> DataFrame:
+    """tickets (instance, ticket_key, summary, description as a document tree, ...) with chunk_id, chunk_type and text of their descriptions."""
+    text = ticket_text(F.col("instance"), F.col("ticket_key"), F.col("summary"), adf_text(F.col("description")), max_tokens)
+    return tickets.withColumns({"chunk_id": chunk_id(F.col("instance"), F.col("ticket_key"), "description", "0"), "chunk_type": F.lit("description"), "text": text})
+
+
+def comment_chunks(comments: DataFrame, source: str, record: Column, user: Column, on: Column, body: Column, max_tokens: int = 512) -> DataFrame:
+    """comments (source, pos, ...) with chunk_id, chunk_type, comment_author and text."""
+    who = F.coalesce(user, F.lit("unknown"))
+    return comments.withColumns({"chunk_id": chunk_id(F.col(source), record, "comment", F.col("pos")), "chunk_type": F.lit("comment"), "comment_author": who, "text": comment_text(user, on, body, max_tokens)})
 
 
 def display_name(member_id: Column, handle: Column, real: Column, display: Column) -> Column:
@@ -170,12 +242,13 @@ def chat_chunks(messages: DataFrame, gap_s: int = 1800, cap: int = 50, max_token
     """
     from pyspark.sql import Window
 
+    from ..functions.shared import written
+
+    messages = written(messages.select("channel_id", "channel_name", "ts", "us", "msg_id", "line", "author", "root"), "messages")  # read several times below
     threads = messages.filter("root is not null").withColumn("key", F.col("root")).withColumn("chunk_type", F.lit("slack_thread"))
-    rest = messages.filter("root is null").withColumn("bucket", F.floor(F.col("us") / 86_400_000_000).cast("bigint"))
-    cut = segments(rest, ["channel_id"], ["us", "msg_id"], "bucket", gap=("us", gap_s * 1_000_000))
-    cut = cut.withColumn("__w", F.col("break_rn") + cap * F.floor((F.col("rn") - F.col("break_rn")) / cap)).drop("bucket")
-    first = F.first("ts").over(Window.partitionBy("channel_id", "__w").orderBy("us", "msg_id"))
-    windows = cut.withColumn("key", first).withColumn("chunk_type", F.lit("slack_window")).drop("rn", "break_rn", "__w")
+    cut = gap_windows(messages.filter("root is null"), ["channel_id"], "us", "msg_id", gap_s, cap)
+    first = F.first("ts").over(Window.partitionBy("channel_id", "window").orderBy("us", "msg_id"))
+    windows = cut.withColumn("key", first).withColumn("chunk_type", F.lit("slack_window")).drop("window")
     every = threads.unionByName(windows)
     own = ["channel_id", "channel_name", "chunk_type", "key"]
     # a text is cut at a length, so only the lines that reach it are collected; a thread of any size stays spread
@@ -196,11 +269,12 @@ def chat_chunks(messages: DataFrame, gap_s: int = 1800, cap: int = 50, max_token
 def session_chunks(entries: DataFrame, max_tokens: int = 512) -> DataFrame:
     """Exchanges of sessions: a prompt opens one, the answers up to the next prompt belong to it.
 
-    entries: session_id, us, entry_id, prompt (null or ''), answer (null or '').  Answers before
-    any prompt are left out; a prompt without an answer makes no chunk and takes no index.
+    entries: session_id, us, entry_id, prompt (null or ''), answer (null or ''), and of the prompt cwd, git_branch, entry_timestamp
+    where there are.  Answers before any prompt are left out; a prompt without an answer makes no chunk and takes no index.
     """
     from pyspark.sql import Window
 
+    about = [c for c in ("cwd", "git_branch", "entry_timestamp") if c in entries.columns]
     e = entries.withColumn("bucket", F.floor(F.col("us") / 86_400_000_000).cast("bigint")).withColumn("__p", F.coalesce(F.col("prompt") != "", F.lit(False)))
     cut = segments(e, ["session_id"], ["us", "entry_id"], "bucket", flag="__p").filter("break_rn is not null")
     # a text is cut at a length: answers behind it aren't collected
@@ -208,11 +282,12 @@ def session_chunks(entries: DataFrame, max_tokens: int = 512) -> DataFrame:
     seen = F.coalesce(F.sum(F.coalesce(F.length("answer"), F.lit(0))).over(before), F.lit(0))
     cut = cut.withColumn("__seen", seen).filter(F.col("__seen") <= max_tokens * CHARS_PER_TOKEN)
     said = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("rn", "prompt", "answer"))), lambda x: x["answer"]), lambda a: a != "")
-    grouped = cut.groupBy("session_id", "break_rn").agg(F.max(F.when(F.col("rn") == F.col("break_rn"), F.col("prompt"))).alias("prompt"), F.min("us").alias("us"), said.alias("answers"))
-    full = grouped.filter((F.size("answers") > 0) & F.col("prompt").isNotNull())
+    of_prompt = lambda c: F.max(F.when(F.col("rn") == F.col("break_rn"), F.col(c))).alias(c)
+    grouped = cut.groupBy("session_id", "break_rn").agg(*[of_prompt(c) for c in ("prompt", *about)], F.min("us").alias("us"), said.alias("answers"))
+    full = grouped.withColumn("__a", stripped(F.array_join("answers", "\n\n"))).filter((F.col("__a") != "") & F.col("prompt").isNotNull())
     # exchanges of a session are numbered; one row for each exchange, not for each entry
     turn = (F.row_number().over(Window.partitionBy("session_id").orderBy("break_rn")) - 1).cast("int")
-    body = F.concat(F.lit("User: "), F.col("prompt"), F.lit("\n\nAssistant: "), F.trim(F.array_join("answers", "\n\n")))
+    body = F.concat(F.lit("User: "), F.col("prompt"), F.lit("\n\nAssistant: "), F.col("__a"))
     return full.withColumn("turn_index", turn).select(
-        chunk_id("session", F.col("session_id"), F.col("turn_index")).alias("chunk_id"), "session_id", "turn_index", F.lit("session_exchange").alias("chunk_type"), "us", truncated(body, max_tokens).alias("text")
+        chunk_id("session", F.col("session_id"), F.col("turn_index")).alias("chunk_id"), "session_id", "turn_index", F.lit("session_exchange").alias("chunk_type"), "us", truncated(body, max_tokens).alias("text"), *about
     )

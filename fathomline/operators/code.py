@@ -230,9 +230,9 @@ def _header(text: str, comments: list[tuple[int, int]], strings: list[tuple[int,
 
 
 def code_chunks(files: DataFrame, cfg: Code = Code()) -> DataFrame:
-    """files: repo, file_path, text -> chunks (FIELDS)."""
-    names = [f.split()[0] for f in FIELDS.split(", ")]
-    kinds = [pa.int32() if f.endswith(" int") else pa.string() for f in FIELDS.split(", ")]
+    """files: repo, file_path, text -> chunks (FIELDS) with error: null, or why a file could not be cut (its one row has no text)."""
+    names = [*[f.split()[0] for f in FIELDS.split(", ")], "error"]
+    kinds = [*[pa.int32() if f.endswith(" int") else pa.string() for f in FIELDS.split(", ")], pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,8 +241,11 @@ def code_chunks(files: DataFrame, cfg: Code = Code()) -> DataFrame:
                 ext = re.search(r"[^./\\](\.[^./\\]+)$", path or "")
                 lang = LANGUAGES.get(ext[1].lower()) if ext else None
                 if lang and text:
-                    rows += chunk_file(repo or "", path, text, lang, cfg)
+                    try:
+                        rows += [(*r, None) for r in chunk_file(repo or "", path, text, lang, cfg)]
+                    except Exception as e:  # one file that can't be cut doesn't end the run
+                        rows.append((None, repo, path, *[None] * (len(names) - 4), f"{type(e).__name__}: {e}"))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return files.select(F.col("repo").cast("string"), F.col("file_path").cast("string"), F.col("text").cast("string")).mapInArrow(run, FIELDS)
+    return files.select(F.col("repo").cast("string"), F.col("file_path").cast("string"), F.col("text").cast("string")).mapInArrow(run, f"{FIELDS}, error string")

@@ -34,6 +34,7 @@ def hit_text(hits: DataFrame) -> Column:
     # participants is the only list among the columns
     people = F.when(F.size("participants") > 0, F.concat(F.lit(" ("), F.array_join("participants", ", "), F.lit(")"))).otherwise("") if "participants" in have else F.lit("")
     note = lambda label, value: F.when(value != "", F.concat(F.lit(label), value, F.lit("*")))
+    # The heads of answers.
     return (
         F.when(raw("issue_number").isNotNull() & spoken, fence("", F.when(comment, text_of("[Issue #", c("issue_number"), "] Comment by ", c("comment_author"))).otherwise(text_of("[Issue #", c("issue_number"), "] ", c("issue_title"), " (by ", c("issue_author"), ")"))))
         .when(raw("ticket_key").isNotNull() & spoken, fence("", F.when(comment, text_of("[Jira ", c("ticket_key"), "] Comment by ", c("comment_author"))).otherwise(text_of("[Jira ", c("ticket_key"), "] ", c("ticket_summary")))))
@@ -56,11 +57,58 @@ def render(hits: DataFrame) -> DataFrame:
 NOTHING = "No results found."
 
 
-def run_report(scanned: Column, indexed: Column, chunks: Column, skipped: Column, empty: Column, failed: Column, removed: Column) -> Column:
-    """One sentence for the counters of an indexing run."""
-    some = lambda n, *parts: F.when(n > 0, F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]))
+# ---- one sentence for a run
+
+
+def _some(n: Column | None, *parts) -> Column:
+    """The parts where n is above zero."""
+    if n is None:
+        return F.lit(None).cast("string")
+    return F.when(n > 0, F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]))
+
+
+def _sentence(joint: str, *parts: Column) -> Column:
+    return F.concat(F.concat_ws(joint, *parts), F.lit("."))
+
+
+def run_report(scanned: Column, indexed: Column, skipped: Column, removed: Column, empty: Column, failed: Column, chunks: Column) -> Column:
+    """One sentence for the counters of an indexing run (changes.COUNTERS)."""
     always = F.format_string("Scanned %d files. Indexed %d files (%d chunks). Skipped %d unchanged files", scanned, indexed, chunks, skipped)
-    return F.concat(F.concat_ws(". ", always, some(empty, empty, " files produced no chunks"), some(failed, failed, " files failed (see logs)"), some(removed, "Removed ", removed, " deleted files")), F.lit("."))
+    return _sentence(". ", always, _some(empty, empty, " files produced no chunks"), _some(failed, failed, " files failed (see logs)"), _some(removed, "Removed ", removed, " deleted files"))
+
+
+def folder_report(scanned: Column, indexed: Column, skipped: Column, removed: Column, empty: Column, failed: Column, chunks: Column) -> Column:
+    """The same for a folder of documents outside any repository."""
+    always = F.format_string("Scanned %d files. Indexed %d files (%d chunks).", scanned, indexed, chunks)
+    return F.concat(always, F.coalesce(_some(failed, " ", failed, " files failed (see logs)."), F.lit("")))
+
+
+def docs_report(scanned: Column, indexed: Column, skipped: Column, removed: Column, empty: Column, failed: Column, chunks: Column) -> Column:
+    """The same for the documents of a repository."""
+    always = F.format_string("Docs: indexed %d (%d chunks)", indexed, chunks)
+    return _sentence(", ", always, _some(skipped, "skipped ", skipped, " unchanged"), _some(failed, failed, " failed"), _some(removed, "removed ", removed, " deleted"))
+
+
+#: What each kind of source is called, and what is said of records that were skipped or failed.
+SYNCED = {
+    "prs": ("PRs", "PRs", "unchanged PRs"), "issues": ("issues", "issues", "issues (PRs or unchanged)"), "slite": ("Slite pages", "pages", "pages"), "jira": ("Jira tickets", "tickets", "tickets"),
+}
+
+
+def sync_report(kind: str, fetched: Column, indexed: Column, chunks: Column, skipped: Column, errored: Column | None = None) -> Column:
+    """One sentence for a sync of change requests, issues, pages or tickets."""
+    whole, part, left = SYNCED[kind]
+    return _sentence(
+        ". ", F.format_string(f"Fetched %d {whole}", fetched), F.format_string(f"Indexed %d {part} (%d chunks)", indexed, chunks), _some(skipped, "Skipped ", skipped, f" {left}"),
+        _some(errored, "Errored ", errored, f" {part}"),
+    )
+
+
+def chat_report(scanned: Column, threads: Column, windows: Column, chunks: Column, skipped: Column, errored: Column | None = None) -> Column:
+    always = F.format_string("Scanned %d Slack channels. Indexed %d threads + %d windows (%d chunks)", scanned, threads, windows, chunks)
+    return _sentence(". ", always, _some(skipped, "Skipped ", skipped, " channels (no new messages)"), _some(errored, "Errored ", errored, " channels"))
 
 
-__all__ = ["COLUMNS", "NOTHING", "first_text", "hit_text", "preview", "render", "run_report"]
+def session_report(scanned: Column, indexed: Column, sessions: Column, chunks: Column, skipped: Column) -> Column:
+    always = F.format_string("Scanned %d session files. Indexed %d files (%d sessions, %d chunks)", scanned, indexed, sessions, chunks)
+    return _sentence(". ", always, _some(skipped, "Skipped ", skipped, " empty files"))

@@ -1,16 +1,18 @@
 """Retrieval for batches of queries: BM25 and dense legs, fusion, rerank, preference, cap, top k.
 
-All queries of a batch run as one plan.  Chunks are (collection, chunk_id, text, ...),
-queries (qid, query, ...).  Filters are applied to the chunks before either leg.
-
-Scale: both legs read the chunks in place.  Queries are shipped in blocks of bounded size, every
-batch of chunks keeps its k best for each query, and only these are shuffled; no leg ever pairs
-a query with all chunks in a shuffle.
+All queries of a batch run as one plan.  What is searched was encoded once, when it was indexed: vectors
+lie beside the chunks, postings in a table of their own, partitioned by collection and by bucket of the
+term and sorted by term.  Queries are (qid, query); with a column collection each row is searched in that
+one alone, so that routing comes before scoring.
+
+Scale: the sparse leg reads the postings of the queries' terms only (partitions by bucket, row groups by term) and
+joins them by term; the dense leg multiplies vectors where they lie, each batch keeps its k best for each
+query, and only these are shuffled.  No leg pairs a query with all chunks in a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -24,8 +26,8 @@ K1, B = 1.2, 0.75
 TOKEN_SPLIT = r"[^\p{L}\p{N}_]+"
 #: Queries shipped in one pass of the dense leg.
 BLOCK = 4096
-#: Queries in one pass of the sparse leg, and chunks in one of its matrices.
-TEXT_BLOCK, ROWS = 512, 512
+#: Terms of a batch that are named in the scan of the postings; more are joined without that.
+NAMED_TERMS = 20_000
 #: Queries in a batch; a larger one is refused.
 MOST_QUERIES = 1_000_000
 
@@ -61,84 +63,55 @@ def _shipped(queries: DataFrame) -> list[tuple]:
     return rows
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> DataFrame:
-    """(qid, collection, chunk_id, score, rank): the k best of each query in each collection.
+POSTING = "collection string, chunk_id string, term string, tf int, length int, bucket int"
 
-    Okapi BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)) over the collection; a term counts
-    once in a query.  Scores are rounded, so that ties don't hang on the order of sums;
-    they break by chunk_id.
 
-    Two reads of the chunks, no shuffle of postings: the first counts the queries' terms (sums
-    for each collection and term), the second weighs each batch of chunks against a block of
-    queries as matrices and keeps the k best of the batch.
-    """
-    spark = chunks.sparkSession
-    asked = _shipped(queries.select("qid", F.array_distinct(tokens(F.col("query"))).alias("t")).filter(F.size("t") > 0))
-    id_type, qid_type = chunks.schema["chunk_id"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
-    schema, qid_arrow = f"qid {qid_type}, collection string, chunk_id {id_type}, score double", to_arrow_type(queries.schema["qid"].dataType)
-    if not asked:
-        return spark.createDataFrame([], schema + ", rank bigint")
-    split = chunks.select("collection", "chunk_id", tokens(F.col("text")).alias("t"))
-    sizes = {r[0]: (r[1], float(r[2] or 0)) for r in split.groupBy("collection").agg(F.count("*"), F.avg(F.size("t"))).toLocalIterator()}
-    terms = queries.select(F.explode(tokens(F.col("query"))).alias("term")).distinct()
-    counted = split.select("collection", F.explode(F.array_distinct("t")).alias("term")).join(terms, "term", "left_semi").groupBy("collection", "term").agg(F.count("*").alias("df"))
-    df: dict[str, dict[str, int]] = {}
-    for name, term, n in counted.toLocalIterator():  # terms of the queries x collections
-        df.setdefault(name, {})[term] = n
+def term_bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
-    def one(block: list) -> DataFrame:
-        vocab: dict[str, int] = {}
-        for _, ts in block:
-            for t in ts:
-                vocab.setdefault(t, len(vocab))
-        wanted = np.zeros((len(vocab), len(block)), np.float64)
-        for j, (_, ts) in enumerate(block):
-            wanted[[vocab[t] for t in ts], j] = 1.0
-        idf = {}
-        for name, (n, _) in sizes.items():
-            d = np.array([df.get(name, {}).get(t, 0) for t in vocab], np.float64)
-            idf[name] = np.log1p((n - d + 0.5) / (d + 0.5))
-        shipped = spark.sparkContext.broadcast((pa.array([i for i, _ in block], qid_arrow), vocab, wanted, idf, {c: v[1] for c, v in sizes.items()}))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, vocab, wanted, idf, mean = shipped.value
-            for batch in batches:
-                lists = batch.column(2)
-                length = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                coded = lists.flatten().dictionary_encode()
-                known = np.array([vocab.get(t, -1) for t in coded.dictionary.to_pylist()] or [-1], np.int64)
-                term = known[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
-                row = np.repeat(np.arange(batch.num_rows), length)
-                row, term = row[term >= 0], term[term >= 0]
-                names = np.array(batch.column(0).to_pylist(), object)
-                for name in set(names.tolist()):
-                    at = np.flatnonzero(names == name)
-                    for lo in range(0, len(at), ROWS):
-                        part = at[lo : lo + ROWS]
-                        place = np.full(batch.num_rows, -1, np.int64)
-                        place[part] = np.arange(len(part))
-                        mine = place[row] >= 0
-                        tf = np.bincount(place[row[mine]] * len(vocab) + term[mine], minlength=len(part) * len(vocab)).reshape(len(part), -1).astype(np.float64)
-                        used = tf.any(axis=0)
-                        tf = tf[:, used]
-                        norm = K1 * (1 - B + B * length[part] / max(mean[name], 1e-9))
-                        score = np.round((tf * (K1 + 1) / (tf + norm[:, None]) * idf[name][used]) @ wanted[used], digits)
-                        yield from _best(score.T, k, ids, name, batch.column(1), part)
-
-        return split.mapInArrow(run, schema)
-
-    found = reduce(DataFrame.unionByName, [one(asked[i : i + TEXT_BLOCK]) for i in range(0, len(asked), TEXT_BLOCK)])
-    return ranked(found, ["qid", "collection"], [F.desc("score"), F.asc("chunk_id")], k)
+def posting_rows(chunks: DataFrame, buckets: int) -> DataFrame:
+    """postings() with the bucket of each term, to be stored."""
+    return postings(chunks).select("collection", "chunk_id", "term", F.col("tf").cast("int").alias("tf"), F.col("length").cast("int").alias("length"), term_bucket(F.col("term"), buckets).alias("bucket"))
 
 
-def _best(score: np.ndarray, k: int, ids: pa.Array, name: str | None, keys: pa.Array, at: np.ndarray, positive: bool = True) -> Iterator[pa.RecordBatch]:
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(qid, collection?, term): a term counts once in a query."""
+    return queries.select("qid", *[c for c in ("collection",) if c in queries.columns], F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+
+
+def bm25(read: Callable[[Column | None], DataFrame], sizes: DataFrame, queries: DataFrame, k: int, buckets: int, digits: int = 9) -> DataFrame:
+    """(qid, collection, chunk_id, score, rank): the k best of each query in each collection.
+
+    read(where): stored postings under a condition on term and bucket; sizes: collection, n, avg_length.
+    Okapi BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)) over the collection.  Scores are
+    rounded, so that ties don't hang on the order of sums; they break by chunk_id.
+    """
+    terms = asked_terms(queries)
+    named = terms.select("term", term_bucket(F.col("term"), buckets)).distinct().limit(NAMED_TERMS + 1).collect()
+    where = None
+    if len(named) <= NAMED_TERMS:
+        where = F.col("bucket").isin(sorted({r[1] for r in named})) & F.col("term").isin([r[0] for r in named]) if named else F.lit(False)
+    hits = read(where)
+    df = hits.groupBy("collection", "term").agg(F.count("*").alias("df"))
+    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    known = df.join(sizes, "collection").select("collection", "term", idf.alias("idf"), "avg_length")
+    on = ["collection", "term"] if "collection" in terms.columns else ["term"]
+    weighed = hits.join(known, ["collection", "term"]).select(
+        "collection", "chunk_id", "term", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.greatest("avg_length", F.lit(1e-9))))).alias("w")
+    )
+    scored = weighed.join(terms, on).groupBy("qid", "collection", "chunk_id").agg(F.round(F.sum("w"), digits).alias("score")).filter("score > 0")
+    return ranked(scored, ["qid", "collection"], [F.desc("score"), F.asc("chunk_id")], k)
+
+
+def _best(score: np.ndarray, k: int, ids: pa.Array, name: str | None, keys: pa.Array, at: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The k best of each row of scores (queries x chunks), with all that tie with the last."""
     if score.shape[1] > k:
         edge = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
         keep = score >= edge[:, None]
     else:
         keep = np.ones(score.shape, bool)
-    q, c = np.nonzero(keep & (score > 0) if positive else keep)
+    q, c = np.nonzero(keep)
     if len(q):
         cols = [ids.take(pa.array(q)), pa.array([name] * len(q), pa.string()), keys.take(pa.array(at[c])), pa.array(score[q, c])]
         yield pa.RecordBatch.from_arrays(cols, names=["qid", "collection", "chunk_id", "score"])
@@ -147,22 +120,23 @@ def _best(score: np.ndarray, k: int, ids: pa.Array, name: str | None, keys: pa.A
 def nearest(items: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """(qid, collection, chunk_id, score, rank) by cosine similarity.
 
-    items: collection, chunk_id, embedding; queries: qid, embedding.  Null and zero vectors
-    match nothing.  Vectors stay where they are: each batch is multiplied with a block of
+    items: collection, chunk_id, embedding; queries: qid, embedding, and collection where each is
+    searched in that one.  Null and zero vectors match nothing.  Vectors stay where they are: each batch is multiplied with a block of
     queries, keeps k for each query and collection, and the few left meet in one shuffle.
     """
-    rows = [(i, v) for i, v in _shipped(queries.select("qid", "embedding")) if v and any(v)]
+    routed = "collection" in queries.columns
+    rows = [(i, v, c) for i, v, c in _shipped(queries.select("qid", "embedding", F.col("collection") if routed else F.lit(None))) if v and any(v)]
     qid_type, id_type = queries.schema["qid"].dataType.simpleString(), items.schema["chunk_id"].dataType.simpleString()
     schema, qid_arrow = f"qid {qid_type}, collection string, chunk_id {id_type}, score double", to_arrow_type(queries.schema["qid"].dataType)
     spark = items.sparkSession
 
     def one(block: list) -> DataFrame:
-        q = np.array([v for _, v in block], np.float64)
+        q = np.array([v for _, v, _ in block], np.float64)
         q /= np.linalg.norm(q, axis=1, keepdims=True)
-        shipped = spark.sparkContext.broadcast((pa.array([i for i, _ in block], qid_arrow), q))
+        shipped = spark.sparkContext.broadcast((pa.array([i for i, *_ in block], qid_arrow), q, np.array([c for *_, c in block], object)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = shipped.value
+            ids, q, wanted = shipped.value
             for batch in batches:
                 vectors = batch.column(2)
                 keep = np.array([bool(n) for n in pa.compute.fill_null(pa.compute.equal(pa.compute.list_value_length(vectors), q.shape[1]), False).to_pylist()])
@@ -175,8 +149,10 @@ def nearest(items: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> Da
                 names = np.array(part.column(0).to_pylist(), object)
                 for name in set(names.tolist()):
                     at = np.flatnonzero(names == name)
-                    s = np.round(q @ (x[at] / norm[at, None]).T, digits)
-                    yield from _best(s, k, ids, name, part.column(1), at, positive=False)
+                    mine = np.flatnonzero(wanted == name) if routed else np.arange(len(q))
+                    if len(mine):
+                        s = np.round(q[mine] @ (x[at] / norm[at, None]).T, digits)
+                        yield from _best(s, k, ids.take(pa.array(mine)), name, part.column(1), at)
 
         return items.select("collection", "chunk_id", "embedding").mapInArrow(run, schema)
 
@@ -186,6 +162,29 @@ def nearest(items: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> Da
     return ranked(found, ["qid", "collection"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
+def scalar_quantised(df: DataFrame, embedding: str = "embedding") -> DataFrame:
+    """embedding as bytes: each of its parts, of length 1 as a whole, times 127."""
+    norm = F.sqrt(F.aggregate(F.col(embedding), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return df.withColumn("__n", norm).withColumn(embedding, F.transform(embedding, lambda x: F.round(x.cast("double") / F.nullif(F.col("__n"), F.lit(0.0)) * 127).cast("tinyint"))).drop("__n")
+
+
+def sign_bits(df: DataFrame, embedding: str = "embedding") -> DataFrame:
+    """embedding as bits, ``signs`` ARRAY<BIGINT> of 32 each: whether a part is above zero."""
+    words = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(embedding) - 1) / 32), F.lit(0)).cast("int")), lambda w: F.slice(F.col(embedding), w * 32 + 1, 32))
+    packed = F.transform(words, lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda a, x: a * 2 + F.when(x > 0, 1).otherwise(0)))
+    return df.withColumn("signs", packed)
+
+
+def nearest_quantised(items: DataFrame, queries: DataFrame, k: int, oversample: int = 4, digits: int = 9) -> DataFrame:
+    """nearest() in two steps: k * oversample of each query by their bytes, then the k best of those by the vectors themselves."""
+    first = nearest(scalar_quantised(items), scalar_quantised(queries), k * oversample, 6).select("qid", "collection", "chunk_id")
+    pairs = first.join(items.select("collection", "chunk_id", "embedding"), ["collection", "chunk_id"]).join(queries.select("qid", F.col("embedding").alias("__q")), "qid")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    e, q = F.col("embedding"), F.col("__q")
+    scored = pairs.select("qid", "collection", "chunk_id", F.round(dot(e, q) / F.sqrt(dot(e, e)) / F.sqrt(dot(q, q)), digits).alias("score"))
+    return ranked(scored, ["qid", "collection"], [F.desc("score"), F.asc("chunk_id")], k)
+
+
 def hashed_vectors(df: DataFrame, keys: list[str], text: str, dim: int = 64) -> DataFrame:
     """(keys, embedding): term counts in dim hashed places, length 1; a deterministic embedding without a model.
 

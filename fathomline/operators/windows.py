@@ -45,13 +45,44 @@ def segments(df: DataFrame, keys: list[str], order: list[str], bucket: str, gap:
     return out.drop("__n", "__prev", "__cut", "__off", "__head", "__carry")
 
 
+DAY_US = 86_400_000_000
+
+
+def gap_windows(df: DataFrame, keys: list[str], us: str, tie: str, gap_s: int, cap: int) -> DataFrame:
+    """Adds window, the number within keys of the row that begins it: a window ends at a gap above gap_s or at cap rows."""
+    days = df.withColumn("__day", F.floor(F.col(us) / DAY_US).cast("bigint"))
+    cut = segments(days, keys, [us, tie], "__day", gap=(us, gap_s * 1_000_000))
+    return cut.withColumn("window", F.col("break_rn") + cap * F.floor((F.col("rn") - F.col("break_rn")) / cap)).drop("rn", "break_rn", "__day")
+
+
 def tie_safe(df: DataFrame, keys: list[str], time: str) -> DataFrame:
     """Adds commits: a run that stops after this row may move its cursor to the row's time.
 
-    True where no later row has the same time; a blank time never commits. One row of a key and
-    time decides for all, so rows meet by time, not by key.
+    True for the last row of each time; a blank time never commits and isn't sorted: such
+    rows stay where they are.  Rows meet by key and time, so a key of any size is spread over its times.
+    """
+    timed = F.coalesce(F.col(time), F.lit("")) != ""
+    order = [c for c in df.columns if c not in keys and c != time]
+    # of one time the greatest row commits; of equal rows one
+    last = df.filter(timed).groupBy(*keys, time).agg(F.max(F.struct(*order)).alias("__last"))
+    at = Window.partitionBy(*keys, time, *order).orderBy(F.lit(1))
+    ranked = df.filter(timed).withColumn("__k", F.row_number().over(at)).join(last, [*keys, time], "left")
+    marked = ranked.withColumn("commits", F.struct(*order).eqNullSafe(F.col("__last")) & (F.col("__k") == 1)).drop("__k", "__last")
+    return marked.unionByName(df.filter(~timed).withColumn("commits", F.lit(False)))
+
+
+def sweep(items: DataFrame, key: str, time: str, status: str) -> tuple[DataFrame, DataFrame]:
+    """(items taken, one row with the cursor) of a sweep in order of time, blank times first.
+
+    status: null or below 400: fetched; 429 and from 500: the service is to be left alone, the sweep
+    ends before; other: this item is given up.  The cursor may stand at the time of an item that was
+    fetched and after which a later time comes, or nothing; a blank time is always taken and never moves it.
     """
-    latest = df.groupBy(*keys, time).agg(F.count("*").alias("__same"))
-    at = Window.partitionBy(*keys, time).orderBy(*[c for c in df.columns if c not in keys and c != time])
-    ranked = df.withColumn("__k", F.row_number().over(at)).join(latest, [*keys, time], "left")
-    return ranked.withColumn("commits", (F.coalesce(F.col(time), F.lit("")) != "") & (F.col("__k") == F.col("__same"))).drop("__k", "__same")
+    at = F.struct(F.coalesce(F.col(time), F.lit("")).alias("t"), F.col(key).cast("string").alias("k"))
+    code = F.coalesce(F.col(status), F.lit(200))
+    rows = items.withColumn("__at", at).withColumn("__ok", code < 400)
+    end = rows.filter((code == 429) | (code >= 500)).agg(F.min("__at").alias("e")).first()["e"]  # one place
+    before = rows.withColumn("__in", F.lit(True) if end is None else F.col("__at") < F.struct(F.lit(end["t"]).alias("t"), F.lit(end["k"]).alias("k")))
+    taken = before.filter("__in and __ok").drop("__at", "__ok", "__in")
+    whole = before.filter(F.col("__at.t") != "").groupBy("__at.t").agg(F.min("__in").alias("all"), F.max_by("__ok", "__at").alias("last"))
+    return taken, whole.filter("all and last").agg(F.max("t").alias("cursor"))
