@@ -266,6 +266,12 @@ def chat_chunks(messages: DataFrame, gap_s: int = 1800, cap: int = 50, max_token
     )
 
 
+def chat_kinds(chunks: DataFrame) -> DataFrame:
+    """(channel_id, n_threads, n_windows) of chat_chunks."""
+    kind = lambda k: F.count_if(F.col("chunk_type") == k)
+    return chunks.groupBy("channel_id").agg(kind("slack_thread").alias("n_threads"), kind("slack_window").alias("n_windows"))
+
+
 def session_chunks(entries: DataFrame, max_tokens: int = 512) -> DataFrame:
     """Exchanges of sessions: a prompt opens one, the answers up to the next prompt belong to it.
 

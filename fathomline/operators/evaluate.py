@@ -12,11 +12,10 @@ def metrics(cases: DataFrame, results: DataFrame, k: int) -> DataFrame:
     cases: qid, expected ARRAY<STRING>; results: qid, rank, item.  Precision divides by the
     results there are among the k best; an item found twice counts twice.
     """
-    found = results.filter(F.col("rank") <= k).join(cases.select("qid", "expected"), "qid")
-    hit = F.array_contains("expected", F.col("item"))
-    every = results.join(cases.select("qid", "expected"), "qid").groupBy("qid").agg(F.min(F.when(hit, F.col("rank"))).alias("first"))
-    top = found.groupBy("qid").agg(F.count_if(hit).alias("hits"), F.count("*").alias("got"))
-    joined = cases.select("qid", F.size("expected").alias("wanted")).join(top, "qid", "left").join(every, "qid", "left")
+    hit, top = F.array_contains("expected", F.col("item")), F.col("rank") <= k
+    each = results.join(cases.select("qid", "expected"), "qid").groupBy("qid")
+    per = each.agg(F.count_if(hit & top).alias("hits"), F.count_if(top).alias("got"), F.min(F.when(hit, F.col("rank"))).alias("first"))
+    joined = cases.select("qid", F.size("expected").alias("wanted")).join(per, "qid", "left")
     share = lambda a, b: F.coalesce(F.when(F.col(b) > 0, F.col(a) / F.col(b)), F.lit(0.0))
     return joined.select("qid", share("hits", "got").alias("precision"), share("hits", "wanted").alias("recall"), F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"))
 

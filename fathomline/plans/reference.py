@@ -1,20 +1,26 @@
 """Queries of the retrieval engine's own operators over the project's tables, with the SQL they are checked against.
 
-A name begins with the id of the operator.  SQL stands beside the query where SQL can say the
-same over whole tables; ordered folds and model-free encoders have tests instead.
+A name begins with the id of the operator; each calls the operator as the engine does.  SQL stands beside the query where SQL can say the
+same over whole tables, written from the operator's definition; code chunks and packing of long sections have tests instead.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..config import Documents
 from ..functions.instants import with_instant, with_source_instant
-from ..operators import changes, chunkers, code, evaluate, render, router, search, windows
-from ..sources.files import EXCLUDED
+from ..functions.shared import exists, shared_dir, written
+from ..operators import changes, chunkers, code, evaluate, messages, render, router, search, windows
+from ..sources import files
+from ..sources.store import BUCKETS, ChunkStore
+from .problems import instants_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,8 +43,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _PATH = r"regexp_replace(regexp_replace(file_path, '[\\/]+', '/', 'g'), '^(\./)+', '')"
 _SUFFIX = r"lower(regexp_extract(regexp_extract(p, '([^/\\]*)$', 1), '[^.](\.[^.]+)$', 1))"
 _LANGUAGE = "CASE " + " ".join(f"WHEN sfx = '{k}' THEN '{v}'" for k, v in tx.LANGUAGES.items()) + " END"
-_EXCLUDED = " OR ".join(f"regexp_matches(p, '{tx.glob_regex(p)}')" for p in EXCLUDED)
-_GLOBS = ("**/*.md", "**/*.mdx", "**/*.txt", "**/*.rst", "**/*.html", "**/*.adoc")
+_EXCLUDED = " OR ".join(f"regexp_matches(p, '{tx.glob_regex(p)}')" for p in files.EXCLUDED)
+_GLOBS = Documents().globs
 _TOKENS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}_]+'), lambda t: t <> '')"
 
 # ---- sources ----------------------------------------------------------------------------------------------------
@@ -49,8 +55,7 @@ WITH p AS (SELECT DISTINCT repo, {_PATH} AS p FROM file_hashes), s AS (SELECT *,
 SELECT repo, p AS file_path, {_LANGUAGE} AS language FROM s WHERE {_LANGUAGE} IS NOT NULL AND NOT ({_EXCLUDED})""")
 def src01_discover(spark, sf):
     """SRC-01..04: code files that no rule excludes, with their language."""
-    p = table(spark, sf, "file_hashes").select("repo", tx.plain_path(F.col("file_path")).alias("file_path")).distinct()
-    return p.filter(~tx.ignored(F.col("file_path"), list(EXCLUDED))).withColumn("language", tx.language(F.col("file_path"))).filter("language is not null")
+    return files.code_of(table(spark, sf, "file_hashes").select("repo", "file_path")).distinct()
 
 
 @query(f"""
@@ -58,17 +63,18 @@ WITH p AS (SELECT DISTINCT {_PATH} AS p FROM chunks WHERE file_path IS NOT NULL)
 SELECT p AS file_path FROM p WHERE {" OR ".join(f"regexp_matches(p, '{tx.glob_regex(g)}')" for g in _GLOBS)}""")
 def src05_documents(spark, sf):
     """SRC-05, SET-04: documents that any glob takes, each once."""
-    p = table(spark, sf, "chunks").select(tx.plain_path(F.col("file_path")).alias("file_path"))
-    return p.filter(F.col("file_path").rlike("|".join(f"(?:{tx.glob_regex(g)})" for g in _GLOBS))).distinct()
+    return files.documents_of(table(spark, sf, "chunks").select("file_path").filter("file_path is not null"), _GLOBS)
 
 
 @query("""
-SELECT lower(trim(entry_type)) AS kind, count(*) AS n_lines, count(*) FILTER (WHERE message IS NOT NULL AND json_valid(message)) AS n_readable
-FROM session_logs GROUP BY 1""")
+SELECT kind, count(*) AS n_readable FROM (SELECT lower(trim(entry_type)) AS kind, message FROM session_logs WHERE message IS NOT NULL AND json_valid(message)) WHERE kind IS NOT NULL GROUP BY 1""")
 def src13_json_lines(spark, sf):
-    """SRC-13: lines that are JSON; others are dropped."""
-    df = table(spark, sf, "session_logs").select(F.lower(F.trim("entry_type")).alias("kind"), F.try_parse_json("message").alias("v"))
-    return df.groupBy("kind").agg(F.count("*").alias("n_lines"), F.count("v").alias("n_readable"))
+    """SRC-12/13: files of lines, those that are JSON; others are dropped."""
+    df = table(spark, sf, "session_logs").select(F.lower(F.trim("entry_type")).alias("kind"), F.regexp_replace("message", "[\r\n]+", " ").alias("value")).filter("kind is not null and value is not null")
+    where = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    df.write.partitionBy("kind").text(where)
+    lines = files.json_lines(spark, where, names="*.txt")
+    return lines.groupBy(F.regexp_extract("file", "/kind=([^/]*)/", 1).alias("kind")).agg(F.count("*").alias("n_readable"))
 
 
 @query("""
@@ -76,20 +82,24 @@ SELECT chunk_id, length(regexp_replace(text, '^﻿', '')) AS n_chars FROM (SELEC
 WHERE strlen(text) <= 1000""")
 def src15_size_cap(spark, sf):
     """SRC-15/16: texts up to a size, without a byte order mark."""
-    df = table(spark, sf, "chunks").select("chunk_id", "text").filter(F.octet_length("text") <= 1000).distinct()
-    return df.select("chunk_id", F.length(F.regexp_replace("text", "^﻿", "")).cast("bigint").alias("n_chars"))
+    df = files.sized(table(spark, sf, "chunks").select("chunk_id", "text").distinct(), "text", 1000)
+    return df.select("chunk_id", F.length("text").cast("bigint").alias("n_chars"))
 
 
 @query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
 def src18_newest(spark, sf):
     """SRC-18: the newest twenty rows of a log."""
-    return table(spark, sf, "events").select("event_id", "ts", "event_type").orderBy(F.desc("ts"), F.desc("event_id")).limit(20)
+    return evaluate.newest(table(spark, sf, "events").select("event_id", "ts", "event_type"), 20, "ts", "event_id")
 
 
-@query("SELECT repo, issue_number, max(updated_at) AS updated_at FROM issues WHERE updated_at >= '2025-10-01' GROUP BY ALL")
+@query(f"""SELECT repo, issue_number, max(us) AS us FROM ({instants_sql("issues", "repo, issue_number", "updated_at", "repo")})
+WHERE us >= epoch_us(TIMESTAMP '2025-10-01') OR us IS NULL GROUP BY ALL""")
 def src06_since(spark, sf):
-    """SRC-06/07, FLT-08: records whose time, as text, isn't before a cursor."""
-    return table(spark, sf, "issues").filter("updated_at >= '2025-10-01'").groupBy("repo", "issue_number").agg(F.max("updated_at").alias("updated_at"))
+    """SRC-06/07, FLT-08, FN-09: records that aren't before a cursor, by their instant; those without a time always."""
+    rows = with_source_instant(table(spark, sf, "issues").select("repo", "issue_number", "updated_at"), "updated_at", table(spark, sf, "source_zones"), "issues", "repo", "us")
+    none = spark.createDataFrame([], "source_key string, last_synced string")
+    fresh = changes.not_before(rows.withColumn("at", F.lpad(F.col("us").cast("string"), 20, "0")), none, "repo", "at", since=f"{1_759_276_800_000_000:020d}")
+    return fresh.groupBy("repo", "issue_number").agg(F.max("us").alias("us"))
 
 
 # ---- filters and projections ------------------------------------------------------------------------------------
@@ -124,12 +134,11 @@ def flt04_route(spark, sf):
 
 
 @query("""SELECT row_id, list_aggregate(labels, 'string_agg', ',') AS labels FROM (SELECT DISTINCT row_id, labels FROM issues)
-WHERE list_has_any(labels, ['bug', 'perf']) AND NOT list_has_any(labels, ['wontfix'])""")
+WHERE list_has_any(labels, ['bug', 'perf']) AND NOT coalesce(list_has_any(labels, ['wontfix']), FALSE)""")
 def flt06_labels(spark, sf):
     """FLT-06, FN-12, SET-03: labels that take in and leave out."""
-    df = table(spark, sf, "issues").select("row_id", "labels").distinct()
-    take, leave = (F.array(*map(F.lit, x)) for x in (("bug", "perf"), ("wontfix",)))
-    return df.filter(F.arrays_overlap("labels", take) & ~F.arrays_overlap("labels", leave)).select("row_id", F.array_join("labels", ",").alias("labels"))
+    df = chunkers.labelled(table(spark, sf, "issues").select("row_id", "labels").distinct(), "labels", ("bug", "perf"), ("wontfix",))
+    return df.select("row_id", F.array_join("labels", ",").alias("labels"))
 
 
 @query("""SELECT channel_id, count(*) AS n FROM slack_messages
@@ -137,28 +146,16 @@ WHERE channel_id IN (SELECT channel_id FROM slack_messages WHERE subtype = 'chan
 def flt10_channels(spark, sf):
     """FLT-10: channels that were joined; an allow-list would take their place."""
     m = table(spark, sf, "slack_messages").select("channel_id", "subtype")
-    joined = m.filter("subtype = 'channel_join'").select("channel_id").distinct()
-    return m.join(joined, "channel_id", "left_semi").groupBy("channel_id").agg(F.count("*").alias("n"))
+    return messages.selected(m, m.filter("subtype = 'channel_join'")).groupBy("channel_id").agg(F.count("*").alias("n"))
 
 
 _NOISE = ", ".join(f"'{x}'" for x in tx.NOISE_SUBTYPES)
 _USERS = "u AS (SELECT user_id, coalesce(nullif(display_name, ''), nullif(real_name, ''), nullif(handle, ''), user_id) AS name FROM slack_users)"
 
 
-def _users(spark, sf):
-    name = chunkers.display_name(F.col("user_id"), F.col("handle"), F.col("real_name"), F.col("display_name"))
-    return table(spark, sf, "slack_users").select("user_id", name.alias("name"))
-
-
-def _messages(spark, sf):
-    """Each message once, with its line of text (null: noise) and author."""
-    m = table(spark, sf, "slack_messages").select("msg_id", "channel_id", "ts", "text", "user_id", "thread_ts", "reply_count", "subtype").dropDuplicates(["msg_id"])
-    users = _users(spark, sf)
-    named = m.join(users, "user_id", "left").withColumn("author", F.coalesce("name", "user_id", F.lit("unknown"))).drop("name")
-    noise = F.coalesce(F.col("subtype").isin(*tx.NOISE_SUBTYPES), F.lit(False))
-    named = named.withColumn("text", F.when(~noise & (F.trim("text") != ""), F.trim("text")))
-    named = chunkers.with_mentions(named, "text", users, ["msg_id"])
-    return named.withColumn("line", F.concat(F.lit("@"), F.col("author"), F.lit(": "), F.col("text")))
+def _lines(spark, sf):
+    m = table(spark, sf, "slack_messages").select("msg_id", "channel_id", "ts", "text", "user_id", "thread_ts", "reply_count", "subtype")
+    return m, messages.names(table(spark, sf, "slack_users"))
 
 
 _MESSAGES = rf"""{_USERS}, m AS (SELECT DISTINCT ON (msg_id) * FROM slack_messages),
@@ -173,31 +170,46 @@ s AS (SELECT m.*, coalesce(u.name, m.user_id, 'unknown') AS author, CASE WHEN (s
 @query(f"WITH {_MESSAGES} SELECT msg_id, line FROM s WHERE line IS NOT NULL")
 def flt11_lines(spark, sf):
     """FLT-11, FN-03/04, JON-04: messages as lines with names, without noise."""
-    return _messages(spark, sf).filter("line is not null").select("msg_id", "line")
+    return messages.chat_lines(*_lines(spark, sf)).filter("line is not null").select("msg_id", "line")
 
 
 @query("SELECT DISTINCT chunk_id FROM chunks WHERE collection = 'code_chunks' AND length(trim(text)) >= 40 AND NOT (" + " OR ".join(f"lower(text) LIKE '%{m}%'" for m in tx.LICENCE_MARKS) + ")")
 def flt13_headers(spark, sf):
     """FLT-12/13: texts that say something and grant no licence."""
     df = table(spark, sf, "chunks").filter("collection = 'code_chunks'")
-    return df.filter((F.length(F.trim("text")) >= 40) & ~F.lower("text").rlike("|".join(tx.LICENCE_MARKS))).select("chunk_id").distinct()
+    return df.filter(tx.says_something(F.col("text"))).select("chunk_id").distinct()
 
 
 @query("SELECT c.chunk_id, c.repo FROM chunks c WHERE chunk_id IN (SELECT chunk_id FROM chunks GROUP BY 1 HAVING count(*) > 1)")
 def prj02_lookup(spark, sf):
     """PRJ-01/02, JON-07: rows by a list of ids."""
     c = table(spark, sf, "chunks").select("chunk_id", "repo")
-    return c.join(c.groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1").select("chunk_id"), "chunk_id", "left_semi")
+    return changes.lookup(c, c.groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1"), "chunk_id")
 
 
-@query("""SELECT DISTINCT row_id, repo, issue_number, coalesce(title, '') AS issue_title, issue_state, coalesce(author_login, '') AS issue_author,
-coalesce(list_aggregate(labels, 'string_agg', ','), '') AS issue_labels, created_at, updated_at FROM issues""")
+@query("""SELECT DISTINCT row_id, repo, issue_number, coalesce(title, '') AS issue_title, coalesce(issue_state, '') AS issue_state, coalesce(author_login, '') AS issue_author,
+coalesce(list_aggregate(labels, 'string_agg', ','), '') AS issue_labels, coalesce(created_at, '') AS created_at, coalesce(updated_at, '') AS updated_at FROM issues""")
 def prj03_issue_metadata(spark, sf):
-    """PRJ-03: nested rows as flat metadata."""
-    return table(spark, sf, "issues").select(
-        "row_id", "repo", "issue_number", F.coalesce("title", F.lit("")).alias("issue_title"), "issue_state", F.coalesce("author_login", F.lit("")).alias("issue_author"),
-        F.coalesce(F.array_join("labels", ","), F.lit("")).alias("issue_labels"), "created_at", "updated_at",
-    ).distinct()
+    """PRJ-03, FN-12: nested rows of issues as flat metadata."""
+    names = ("row_id", "repo", "issue_number", "issue_title", "issue_state", "issue_author", "issue_labels", "created_at", "updated_at")
+    return chunkers.issue_metadata(table(spark, sf, "issues")).select(*names).distinct()
+
+
+@query("""SELECT DISTINCT row_id, instance AS jira_instance, ticket_key, coalesce(summary, '') AS ticket_summary, coalesce(ticket_status, '') AS ticket_status, coalesce(ticket_type, '') AS ticket_type,
+coalesce(reporter, '') AS reporter, coalesce(assignee, '') AS assignee, coalesce(priority, '') AS priority, coalesce(list_aggregate(labels, 'string_agg', ','), '') AS labels,
+coalesce(created, '') AS created_at, coalesce(updated, '') AS updated_at FROM jira_tickets""")
+def prj03_ticket_metadata(spark, sf):
+    """PRJ-03: rows of tickets as flat metadata."""
+    names = ("row_id", "jira_instance", "ticket_key", "ticket_summary", "ticket_status", "ticket_type", "reporter", "assignee", "priority", "labels", "created_at", "updated_at")
+    return chunkers.ticket_metadata(table(spark, sf, "jira_tickets")).select(*names).distinct()
+
+
+@query("""WITH l AS (SELECT DISTINCT ON (repo, issue_number) * FROM issues ORDER BY repo, issue_number, fetched_at DESC, row_id DESC)
+SELECT repo, issue_number AS pr_number, coalesce(title, '') AS pr_title, coalesce(issue_state, '') AS pr_state, coalesce(author_login, '') AS pr_author,
+coalesce(list_aggregate(labels, 'string_agg', ','), '') AS pr_labels, coalesce(updated_at, '') AS merged_at FROM l""")
+def prj03_change_metadata(spark, sf):
+    """PRJ-03: change requests (issues stand in for them) as flat metadata."""
+    return chunkers.change_metadata(_changes(spark, sf)).select("repo", "pr_number", "pr_title", "pr_state", "pr_author", "pr_labels", "merged_at")
 
 
 # ---- retrieval --------------------------------------------------------------------------------------------------
@@ -207,6 +219,24 @@ def _chunks(spark, sf):
     return table(spark, sf, "documents").filter("text is not null").select("collection", F.col("doc_id").alias("chunk_id"), "source", "text")
 
 
+_STORES: dict[tuple[str, str], ChunkStore] = {}
+
+
+def _indexed(spark, sf):
+    """The documents indexed once for each session: a store with vectors and postings."""
+    key = (spark.sparkContext.applicationId, sf)
+    store = _STORES.get(key)
+    if store is None or not exists(spark, store.root):
+        schema = "chunk_id bigint, collection string, text string, source string, n_terms int, embedding array<double>"
+        posting = search.POSTING.replace("chunk_id string", "chunk_id bigint")
+        store = ChunkStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", schema, derived={"postings": (posting, lambda df: search.posting_rows(df, BUCKETS))})
+        rows = _chunks(spark, sf).withColumn("n_terms", F.size(search.tokens(F.col("text"))))
+        vectors = search.hashed_vectors(rows, ["chunk_id"], "text")
+        store.merge(rows.join(vectors, "chunk_id"))
+        _STORES[key] = store
+    return store
+
+
 def _queries(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
@@ -225,7 +255,7 @@ bm AS (SELECT *, row_number() OVER (PARTITION BY qid, collection ORDER BY score
 @query(f"WITH {_BM25} SELECT qid, collection, chunk_id, score, rank FROM bm WHERE rank <= 10")
 def ret02_bm25(spark, sf):
     """RET-02, AGG-11: the ten best of each query in each collection by BM25."""
-    return search.bm25(_chunks(spark, sf), _queries(spark, sf), 10)
+    return _sparse(spark, sf, 10)
 
 
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -250,17 +280,25 @@ de AS (SELECT *, row_number() OVER (PARTITION BY qid, collection ORDER BY score
  (SELECT qid, collection, id AS chunk_id, round(sum(hn.x * qn.x), 6) AS score FROM hn JOIN qn USING (d) GROUP BY ALL))"""
 
 
+def _sparse(spark, sf, k):
+    store = _indexed(spark, sf)
+    sizes = store.read().groupBy("collection").agg(F.count("*").alias("n"), F.avg("n_terms").alias("avg_length"))
+    return search.bm25(lambda where: store.read_derived("postings", where=where), sizes, _queries(spark, sf), k, BUCKETS)
+
+
+def _dense(spark, sf, k):
+    vectors = search.hashed_vectors(_queries(spark, sf), ["qid"], "query")
+    return search.nearest(_indexed(spark, sf).read().select("collection", "chunk_id", "embedding"), vectors, k, 6)
+
+
 def _legs(spark, sf, k):
-    chunks, asked = _chunks(spark, sf), _queries(spark, sf)
-    items, vectors = search.hashed_vectors(chunks, ["collection", "chunk_id"], "text"), search.hashed_vectors(asked, ["qid"], "query")
-    return search.nearest(items, vectors, k, 6), search.bm25(chunks, asked, k)
+    return _dense(spark, sf, k), _sparse(spark, sf, k)
 
 
 @query(f"WITH {_BM25}, {_DENSE} SELECT qid, collection, chunk_id, round(score, 6) AS score, rank FROM de WHERE rank <= 10")
 def enc01_hashed_dense(spark, sf):
     """ENC-01..03: the deterministic embedder, searched by cosine."""
-    items, vectors = search.hashed_vectors(_chunks(spark, sf), ["collection", "chunk_id"], "text"), search.hashed_vectors(_queries(spark, sf), ["qid"], "query")
-    return search.nearest(items, vectors, 10, 6)
+    return _dense(spark, sf, 10)
 
 
 _RRF = """
@@ -346,12 +384,45 @@ def ret11_search(spark, sf):
     return _answer(spark, sf).select("qid", "chunk_id", "rank")
 
 
-@query()
+@query(rf"""WITH {_BM25}, {_DENSE}, {_RRF}, {_MERGED}, {_RERANKED}, {_BOOSTED},
+cp AS (SELECT *, row_number() OVER (PARTITION BY qid, collection, source ORDER BY rank) AS k FROM bo),
+fi AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM (SELECT * FROM cp WHERE k <= 2)),
+tx AS (SELECT *, string_split(trim(text), chr(10)) AS ls FROM fi WHERE place <= 5)
+SELECT qid, string_agg('### ' || place || '. [' || coalesce(section_path, '') || '] ' || coalesce(source, 'unknown') || CASE WHEN section_path <> '' THEN chr(10) || '*Section: ' || section_path || '*' ELSE '' END
+ || chr(10) || '```' || chr(10) || array_to_string(ls[1:50], chr(10)) || CASE WHEN len(ls) > 50 THEN chr(10) || '# ... (truncated)' ELSE '' END || chr(10) || '```' || chr(10), chr(10) ORDER BY place) AS answer FROM tx GROUP BY qid""")
 def ret14_render(spark, sf):
     """RET-14: the answers as text."""
     return render.render(_answer(spark, sf).withColumn("chunk_type", F.lit("document")).withColumn("file_path", F.col("source")))
 
 
+_TEMPLATES = (
+    ("issue", dict(chunk_type="description", issue_number="7", issue_title="T", issue_author="a"), "[Issue #7] T (by a)", ""), ("issue comment", dict(chunk_type="comment", issue_number="7", comment_author="b"), "[Issue #7] Comment by b", ""),
+    ("ticket", dict(chunk_type="description", ticket_key="K-1", ticket_summary="S"), "[Jira K-1] S", ""), ("ticket comment", dict(chunk_type="comment", ticket_key="K-1", comment_author="b"), "[Jira K-1] Comment by b", ""),
+    ("session", dict(chunk_type="session_exchange", session_id="0123456789", project_dir="app", git_branch="main", timestamp="2025"), "[Session 01234567] app (main)", "*2025*"),
+    ("thread", dict(chunk_type="slack_thread", channel_name="gen"), "[Slack #gen] thread", ""), ("window", dict(chunk_type="slack_window", channel_name="gen"), "[Slack #gen] conversation", ""),
+    ("page", dict(chunk_type="slite_page", page_title="P", section_path="A > B", page_url="u"), "[Slite] P", "*Section: A > B*\n*URL: u*"), ("page without", dict(chunk_type="slite_page"), "[Slite] Untitled", ""),
+    ("review", dict(chunk_type="review_comment", pr_number="5", reviewer="r", file_path="f.py"), "[PR #5] Review comment by r on f.py", ""), ("change", dict(chunk_type="description", pr_number="5", pr_title="T", pr_author="a"), "[PR #5] T (by a)", ""),
+    ("diff", dict(chunk_type="diff", pr_number="5", pr_title="T", file_path="f.py"), "[PR #5] T — f.py", ""), ("code", dict(entity_name="run", file_path="f.py", line_range="1-2", language="python"), "run (f.py:1-2)", ""),
+)
+
+
+@query(
+    "SELECT kind, '### ' || rank || '. ' || head || chr(10) || CASE WHEN notes <> '' THEN notes || chr(10) ELSE '' END || '```' || lang || chr(10) || array_to_string(string_split(trim(text), chr(10))[1:50], chr(10)) || CASE WHEN len(string_split(trim(text), chr(10))) > 50 THEN chr(10) || '# ... (truncated)' ELSE '' END"
+    " || chr(10) || '```' || chr(10) AS block, rank FROM (SELECT text, doc_id AS rank FROM documents WHERE text IS NOT NULL AND collection = 'slite_pages'), (VALUES "
+    + ", ".join(f"('{k}', '{head}', '{notes}', '{'diff' if 'pr_number' in c else c.get('language', '')}')" for k, c, head, notes in _TEMPLATES)
+    + ") t(kind, head, notes, lang)"
+)
+def ret14_templates(spark, sf):
+    """RET-14: the head and the preview of every kind of hit."""
+    names = sorted({c for _, given, _, _ in _TEMPLATES for c in given})
+    heads = spark.createDataFrame([(k, *[given.get(c) for c in names]) for k, given, _, _ in _TEMPLATES], ", ".join(["kind string", *[f"{c} string" for c in names]]))
+    docs = table(spark, sf, "documents").filter("text is not null and collection = 'slite_pages'").select("text", F.col("doc_id").alias("rank"))
+    kinds = [h.asDict() for h in heads.collect()]
+    each = [docs.select("rank", "text", *[F.lit(h[c]).cast("string").alias(c) for c in ("kind", *names)]) for h in kinds]
+    every = reduce(DataFrame.unionByName, each)
+    return every.select("kind", render.hit_text(every).alias("block"), "rank")
+
+
 @query("""WITH c AS (SELECT DISTINCT cwd FROM session_logs WHERE cwd IS NOT NULL), r AS (SELECT DISTINCT regexp_extract(cwd, '^(/[^/]+/[^/]+/[^/]+)', 1) AS p FROM session_logs WHERE cwd IS NOT NULL)
 SELECT cwd, max(p) AS name FROM c JOIN r ON p <> '' AND (cwd = p OR starts_with(cwd, p || '/')) GROUP BY 1""")
 def ret12_infer_repo(spark, sf):
@@ -361,10 +432,31 @@ def ret12_infer_repo(spark, sf):
     return search.infer_repo(cwd, cwd.select(root.alias("repo_path"), root.alias("name")).filter("name <> ''").distinct())
 
 
-@query("SELECT collection, count(*) AS n_chunks, count(DISTINCT chunk_id) AS n_ids FROM chunks GROUP BY 1")
+@query("SELECT collection, count(*) AS n_chunks FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def ret15_count(spark, sf):
-    """RET-15, AGG-02: exact number of rows of a collection."""
-    return table(spark, sf, "chunks").groupBy("collection").agg(F.count("*").alias("n_chunks"), F.countDistinct("chunk_id").alias("n_ids"))
+    """RET-15, AGG-02: exact number of rows of a collection of the index."""
+    return _indexed(spark, sf).count()
+
+
+@query("SELECT doc_id AS chunk_id, collection, source FROM documents WHERE text IS NOT NULL AND doc_id % 7 = 0")
+def prj02_get(spark, sf):
+    """PRJ-01/02, SNK-01: rows of the index by id, every seventh asked for; ids that aren't there have none."""
+    asked = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id")).filter("chunk_id % 7 = 0").unionByName(spark.range(-3, 0).toDF("chunk_id"))
+    return _indexed(spark, sf).get(asked).select("chunk_id", "collection", "source")
+
+
+@query("""WITH n AS (SELECT doc_id, collection, text FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, collection, text || ' again' AS text FROM n WHERE collection = 'slite_pages'),
+k AS (SELECT doc_id FROM n WHERE collection = 'session_logs') SELECT doc_id AS chunk_id, collection, length(text) AS n_chars FROM
+ (SELECT * FROM n WHERE collection NOT IN ('slite_pages', 'session_logs', 'slack_messages') UNION ALL SELECT * FROM r)""")
+def snk02_store(spark, sf):
+    """SNK-02..05: rows put in, put in again with other texts, deleted by id, and a collection dropped."""
+    store = ChunkStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", "chunk_id bigint, collection string, text string", compact_at=2)
+    rows = table(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").alias("chunk_id"), "collection", "text")
+    store.merge(rows)
+    store.merge(rows.filter("collection = 'slite_pages'").withColumn("text", F.concat("text", F.lit(" again"))))
+    store.delete(rows.filter("collection = 'session_logs'"))
+    store.drop("slack_messages")
+    return store.read().select("chunk_id", "collection", F.length("text").cast("bigint").alias("n_chars"))
 
 
 @query(rf"SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents WHERE text IS NOT NULL) GROUP BY 1")
@@ -374,34 +466,75 @@ def enc04_postings(spark, sf):
     return p.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 
-@query("""SELECT vec_id, list_aggregate(list_transform(embedding, lambda x: round(x::DOUBLE * 127)::INT), 'sum')::BIGINT AS scalar_sum,
-len(list_filter(embedding, lambda x: x > 0))::BIGINT AS bits FROM embeddings""")
+_UNIT = "list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))"
+
+
+@query(f"""WITH e AS (SELECT vec_id, {_UNIT} AS v FROM embeddings), b AS (SELECT vec_id, v, list_transform(v, lambda x: round(x * 127)) AS c FROM e),
+n AS (SELECT vec_id, v, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS c FROM b),
+f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS k FROM (SELECT q.vec_id AS qid, i.vec_id AS chunk_id, q.v AS qv, i.v AS iv, round(list_dot_product(q.c, i.c), 6) AS score FROM n q, n i WHERE q.vec_id % 100 = 0)),
+s AS (SELECT qid, chunk_id, round(list_dot_product(qv, iv), 6) AS score FROM f WHERE k <= 40)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""")
 def snk10_quantised(spark, sf):
-    """SNK-10: vectors as bytes and as sign bits."""
+    """SNK-10: search over vectors as bytes, the best scored again by the vectors themselves."""
     e = table(spark, sf, "embeddings")
-    bytes_ = F.transform("embedding", lambda x: F.round(x.cast("double") * 127).cast("int"))
-    return e.select("vec_id", F.aggregate(bytes_, F.lit(0), lambda a, x: a + x).cast("bigint").alias("scalar_sum"), F.size(F.filter("embedding", lambda x: x > 0)).cast("bigint").alias("bits"))
+    items = e.select(F.lit("vectors").alias("collection"), F.col("vec_id").alias("chunk_id"), "embedding")
+    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    return search.nearest_quantised(items, asked, 10, digits=6).select("qid", "chunk_id", "score", "rank")
+
+
+@query("""SELECT vec_id, list_reduce(list_transform(embedding[1:32], lambda x: (x > 0)::BIGINT), lambda a, b: a * 2 + b) AS low, list_reduce(list_transform(embedding[33:64], lambda x: (x > 0)::BIGINT), lambda a, b: a * 2 + b) AS high FROM embeddings""")
+def snk10_signs(spark, sf):
+    """SNK-10: vectors as sign bits."""
+    e = search.sign_bits(table(spark, sf, "embeddings"))
+    return e.select("vec_id", F.col("signs")[0].alias("low"), F.col("signs")[1].alias("high"))
 
 
 # ---- chunkers ---------------------------------------------------------------------------------------------------
 
 
-@query()
+_SECTIONS = r"""
+p AS (SELECT DISTINCT ON (row_id) row_id, page_id, content FROM slite_pages WHERE content IS NOT NULL ORDER BY row_id),
+l AS (SELECT row_id, page_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT row_id, page_id, string_split(content, chr(10)) AS ls FROM p)),
+h AS (SELECT *, regexp_matches(line, '^#{1,4}[ \t\r\f\v]+[^\n]+$') AS head FROM l),
+g AS (SELECT *, sum(head::INT) OVER (PARTITION BY row_id ORDER BY i) AS n FROM h),
+b AS (SELECT row_id, page_id, n, coalesce(max(CASE WHEN head THEN line END), '') AS line, trim(coalesce(string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY i), ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM g GROUP BY ALL),
+r AS (SELECT row_id, n::BIGINT AS n, []::VARCHAR[] AS open FROM b WHERE n = (SELECT min(n) FROM b x WHERE x.row_id = b.row_id) AND n = 0
+ UNION ALL SELECT row_id, 0, []::VARCHAR[] FROM b WHERE n = 1 AND row_id NOT IN (SELECT row_id FROM b WHERE n = 0)
+ UNION ALL SELECT b.row_id, b.n, list_append(r.open[1:length(regexp_extract(b.line, '^#+')) - 1], trim(regexp_replace(b.line, '^#+', ''), chr(32) || chr(9) || chr(13))) FROM r JOIN b ON b.row_id = r.row_id AND b.n = r.n + 1),
+s AS (SELECT b.row_id, b.page_id, b.n, CASE WHEN len(open) = 0 THEN 'Document' ELSE array_to_string(open, ' > ') END AS section_path, body FROM b JOIN r USING (row_id, n) WHERE body <> '')"""
+
+
+@query(f"WITH RECURSIVE {_SECTIONS} SELECT row_id, section_path, row_number() OVER (PARTITION BY row_id ORDER BY n) - 1 AS section_index, length(body) AS n_chars, sha256(body) AS hash FROM s")
 def chk01_sections(spark, sf):
-    """CHK-01/03/04: pages cut along headings, then to size."""
-    pages = table(spark, sf, "slite_pages").select("row_id", "page_id", "content").dropDuplicates(["row_id"])
-    return chunkers.document_chunks(pages, "row_id", "content", "page_id", prefix="slite", markdown=True)
+    """CHK-01: pages cut along headings, each section whole."""
+    out = chunkers.document_chunks(_pages(spark, sf), "row_id", "content", "page_id", prefix="slite", markdown=True, max_tokens=1 << 24)
+    return out.select("row_id", "section_path", F.col("section_index").cast("bigint").alias("section_index"), F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("hash"))
 
 
-@query(r"""WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(replace(text, chr(13), ''), '\n[ \t\n\x0b\f]*\n')) AS p, generate_subscripts(regexp_split_to_array(replace(text, chr(13), ''), '\n[ \t\n\x0b\f]*\n'), 1) AS i FROM documents
- WHERE text IS NOT NULL)
-SELECT doc_id, 'Paragraph ' || i AS section_path, length(trim(p, chr(32) || chr(9) || chr(10) || chr(11) || chr(12))) AS n FROM p WHERE trim(p, chr(32) || chr(9) || chr(10) || chr(11) || chr(12)) <> ''""")
+def _pages(spark, sf):
+    return table(spark, sf, "slite_pages").select("row_id", "page_id", "content").dropDuplicates(["row_id"])
+
+
+@query(f"WITH RECURSIVE {_SECTIONS} SELECT row_id, page_id, section_path, string_split(section_path, ' > ')[-1] AS entity_name, substr(sha256('slite:' || page_id || ':' || section_path || ':' || (row_number() OVER (PARTITION BY row_id ORDER BY n) - 1)), 1, 16) AS chunk_id, body AS text FROM s WHERE row_id NOT IN (SELECT row_id FROM s WHERE length(body) > 2048)")
+def chk04_pages(spark, sf):
+    """CHK-04/20: pages as chunks with ids, of pages without a section that has to be cut (cutting is chk03)."""
+    pages = _pages(spark, sf)
+    out = written(chunkers.document_chunks(pages, "row_id", "content", "page_id", prefix="slite", markdown=True), "pages")
+    long = chunkers.document_chunks(pages, "row_id", "content", "page_id", prefix="slite", markdown=True, max_tokens=1 << 24).filter(F.length("text") > 2048).select("row_id").distinct()
+    return out.join(long, "row_id", "left_anti").join(pages.select("row_id", "page_id"), "row_id").select("row_id", "page_id", "section_path", "entity_name", "chunk_id", "text")
+
+
+_WS = r"[\t\n\v\f\r \x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@query(rf"""WITH p AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\n{_WS}*\n') AS ps FROM documents WHERE text <> '')),
+s AS (SELECT doc_id, i, regexp_replace(regexp_replace(p, '^{_WS}+', ''), '{_WS}+$', '') AS body FROM p)
+SELECT doc_id, 'Paragraph ' || i AS section_path, length(body) AS n, sha256(body) AS hash FROM s WHERE body <> ''""")
 def chk02_paragraphs(spark, sf):
     """CHK-02: paragraphs of plain text; blank ones count in the labels only."""
-    docs = table(spark, sf, "documents").filter("text is not null").select("doc_id", F.replace("text", F.lit("\r"), F.lit("")).alias("text"))
-    parts = docs.select("doc_id", F.posexplode(F.split("text", r"\n[ \t\n\x0B\f]*\n")).alias("i", "p"))
-    body = F.regexp_replace("p", r"^[ \t\n\x0B\f]+|[ \t\n\x0B\f]+$", "")
-    return parts.filter(body != "").select("doc_id", F.concat(F.lit("Paragraph "), (F.col("i") + 1).cast("string")).alias("section_path"), F.length(body).cast("bigint").alias("n"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.lit("x.txt").alias("path"))
+    out = chunkers.document_chunks(docs, "doc_id", "text", "path", max_tokens=1 << 24)
+    return out.select("doc_id", "section_path", F.length("text").cast("bigint").alias("n"), F.sha2("text", 256).alias("hash"))
 
 
 @query()
@@ -415,7 +548,7 @@ def chk03_documents(spark, sf):
 def chk05_code(spark, sf):
     """CHK-05..12: whole files cut along their entities."""
     whole = table(spark, sf, "chunks").filter("collection = 'code_chunks' and get_json_object(metadata, '$.entity_type') = 'file'")
-    return code.code_chunks(whole.select("repo", "file_path", "text").distinct())
+    return code.code_chunks(whole.select("repo", "file_path", "text").distinct()).filter("error is null").drop("error")
 
 
 @query("""WITH d AS (SELECT doc_id, '@@ -1 +1 @@' || chr(10) || replace(text, '## ', '@@ ') AS patch FROM documents WHERE collection = 'pr_diffs' AND text IS NOT NULL)
@@ -428,81 +561,127 @@ def chk13_hunks(spark, sf):
 
 
 _CUT = "CASE WHEN length(t) > 2048 THEN left(t, 2048) || chr(10) || '# ... (truncated)' ELSE t END"
+_BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(8232) || chr(8233) || chr(12288)"
+
+
+def _changes(spark, sf):
+    """Issues in the place of change requests: the version fetched last of each."""
+    last = changes.latest(table(spark, sf, "issues"), ["repo", "issue_number"], [F.col("fetched_at"), F.col("row_id")])
+    return last.select("repo", F.col("issue_number").alias("pr_number"), "title", "body", "labels", F.col("issue_state").alias("state"), F.col("author_login").alias("author"), F.col("updated_at").alias("merged_at"))
+
+
+_PATCH = "'@@ -1 +1 @@' || chr(10) || replace(text, '. ', chr(10) || '@@ ')"
+
+
+@query(f"""WITH l AS (SELECT DISTINCT ON (repo, issue_number) * FROM issues ORDER BY repo, issue_number, fetched_at DESC, row_id DESC),
+h AS (SELECT repo, issue_number, trim('# PR #' || issue_number || ': ' || coalesce(title, '') || chr(10) || chr(10) || coalesce(body, ''), {_BLANK}) AS t FROM l),
+d AS (SELECT source AS repo, doc_id % 50 + 1 AS n, doc_id, unnest(hs) AS hunk, generate_subscripts(hs, 1) AS k FROM (SELECT *, string_split(regexp_replace({_PATCH}, chr(10) || '@@', chr(1) || '@@', 'g'), chr(1)) AS hs FROM documents WHERE collection = 'pr_diffs' AND text <> '')),
+f AS (SELECT repo, n, row_number() OVER (PARTITION BY repo, n ORDER BY doc_id, k) - 1 AS i, 'File: f' || doc_id || '.py (modified)' || chr(10) || hunk AS t, 'f' || doc_id || '.py' AS path FROM d),
+c AS (SELECT source AS repo, doc_id % 50 + 1 AS n, doc_id, 'Review comment by ' || coalesce(lang, 'unknown') || ' on ' || coalesce(section_path, '') || ':' || chr(10) || coalesce(text, '') AS t, coalesce(section_path, '') AS path, coalesce(lang, 'unknown') AS reviewer FROM documents WHERE collection = 'issue_descriptions')
+SELECT substr(sha256(repo || ':pr' || issue_number || ':description:0'), 1, 16) AS chunk_id, 'pr_diffs' AS collection, repo, issue_number::INT AS pr_number, 'description' AS chunk_type, '' AS file_path, NULL AS reviewer, {_CUT} AS text FROM h
+UNION ALL SELECT substr(sha256(repo || ':pr' || n || ':diff:' || i), 1, 16), 'pr_diffs', repo, n::INT, 'diff', path, NULL, {_CUT} FROM f WHERE repo IS NOT NULL
+UNION ALL SELECT substr(sha256(repo || ':pr' || n || ':review_comment:' || doc_id), 1, 16), 'pr_discussions', repo, n::INT, 'review_comment', path, reviewer, {_CUT} FROM c WHERE repo IS NOT NULL""")
+def chk14_changes(spark, sf):
+    """CHK-13/14: change requests as chunks: issues stand in for them, documents for their patches and comments."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source", "collection", "lang", "section_path").filter("source is not null").withColumn("pr_number", (F.col("doc_id") % 50 + 1).cast("int"))
+    patch = F.when(F.col("text") != "", F.concat(F.lit("@@ -1 +1 @@\n"), F.replace("text", F.lit(". "), F.lit("\n@@ "))))
+    patches = docs.filter("collection = 'pr_diffs'").select(F.col("source").alias("repo"), "pr_number", F.col("doc_id").alias("file_pos"), F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".py")).alias("filename"), F.lit(None).cast("string").alias("status"), patch.alias("patch"))
+    said = docs.filter("collection = 'issue_descriptions'").select(F.col("source").alias("repo"), "pr_number", F.col("doc_id").alias("pos"), F.col("lang").alias("user"), F.col("section_path").alias("path"), F.col("text").alias("body"))
+    prs = _changes(spark, sf).withColumn("pr_number", F.col("pr_number").cast("int"))
+    return chunkers.change_chunks(prs, patches, said)
 
 
 @query(f"""WITH i AS (SELECT DISTINCT row_id, repo, issue_number, title, body FROM issues),
-x AS (SELECT *, '[' || repo || ' #' || issue_number || '] ' || coalesce(title, '') || chr(10) || chr(10) || coalesce(body, '') AS t FROM i)
+x AS (SELECT *, trim('[' || repo || ' #' || issue_number || '] ' || coalesce(title, '') || chr(10) || chr(10) || coalesce(body, ''), {_BLANK}) AS t FROM i)
 SELECT row_id, substr(sha256(repo || ':issue' || issue_number || ':description:0'), 1, 16) AS chunk_id, {_CUT} AS text FROM x""")
 def chk15_issues(spark, sf):
     """CHK-15/19/20, FN-01: issues as chunks with ids."""
-    i = table(spark, sf, "issues").select("row_id", "repo", "issue_number", "title", "body").distinct()
-    ids = tx.chunk_id(F.col("repo"), F.concat(F.lit("issue"), F.col("issue_number").cast("string")), "description", "0")
-    return i.select("row_id", ids.alias("chunk_id"), chunkers.issue_text(F.col("repo"), F.col("issue_number"), F.col("title"), F.col("body")).alias("text"))
+    return chunkers.issue_chunks(table(spark, sf, "issues").select("row_id", "repo", "issue_number", "title", "body").distinct()).select("row_id", "chunk_id", "text")
 
 
-@query()
+@query(f"""WITH i AS (SELECT DISTINCT row_id, repo, issue_number, author_login, body FROM issues),
+x AS (SELECT *, 'Comment by ' || coalesce(author_login, 'unknown') || ' on #' || issue_number || ':' || chr(10) || chr(10) || coalesce(body, '') AS t FROM i)
+SELECT row_id, substr(sha256(repo || ':issue' || issue_number || ':comment:' || row_id), 1, 16) AS chunk_id, coalesce(author_login, 'unknown') AS comment_author, {_CUT} AS text FROM x""")
+def chk15_comments(spark, sf):
+    """CHK-15: comments as chunks, issues stand in for them; they aren't stripped."""
+    rows = table(spark, sf, "issues").select("row_id", "repo", "issue_number", "author_login", "body").distinct().withColumn("pos", F.col("row_id"))
+    number = F.col("issue_number").cast("string")
+    out = chunkers.comment_chunks(rows, "repo", F.concat(F.lit("issue"), number), F.col("author_login"), F.concat(F.lit("#"), number), F.col("body"))
+    return out.select("row_id", "chunk_id", "comment_author", "text")
+
+
+_ADF = "array_to_string(list_filter(list_transform(json_extract(description, '$.content[*]'), lambda b: array_to_string(json_extract_string(b, '$.content[*].text'), '')), lambda t: t <> ''), chr(10) || chr(10))"
+
+
+@query(f"""WITH i AS (SELECT DISTINCT ON (row_id) * FROM jira_tickets),
+x AS (SELECT *, trim('[' || instance || ' ' || ticket_key || '] ' || coalesce(summary, '') || chr(10) || chr(10) || CASE WHEN description IS NULL THEN '' WHEN json_valid(description) THEN {_ADF} ELSE description END, {_BLANK}) AS t FROM i)
+SELECT row_id, substr(sha256(instance || ':' || ticket_key || ':description:0'), 1, 16) AS chunk_id, {_CUT} AS text FROM x""")
 def chk16_tickets(spark, sf):
     """CHK-16, FN-13: tickets, their description a document tree."""
-    t = table(spark, sf, "jira_tickets").dropDuplicates(["row_id"])
-    text = chunkers.ticket_text(F.col("instance"), F.col("ticket_key"), F.col("summary"), tx.adf_text(F.col("description")))
-    return t.select("row_id", tx.chunk_id(F.col("instance"), F.col("ticket_key"), "description", "0").alias("chunk_id"), text.alias("text"))
+    return chunkers.ticket_chunks(table(spark, sf, "jira_tickets").dropDuplicates(["row_id"])).select("row_id", "chunk_id", "text")
 
 
-def _timed(spark, sf):
-    m = with_instant(_messages(spark, sf), "ts", "us").filter("us is not null")
-    root = F.when((F.col("reply_count") > 0) | F.col("thread_ts").isNotNull(), F.coalesce("thread_ts", "ts"))
-    return m.select("channel_id", F.col("channel_id").alias("channel_name"), "ts", "us", "msg_id", "line", "author", root.alias("root"))
+_CHAT = f"""{_MESSAGES}, ti AS (SELECT msg_id, min(us) AS us FROM ({instants_sql("slack_messages", "msg_id", "ts", None)}) WHERE us IS NOT NULL GROUP BY 1),
+c AS (SELECT s.msg_id, channel_id, ts, us, line, author, CASE WHEN reply_count > 0 OR thread_ts IS NOT NULL THEN coalesce(thread_ts, ts) END AS root FROM s JOIN ti USING (msg_id)),
+w1 AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY channel_id ORDER BY us, msg_id) <= 1800000000 THEN 0 ELSE 1 END AS b FROM c WHERE root IS NULL),
+w2 AS (SELECT *, sum(b) OVER (PARTITION BY channel_id ORDER BY us, msg_id) AS g FROM w1),
+w3 AS (SELECT *, (row_number() OVER (PARTITION BY channel_id, g ORDER BY us, msg_id) - 1) // 50 AS p FROM w2),
+w4 AS (SELECT *, first_value(ts) OVER (PARTITION BY channel_id, g, p ORDER BY us, msg_id) AS key FROM w3),
+al AS (SELECT channel_id, 'slack_window' AS chunk_type, key, us, msg_id, line, author, ts FROM w4 UNION ALL SELECT channel_id, 'slack_thread', root, us, msg_id, line, author, ts FROM c WHERE root IS NOT NULL),
+au AS (SELECT channel_id, chunk_type, key, string_agg(author, ',' ORDER BY us, msg_id) AS participants, sum(n)::BIGINT AS n_messages FROM (SELECT channel_id, chunk_type, key, author, min(al.us) AS us, arg_min(al.msg_id, (al.us, al.msg_id)) AS msg_id, count(*) AS n FROM al GROUP BY channel_id, chunk_type, key, author) GROUP BY ALL),
+li AS (SELECT channel_id, chunk_type, key, '[#' || channel_id || '] ' || CASE chunk_type WHEN 'slack_thread' THEN 'thread' ELSE 'conversation' END || ':' || chr(10) || string_agg(line, chr(10) ORDER BY us, msg_id) AS t FROM al WHERE line IS NOT NULL GROUP BY channel_id, chunk_type, key)"""
 
 
-@query()
+@query(f"""WITH {_CHAT} SELECT substr(sha256('slack:' || channel_id || ':' || key), 1, 16) AS chunk_id, channel_id, channel_id AS channel_name, chunk_type, key AS ts, participants, n_messages,
+'archives/' || channel_id || '/p' || replace(key, '.', '') AS permalink_path, CASE WHEN length(t) > 2048 THEN left(t, 2048) || chr(10) || '... (truncated)' ELSE t END AS text FROM li JOIN au USING (channel_id, chunk_type, key)""")
 def chk17_chat(spark, sf):
     """CHK-17, WIN-01, AGG-05/07/08, FN-10: threads and windows of chat."""
-    return chunkers.chat_chunks(_timed(spark, sf)).drop("participants")
+    return chunkers.chat_chunks(messages.chat_rows(*_lines(spark, sf))).withColumn("participants", F.array_join("participants", ","))
 
 
-_EPOCH = "(SELECT DISTINCT ON (msg_id) * FROM slack_messages WHERE regexp_matches(ts, '^[0-9]{10}\\.[0-9]{6}$'))"
+@query(f"""WITH {_CHAT} SELECT channel_id, count(*) FILTER (chunk_type = 'slack_thread') AS n_threads, count(*) FILTER (chunk_type = 'slack_window') AS n_windows FROM li GROUP BY 1""")
+def agg05_kinds(spark, sf):
+    """AGG-05: threads and windows of each channel."""
+    return chunkers.chat_kinds(chunkers.chat_chunks(messages.chat_rows(*_lines(spark, sf))))
 
 
-@query(f"""WITH m AS (SELECT channel_id, msg_id, (replace(ts, '.', ''))::BIGINT AS us FROM {_EPOCH}),
+@query(f"""WITH m AS (SELECT channel_id, msg_id, min(us) AS us FROM ({instants_sql("slack_messages", "channel_id, msg_id", "ts", None)}) WHERE us IS NOT NULL GROUP BY ALL),
 g AS (SELECT *, CASE WHEN us - lag(us) OVER w <= 1800000000 THEN 0 ELSE 1 END AS b FROM m WINDOW w AS (PARTITION BY channel_id ORDER BY us, msg_id)),
 s AS (SELECT *, sum(b) OVER (PARTITION BY channel_id ORDER BY us, msg_id) AS k FROM g),
 c AS (SELECT *, (row_number() OVER (PARTITION BY channel_id, k ORDER BY us, msg_id) - 1) // 5 AS p FROM s)
 SELECT channel_id, min(us) AS start_us, max(us) AS end_us, count(*) AS n FROM c GROUP BY channel_id, k, p""")
 def win01_windows(spark, sf):
-    """WIN-01, SRT-02: gap windows with a cap (five here) over all messages that have a time, in any form; a hot channel spread over its days.
-
-    The SQL beside it still takes ts in one form only.
-    """
+    """WIN-01, SRT-02: gap windows with a cap (five here) over all messages that have a time, in any form; a hot channel spread over its days."""
     m = with_instant(table(spark, sf, "slack_messages").select("channel_id", "msg_id", "ts"), "ts", "us").filter("us is not null").dropDuplicates(["msg_id"])
-    m = m.select("channel_id", "msg_id", "us").withColumn("day", F.floor(F.col("us") / 86_400_000_000).cast("bigint"))
-    s = windows.segments(m, ["channel_id"], ["us", "msg_id"], "day", gap=("us", 1_800_000_000))
-    part = F.floor((F.col("rn") - F.col("break_rn")) / 5)
-    return s.groupBy("channel_id", "break_rn", part.alias("p")).agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count("*").alias("n")).drop("break_rn", "p")
+    w = windows.gap_windows(m, ["channel_id"], "us", "msg_id", 1800, 5)
+    return w.groupBy("channel_id", "window").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count("*").alias("n")).drop("window")
 
 
 def _entries(spark, sf):
-    rows = table(spark, sf, "session_logs").filter("session_id is not null").dropDuplicates(["session_id", "entry_id"])
-    rows = with_source_instant(rows, "entry_timestamp", table(spark, sf, "source_zones"), "session_logs", "host", "us").filter("us is not null")
-    v = F.col("v")
-    rows = rows.select("session_id", "us", "entry_id", F.lower(F.trim("entry_type")).alias("kind"), F.explode(F.array(F.try_parse_json("message"))).alias("v"))
-    blocks = F.try_variant_get(v, "$.content", "array<variant>")
-    plain = F.when(blocks.isNull(), F.try_variant_get(v, "$.content", "string"))
-    part = lambda b, k: F.coalesce(F.try_variant_get(b, f"$.{k}", "string"), F.lit(""))
-    texts = F.transform(F.filter(blocks, lambda b: part(b, "type") == "text"), lambda b: part(b, "text"))
-    result = F.exists(blocks, lambda b: part(b, "type") == "tool_result")
-    prompt = F.trim(F.regexp_replace(F.coalesce(plain, F.when(~result, F.array_join(texts, "\n"))), tx.NOISE_TAGS, ""))
-    used = F.transform(
-        F.filter(blocks, lambda b: part(b, "type").isin("text", "tool_use")),
-        lambda b: F.when(part(b, "type") == "text", part(b, "text")).otherwise(F.concat(F.lit("[tool:"), F.coalesce(F.try_variant_get(b, "$.name", "string"), F.lit("?")), F.lit("]"))),
-    )
-    answer = F.trim(F.coalesce(plain, F.array_join(F.filter(used, lambda x: x != ""), "\n\n")))
-    return rows.filter(F.col("kind").isin("user", "assistant")).select("session_id", "us", "entry_id", F.when(F.col("kind") == "user", prompt).alias("prompt"), F.when(F.col("kind") == "assistant", answer).alias("answer"))
-
-
-@query()
+    rows = with_source_instant(table(spark, sf, "session_logs"), "entry_timestamp", table(spark, sf, "source_zones"), "session_logs", "host", "us")
+    return messages.session_rows(rows)
+
+
+_STRIP = "trim({0}, " + _BLANK + ")"
+_UNNOISED = "regexp_replace(regexp_replace({0}, '(?s)<system-reminder>.*?</system-reminder>', '', 'g'), '(?s)<local-command-[^>]+>.*?</local-command-[^>]+>', '', 'g')"
+_BLOCKS = "list_filter(json_extract(m, '$.content[*]'), lambda b: json_extract_string(b, '$.type') = 'text')"
+_SAID = "array_to_string(list_transform(list_filter(json_extract(m, '$.content[*]'), lambda b: json_extract_string(b, '$.type') IN ('text', 'tool_use')), lambda b: CASE json_extract_string(b, '$.type') WHEN 'text' THEN coalesce(json_extract_string(b, '$.text'), '') ELSE '[tool:' || coalesce(json_extract_string(b, '$.name'), '?') || '(' || array_to_string(list_transform(json_keys(b, '$.input')[1:3], lambda k: k || '=' || CASE json_type(b, '$.input.' || k) WHEN 'VARCHAR' THEN chr(39) || left(json_extract_string(b, '$.input.' || k), 60) || chr(39) ELSE '...' END), ', ') || ')]' END), chr(10) || chr(10))"
+_EXCHANGES = f"""
+o AS (SELECT DISTINCT ON (session_id, entry_id) * FROM ({instants_sql("session_logs", "session_id, entry_id, entry_type, message, cwd, git_branch", "entry_timestamp", "host")}) WHERE session_id IS NOT NULL AND us IS NOT NULL),
+v AS (SELECT *, lower(trim(entry_type)) AS kind, CASE WHEN json_valid(message) THEN message END AS m FROM o),
+y AS (SELECT *, json_type(m, '$.content') AS ct FROM v WHERE kind IN ('user', 'assistant')),
+z AS (SELECT *, CASE WHEN kind = 'user' THEN nullif({_STRIP.format(_UNNOISED.format(f"CASE ct WHEN 'VARCHAR' THEN json_extract_string(m, '$.content') WHEN 'ARRAY' THEN CASE WHEN list_contains(json_extract_string(m, '$.content[*].type'), 'tool_result') THEN NULL ELSE array_to_string(list_transform({_BLOCKS}, lambda b: coalesce(json_extract_string(b, '$.text'), '')), chr(10)) END END"))}, '') END AS prompt,
+ CASE WHEN kind = 'assistant' THEN {_STRIP.format(f"CASE ct WHEN 'VARCHAR' THEN json_extract_string(m, '$.content') WHEN 'ARRAY' THEN {_SAID} ELSE '' END")} END AS answer FROM y),
+n AS (SELECT *, sum((prompt IS NOT NULL)::INT) OVER (PARTITION BY session_id ORDER BY us, entry_id) AS x FROM z),
+e AS (SELECT session_id, x, max(prompt) AS prompt, min(n.us) AS us, arg_min_null(cwd, (n.us, entry_id)) AS cwd, {_STRIP.format("coalesce(string_agg(nullif(answer, ''), chr(10) || chr(10) ORDER BY n.us, entry_id), '')")} AS a FROM n WHERE x > 0 GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY x) - 1 AS turn_index, 'User: ' || prompt || chr(10) || chr(10) || 'Assistant: ' || a AS t FROM e WHERE a <> '')"""
+
+
+@query(f"""WITH {_EXCHANGES} SELECT substr(sha256('session:' || session_id || ':' || turn_index), 1, 16) AS chunk_id, session_id, turn_index::INT AS turn_index, 'session_exchange' AS chunk_type, us, cwd,
+CASE WHEN length(t) > 2048 THEN left(t, 2048) || chr(10) || '... (truncated)' ELSE t END AS text FROM t""")
 def chk18_sessions(spark, sf):
     """CHK-18, WIN-02/04, FN-05..07: exchanges of assistant sessions."""
-    return chunkers.session_chunks(_entries(spark, sf))
+    return chunkers.session_chunks(_entries(spark, sf)).drop("git_branch", "entry_timestamp")
 
 
 # ---- joins, aggregates, sets ------------------------------------------------------------------------------------
@@ -530,43 +709,38 @@ def jon02_changes(spark, sf):
     return changes.file_changes(last(f.filter("last_indexed < timestamp_ntz'2025-09-01'")), last(f), ["repo", "file_path"], "hash")
 
 
-@query("""SELECT m.thread_ts AS root, m.channel_id, count(DISTINCT m.msg_id) AS n_replies, coalesce(max(r.msg_id), 0) AS root_id FROM slack_messages m
+@query("""SELECT m.thread_ts AS root, m.channel_id, count(DISTINCT m.msg_id) AS n_replies, max(r.msg_id) AS root_id FROM slack_messages m
 LEFT JOIN (SELECT channel_id, ts, max(msg_id) AS msg_id FROM slack_messages GROUP BY ALL) r ON r.ts = m.thread_ts AND r.channel_id = m.channel_id WHERE m.thread_ts IS NOT NULL GROUP BY ALL""")
 def jon05_threads(spark, sf):
     """JON-05: roots with their replies."""
-    m = table(spark, sf, "slack_messages").select("channel_id", "ts", "msg_id", "thread_ts")
-    roots = m.groupBy("channel_id", F.col("ts").alias("thread_ts")).agg(F.max("msg_id").alias("root_id"))
-    replies = m.filter("thread_ts is not null").groupBy("channel_id", "thread_ts").agg(F.countDistinct("msg_id").alias("n_replies"))
-    return replies.join(roots, ["channel_id", "thread_ts"], "left").select(F.col("thread_ts").alias("root"), "channel_id", "n_replies", F.coalesce("root_id", F.lit(0)).cast("bigint").alias("root_id"))
+    return messages.threads(table(spark, sf, "slack_messages").select("channel_id", "ts", "msg_id", "thread_ts"))
 
 
-@query("SELECT count(*) AS n_queries, round(coalesce(avg(value), 0), 6) AS avg_value, round(coalesce(max(value), 0), 6) AS max_value FROM events")
+@query("""SELECT count(*) AS total_queries, round(coalesce(avg(value), 0), 6) AS avg_total_ms, round(avg(event_id % 7), 6) AS avg_result_count, round(avg(value / 2), 6) AS avg_vector_ms, round(avg(value / 4), 6) AS avg_bm25_ms, 0.0::DOUBLE AS avg_rerank_ms FROM events""")
 def agg01_metrics(spark, sf):
-    """AGG-01: averages of a log, zero for an empty one."""
-    v = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
-    return table(spark, sf, "events").agg(F.count("*").alias("n_queries"), v(F.avg("value")).alias("avg_value"), v(F.max("value")).alias("max_value"))
+    """AGG-01: number and five averages of a log of queries (events stand in for it), zero where nothing was measured."""
+    v = F.col("value")
+    log = table(spark, sf, "events").select(v.alias("total_ms"), (F.col("event_id") % 7).alias("result_count"), (v / 2).alias("vector_ms"), (v / 4).alias("bm25_ms"), F.lit(None).cast("double").alias("rerank_ms"))
+    stats = evaluate.query_stats(log)
+    return stats.select("total_queries", *[F.round(c, 6).alias(c) for c in stats.columns if c != "total_queries"])
 
 
 @query(f"SELECT repo, count(DISTINCT {_PATH}) AS n_files FROM file_hashes GROUP BY 1")
 def agg03_files(spark, sf):
     """AGG-03, LIF-07: files of each repository."""
-    return table(spark, sf, "file_hashes").groupBy("repo").agg(F.countDistinct(tx.plain_path(F.col("file_path"))).alias("n_files"))
+    return changes.files_known(table(spark, sf, "file_hashes").select("repo", tx.plain_path(F.col("file_path")).alias("file_path")), "repo")
 
 
-@query("SELECT channel_id, arg_max(ts, replace(ts, '.', '')::BIGINT) AS newest FROM slack_messages WHERE regexp_matches(ts, '^[0-9]{10}\\.[0-9]{6}$') GROUP BY 1")
+@query(f"SELECT channel_id, arg_max(ts, (us, ts)) AS newest FROM ({instants_sql('slack_messages', 'channel_id, ts', 'ts', None)}) WHERE us IS NOT NULL GROUP BY 1")
 def agg06_newest(spark, sf):
-    """AGG-06: the cursor of each channel, the ts of its newest message in the form it has (of equal times the last by spelling).
-
-    The SQL beside it still takes ts in one form only.
-    """
-    m = with_instant(table(spark, sf, "slack_messages").select("channel_id", "ts"), "ts", "us").filter("us is not null")
-    return m.groupBy("channel_id").agg(F.max_by("ts", F.struct("us", "ts")).alias("newest"))
+    """AGG-06: the cursor of each channel, the ts of its newest message in the form it has (of equal times the last by spelling)."""
+    return messages.newest(table(spark, sf, "slack_messages"))
 
 
 @query("SELECT count(DISTINCT session_id) AS n_sessions, count(DISTINCT entry_id) AS n_entries FROM session_logs")
 def agg09_sessions(spark, sf):
     """AGG-09: distinct sessions."""
-    return table(spark, sf, "session_logs").agg(F.countDistinct("session_id").alias("n_sessions"), F.countDistinct("entry_id").alias("n_entries"))
+    return messages.session_counts(table(spark, sf, "session_logs"))
 
 
 @query("SELECT row_id, page_id, last_edited_at FROM (SELECT DISTINCT row_id, page_id, last_edited_at, fetched_at FROM slite_pages) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY fetched_at DESC, row_id DESC) = 1")
@@ -577,7 +751,7 @@ def agg12_last(spark, sf):
 
 
 def _cases(spark, sf):
-    """Test items with the documents that hold their first eight words."""
+    """Test items with the documents that hold their last eight words (the first are shared by many)."""
     head = lambda c: F.array_join(F.slice(search.tokens(F.col(c)), -8, 8), " ")
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), head("text").alias("h")).filter("h <> ''")
     grams = table(spark, sf, "documents").select("doc_id", search.tokens(F.col("text")).alias("t")).filter(F.size("t") >= 8)
@@ -586,7 +760,15 @@ def _cases(spark, sf):
     return b.select("qid").join(expected, "qid", "left").withColumn("expected", F.coalesce("expected", F.array().cast("array<string>")))
 
 
-@query()
+_CASES = rf"""bt AS (SELECT item_id AS qid, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda t: t <> '') AS w FROM benchmark),
+bh AS (SELECT qid, array_to_string(w[-8:], ' ') AS h FROM bt WHERE len(w) > 0),
+dg AS (SELECT DISTINCT doc_id, array_to_string(ts[i:i + 7], ' ') AS h FROM (SELECT doc_id, ts, unnest(range(1, len(ts) - 6)) AS i FROM t WHERE len(ts) >= 8)),
+wa AS (SELECT bh.qid, doc_id FROM bh JOIN dg USING (h)), wn AS (SELECT bh.qid, count(doc_id) AS wanted FROM bh LEFT JOIN wa USING (qid) GROUP BY 1),
+hi AS (SELECT mg.qid, rank, (wa.doc_id IS NOT NULL) AS hit FROM mg JOIN bh USING (qid) LEFT JOIN wa ON wa.qid = mg.qid AND doc_id = chunk_id WHERE rank <= 20),
+me AS (SELECT wn.qid, coalesce(count(*) FILTER (hit AND rank <= 5) / nullif(count(*) FILTER (rank <= 5), 0), 0) AS p, coalesce(count(*) FILTER (hit AND rank <= 5) / nullif(any_value(wanted), 0), 0) AS r, coalesce(1.0 / min(rank) FILTER (hit), 0) AS rr FROM wn LEFT JOIN hi USING (qid) GROUP BY 1)"""
+
+
+@query(f"WITH {_BM25}, {_DENSE}, {_RRF}, {_MERGED}, {_CASES} SELECT round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(rr), 6) AS mrr, count(*) AS n_queries FROM me")
 def agg13_quality(spark, sf):
     """AGG-13..16, JON-08: precision, recall and reciprocal rank of the merged lists."""
     results = _merged(spark, sf).select("qid", "rank", F.col("chunk_id").cast("string").alias("item"))
@@ -598,7 +780,7 @@ b AS (SELECT qid, string_agg(chunk_id::VARCHAR, ',' ORDER BY rank) AS after FROM
 SELECT qid AS query, before, after FROM a JOIN b USING (qid) WHERE before <> after""")
 def jon09_compare(spark, sf):
     """JON-09: queries for which two runs differ."""
-    hits = search.bm25(_chunks(spark, sf), _queries(spark, sf), 3)
+    hits = _sparse(spark, sf, 3)
     lists = hits.groupBy("qid", "collection").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"].cast("string")), ",").alias("items"))
     run = lambda c: lists.filter(F.col("collection") == c).select(F.col("qid").alias("query"), "items")
     return evaluate.compare(run("documents"), run("pr_diffs"))
@@ -622,18 +804,17 @@ def fn01_ids(spark, sf):
     return c.select("chunk_id", tx.chunk_id("doc", F.col("p"), "x", "0").alias("id16"), F.sha2("t", 256).alias("id64")).distinct()
 
 
-@query()
+@query("""WITH c AS (SELECT DISTINCT chunk_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(chunk_id)) AS h FROM chunks)
+SELECT chunk_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ('89ab')[('0x' || h[17])::INT % 4 + 1] || h[18:20] || '-' || h[21:32] AS uuid FROM c""")
 def fn02_uuid5(spark, sf):
     """FN-02: name-based UUIDs of all chunk ids."""
     return table(spark, sf, "chunks").select("chunk_id").distinct().withColumn("uuid", tx.uuid5_url(F.col("chunk_id")))
 
 
-@query("""SELECT DISTINCT row_id, strftime(strptime(substr(updated, 1, 16), '%Y-%m-%dT%H:%M'), '%Y/%m/%d %H:%M') AS jql_date FROM jira_tickets
-WHERE regexp_matches(updated, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}')""")
+@query("""SELECT DISTINCT row_id, CASE WHEN regexp_matches(updated, '^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}') THEN replace(substr(updated, 1, 10), '-', '/') || ' ' || substr(updated, 12, 5) END AS jql_date FROM jira_tickets""")
 def fn08_jql_dates(spark, sf):
-    """FN-08, FLT-09: wall clock to the minute for a source's own filter."""
-    t = table(spark, sf, "jira_tickets").select("row_id", "updated").filter(F.col("updated").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}")).distinct()
-    return t.select("row_id", tx.jql_date(F.col("updated")).alias("jql_date"))
+    """FN-08, FLT-09: wall clock to the minute for a source's own filter; null for what isn't an ISO time."""
+    return table(spark, sf, "jira_tickets").select("row_id", tx.jql_date(F.col("updated")).alias("jql_date")).distinct()
 
 
 @query("SELECT msg_id, 'archives/' || channel_id || '/p' || replace(ts, '.', '') AS link FROM (SELECT DISTINCT msg_id, channel_id, ts FROM slack_messages WHERE ts IS NOT NULL AND channel_id IS NOT NULL)")
@@ -649,20 +830,49 @@ def fn11_entity_names(spark, sf):
     return table(spark, sf, "documents").filter("section_path is not null").select("doc_id", tx.entity_name(F.col("section_path")).alias("entity_name"))
 
 
-@query(r"""SELECT entry_id, regexp_replace(regexp_replace(message, '(?s)<system-reminder>.*?</system-reminder>', '', 'g'), '(?s)<local-command-[A-Za-z0-9-]+>.*?</local-command-[A-Za-z0-9-]+>', '', 'g') AS message FROM (SELECT DISTINCT entry_id, message FROM session_logs WHERE message IS NOT NULL)""")
+@query(f"SELECT entry_id, {_UNNOISED.format('message')} AS message FROM (SELECT DISTINCT entry_id, message FROM session_logs WHERE message IS NOT NULL)")
 def fn05_noise(spark, sf):
     """FN-05: texts without tagged noise."""
     m = table(spark, sf, "session_logs").filter("message is not null").select("entry_id", "message").distinct()
-    return m.select("entry_id", F.regexp_replace("message", tx.NOISE_TAGS, "").alias("message"))
-
-
-@query(f"""WITH h AS (SELECT DISTINCT repo, {_PATH} AS p FROM file_hashes), c AS (SELECT DISTINCT repo, {_PATH} AS p, 1 AS k FROM chunks WHERE collection = 'code_chunks'),
-n AS (SELECT h.repo, count(*) AS scanned, count(k) AS indexed FROM h LEFT JOIN c USING (repo, p) GROUP BY 1)
-SELECT repo, 'Scanned ' || scanned || ' files. Indexed ' || indexed || ' files (0 chunks). Skipped ' || (scanned - indexed) || ' unchanged files.' AS report FROM n""")
-def fn17_report(spark, sf):
-    """FN-17, AGG-04: counters of a run as a sentence."""
-    h = table(spark, sf, "file_hashes").select("repo", tx.plain_path(F.col("file_path")).alias("p")).distinct()
-    c = table(spark, sf, "chunks").filter("collection = 'code_chunks'").select("repo", tx.plain_path(F.col("file_path")).alias("p")).distinct().withColumn("k", F.lit(1))
-    n = h.join(c, ["repo", "p"], "left").groupBy("repo").agg(F.count("*").alias("scanned"), F.count("k").alias("indexed"))
-    none = F.lit(0)
-    return n.select("repo", render.run_report(F.col("scanned"), F.col("indexed"), F.lit(0).cast("bigint"), F.col("scanned") - F.col("indexed"), none, none, none).alias("report"))
+    return m.select("entry_id", tx.without_noise(F.col("message")).alias("message"))
+
+
+_COUNTERS = """WITH n AS (SELECT repo, count(*) AS a, count(DISTINCT file_path) AS b, count(DISTINCT repo || hash) % 3 AS c, count(*) % 4 AS d, count(*) % 2 AS e, count(*) % 5 AS f, count(DISTINCT hash) AS g FROM file_hashes GROUP BY 1)"""
+_IF = lambda n, *parts: f"CASE WHEN {n} > 0 THEN {' || '.join(parts)} ELSE '' END"
+
+
+def _some_counters(spark, sf):
+    n = lambda *c: F.countDistinct(*c)
+    every = F.count("*")
+    return table(spark, sf, "file_hashes").groupBy("repo").agg(
+        every.alias("a"), n("file_path").alias("b"), (n(F.concat("repo", "hash")) % 3).alias("c"), (every % 4).alias("d"), (every % 2).alias("e"), (every % 5).alias("f"), n("hash").alias("g")
+    )
+
+
+@query(_COUNTERS + """ SELECT repo, 'Scanned ' || a || ' files. Indexed ' || b || ' files (' || g || ' chunks). Skipped ' || c || ' unchanged files' || """ + _IF("e", "'. ' || e", "' files produced no chunks'") + " || " + _IF("f", "'. ' || f", "' files failed (see logs)'") + " || " + _IF("d", "'. Removed ' || d", "' deleted files'") + """ || '.' AS code,
+'Scanned ' || a || ' files. Indexed ' || b || ' files (' || g || ' chunks).' || """ + _IF("f", "' ' || f", "' files failed (see logs).'") + " AS folder, 'Docs: indexed ' || b || ' (' || g || ' chunks)' || " + _IF("c", "', skipped ' || c", "' unchanged'") + " || " + _IF("f", "', ' || f", "' failed'") + " || " + _IF("d", "', removed ' || d", "' deleted'") + """ || '.' AS docs,
+'Fetched ' || a || ' PRs. Indexed ' || b || ' PRs (' || g || ' chunks)' || """ + _IF("c", "'. Skipped ' || c", "' unchanged PRs'") + " || '.' AS prs, 'Fetched ' || a || ' issues. Indexed ' || b || ' issues (' || g || ' chunks)' || " + _IF("c", "'. Skipped ' || c", "' issues (PRs or unchanged)'") + """ || '.' AS issues,
+'Fetched ' || a || ' Slite pages. Indexed ' || b || ' pages (' || g || ' chunks)' || """ + _IF("c", "'. Skipped ' || c", "' pages'") + " || " + _IF("e", "'. Errored ' || e", "' pages'") + " || '.' AS pages, 'Fetched ' || a || ' Jira tickets. Indexed ' || b || ' tickets (' || g || ' chunks)' || " + _IF("c", "'. Skipped ' || c", "' tickets'") + """ || '.' AS tickets,
+'Scanned ' || a || ' Slack channels. Indexed ' || b || ' threads + ' || d || ' windows (' || g || ' chunks)' || """ + _IF("c", "'. Skipped ' || c", "' channels (no new messages)'") + " || " + _IF("e", "'. Errored ' || e", "' channels'") + " || '.' AS chat, 'Scanned ' || a || ' session files. Indexed ' || b || ' files (' || d || ' sessions, ' || g || ' chunks)' || " + _IF("c", "'. Skipped ' || c", "' empty files'") + " || '.' AS sessions FROM n")
+def fn17_reports(spark, sf):
+    """FN-17: counters as sentences, one for each kind of run."""
+    a, b, c, d, e, f, g = (F.col(k) for k in "abcdefg")
+    return _some_counters(spark, sf).select(
+        "repo", render.run_report(a, b, c, d, e, f, g).alias("code"), render.folder_report(a, b, c, d, e, f, g).alias("folder"), render.docs_report(a, b, c, d, e, f, g).alias("docs"),
+        render.sync_report("prs", a, b, g, c).alias("prs"), render.sync_report("issues", a, b, g, c).alias("issues"), render.sync_report("slite", a, b, g, c, e).alias("pages"), render.sync_report("jira", a, b, g, c).alias("tickets"),
+        render.chat_report(a, b, d, g, c, e).alias("chat"), render.session_report(a, b, d, g, c).alias("sessions"),
+    )
+
+
+@query(f"""WITH h AS (SELECT DISTINCT repo, {_PATH} AS p, lower(hash) AS hash FROM file_hashes WHERE hash IS NOT NULL), n AS (SELECT repo, p, min(hash) AS hash FROM h GROUP BY ALL),
+o AS (SELECT repo, p, max(hash) AS hash FROM h GROUP BY ALL HAVING max(hash) > 'c'), c AS (SELECT DISTINCT chunk_id, repo, {_PATH} AS p FROM chunks WHERE file_path IS NOT NULL AND collection = 'code_chunks'),
+d AS (SELECT coalesce(n.repo, o.repo) AS repo, coalesce(n.p, o.p) AS p, CASE WHEN o.hash IS NULL THEN 'added' WHEN n.hash IS NULL THEN 'removed' WHEN n.hash <> o.hash THEN 'changed' END AS change FROM n FULL JOIN o USING (repo, p)),
+t AS (SELECT d.repo, d.p, count(chunk_id) AS k FROM d LEFT JOIN c USING (repo, p) WHERE change IN ('added', 'changed') GROUP BY ALL)
+SELECT (SELECT count(*) FROM n) AS files_scanned, (SELECT count(*) FROM t WHERE k > 0) AS files_indexed, (SELECT count(*) FROM n) - (SELECT count(*) FROM t) AS files_skipped, (SELECT count(*) FROM d WHERE change = 'removed') AS files_removed,
+(SELECT count(*) FROM t WHERE k = 0) AS files_empty, 0::BIGINT AS files_failed, (SELECT count(*) FROM c) AS chunks_created""")
+def agg04_counters(spark, sf):
+    """AGG-04, LIF-01: the counters of a run."""
+    h = table(spark, sf, "file_hashes").filter("hash is not null").select("repo", tx.plain_path(F.col("file_path")).alias("file_path"), F.lower("hash").alias("hash"))
+    new, old = h.groupBy("repo", "file_path").agg(F.min("hash").alias("hash")), h.groupBy("repo", "file_path").agg(F.max("hash").alias("hash")).filter("hash > 'c'")
+    cut = table(spark, sf, "chunks").filter("collection = 'code_chunks' and file_path is not null").select("chunk_id", "repo", tx.plain_path(F.col("file_path")).alias("file_path")).distinct()
+    return changes.run_stats(changes.file_changes(old, new, ["repo", "file_path"], "hash"), new, cut.withColumn("error", F.lit(None).cast("string")))
