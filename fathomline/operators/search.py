@@ -26,8 +26,10 @@ K1, B = 1.2, 0.75
 TOKEN_SPLIT = r"[^\p{L}\p{N}_]+"
 #: Queries shipped in one pass of the dense leg.
 BLOCK = 4096
-#: Terms of a batch that are named in the scan of the postings; more are joined without that.
-NAMED_TERMS = 20_000
+#: Terms and queries of a batch that are named in the scan of the postings and scored as matrices; more are joined.
+NAMED_TERMS, MATRIX_QUERIES = 8192, 2048
+#: Chunks in one matrix, and postings read before chunks are scored.
+ROWS, HELD = 512, 100_000
 #: Queries in a batch; a larger one is refused.
 MOST_QUERIES = 1_000_000
 
@@ -96,22 +98,86 @@ def bm25(read: Callable[[Column | None], DataFrame], sizes: DataFrame, queries:
     df = hits.groupBy("collection", "term").agg(F.count("*").alias("df"))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     known = df.join(sizes, "collection").select("collection", "term", idf.alias("idf"), "avg_length")
-    on = ["collection", "term"] if "collection" in terms.columns else ["term"]
-    weighed = hits.join(known, ["collection", "term"]).select(
-        "collection", "chunk_id", "term", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.greatest("avg_length", F.lit(1e-9))))).alias("w")
-    )
-    scored = weighed.join(terms, on).groupBy("qid", "collection", "chunk_id").agg(F.round(F.sum("w"), digits).alias("score")).filter("score > 0")
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.greatest("avg_length", F.lit(1e-9))))
+    weighed = hits.join(known, ["collection", "term"]).select("collection", "chunk_id", "term", weight.alias("w"))
+    routed = "collection" in terms.columns
+    asked = []
+    if where is not None:
+        lists = terms.groupBy("qid", F.col("collection") if routed else F.lit("").alias("collection")).agg(F.collect_list("term").alias("t"))
+        asked = lists.limit(MATRIX_QUERIES + 1).collect()
+    if where is None or len(asked) > MATRIX_QUERIES:
+        on = ["collection", "term"] if routed else ["term"]
+        scored = weighed.join(terms, on).groupBy("qid", "collection", "chunk_id").agg(F.round(F.sum("w"), digits).alias("score")).filter("score > 0")
+    else:
+        scored = _as_matrices(weighed, {r[0]: i for i, r in enumerate(named)}, [(q, c if routed else None, t) for q, c, t in asked], queries.schema["qid"], k, digits)
     return ranked(scored, ["qid", "collection"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
-def _best(score: np.ndarray, k: int, ids: pa.Array, name: str | None, keys: pa.Array, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _as_matrices(weighed: DataFrame, vocab: dict[str, int], asked: list[tuple], qid, k: int, digits: int) -> DataFrame:
+    """(qid, collection, chunk_id, score) of weighed postings: those of a chunk meet in one place, blocks of chunks are multiplied with the queries.
+
+    A term that most chunks hold costs its postings, not its postings times its queries.
+    """
+    spark = weighed.sparkSession
+    schema = f"qid {qid.dataType.simpleString()}, collection string, chunk_id {weighed.schema['chunk_id'].dataType.simpleString()}, score double"
+    wanted = np.zeros((len(vocab), len(asked)))
+    for j, (_, _, ts) in enumerate(asked):
+        wanted[[vocab[t] for t in ts], j] = 1.0
+    shipped = spark.sparkContext.broadcast((pa.array([q for q, *_ in asked], to_arrow_type(qid.dataType)), np.array([c for _, c, _ in asked], object), wanted))
+    codes = spark.createDataFrame(list(vocab.items()), "term string, code int")
+
+    def score(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, routes, wanted = shipped.value
+        names, keys = t.column("collection").combine_chunks(), t.column("chunk_id").combine_chunks()
+        new = np.ones(len(t), bool)
+        for c in (names, keys):
+            x = c.to_numpy(zero_copy_only=False)
+            new[1:] = (x[1:] != x[:-1]) | (new[1:] if c is keys else False)
+        chunk, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        code, w = t.column("code").to_numpy(), t.column("w").to_numpy()
+        of = np.array(names.take(pa.array(first)).to_pylist(), object)
+        for name in dict.fromkeys(of.tolist()):
+            mine = np.flatnonzero((routes == name) | (routes == None))  # noqa: E711
+            at = np.flatnonzero(of == name)
+            for part in (at[i : i + ROWS] for i in range(0, len(at), ROWS)):
+                lo, hi = first[part[0]], first[part[-1] + 1] if part[-1] + 1 < len(first) else len(t)
+                used, place = np.unique(code[lo:hi], return_inverse=True)
+                m = np.zeros((len(part), len(used)))
+                m[chunk[lo:hi] - part[0], place] = w[lo:hi]
+                if len(mine):
+                    yield from _best(np.round(m @ wanted[np.ix_(used, mine)], digits).T, k, ids.take(pa.array(mine)), name, keys, first[part], positive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= HELD:
+                t = pa.Table.from_batches(held)
+                last = (t.column("collection")[n - 1].as_py(), t.column("chunk_id")[n - 1].as_py())
+                cut = n  # the last chunk may go on
+                while cut and (t.column("collection")[cut - 1].as_py(), t.column("chunk_id")[cut - 1].as_py()) == last:
+                    cut -= 1
+                if cut:
+                    yield from score(t.slice(0, cut))
+                    held = t.slice(cut).to_batches()
+                    n -= cut
+        if n:
+            yield from score(pa.Table.from_batches(held))
+
+    rows = weighed.join(codes, "term").select("collection", "chunk_id", "code", "w")
+    return rows.repartition("collection", "chunk_id").sortWithinPartitions("collection", "chunk_id").mapInArrow(run, schema)
+
+
+def _best(score: np.ndarray, k: int, ids: pa.Array, name: str | None, keys: pa.Array, at: np.ndarray, positive: bool = False) -> Iterator[pa.RecordBatch]:
     """The k best of each row of scores (queries x chunks), with all that tie with the last."""
     if score.shape[1] > k:
         edge = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
         keep = score >= edge[:, None]
     else:
         keep = np.ones(score.shape, bool)
-    q, c = np.nonzero(keep)
+    q, c = np.nonzero(keep & (score > 0) if positive else keep)
     if len(q):
         cols = [ids.take(pa.array(q)), pa.array([name] * len(q), pa.string()), keys.take(pa.array(at[c])), pa.array(score[q, c])]
         yield pa.RecordBatch.from_arrays(cols, names=["qid", "collection", "chunk_id", "score"])

@@ -71,7 +71,10 @@ def test_bm25_prefers_rare_terms_and_handles_blanks(spark, tmp_path):
     assert [(r.qid, r.chunk_id) for r in best(asked, 5).collect()] == [(1, 2)]
 
 
-def test_bm25_against_brute_force(spark, tmp_path):
+@pytest.mark.parametrize(("queries", "held"), [(2048, 100_000), (2048, 7), (0, 7)])
+def test_bm25_against_brute_force(spark, tmp_path, monkeypatch, queries, held):
+    monkeypatch.setattr(search, "MATRIX_QUERIES", queries)  # as matrices, or joined
+    monkeypatch.setattr(search, "HELD", held)
     import math
     import random
 
