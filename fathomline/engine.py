@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .config import Config, load, put
-from .functions.shared import exists, written
+from .functions.shared import exists, tidied, written
 from .functions.text import adf_text, chunk_id, iso_before
 from .operators import changes, chunkers, code, encoders, evaluate, messages, render, router, search, windows
 from .sources import files
@@ -57,6 +57,7 @@ class Engine:
 
     # ---- indexing
 
+    @tidied
     def _index(self, collection: str, listed: DataFrame, chunk, repo: str | None, remove: bool = True, full: bool = False) -> DataFrame:
         """listed: repo, file_path, hash, text. Files with a known hash are skipped unless full; the state is written last.
 
@@ -82,7 +83,8 @@ class Engine:
         self.state.merge(known.select(key, F.lit(collection).alias("collection"), "repo", "file_path", "hash"))
         if remove:
             self.state.delete(diff.filter("change = 'removed'").select(key, F.lit(collection).alias("collection")))
-        return changes.run_stats(diff, keyed, cut.select("repo", "file_path", "error"))
+        stats = changes.run_stats(diff, keyed, cut.select("repo", "file_path", "error"))
+        return self.spark.createDataFrame(stats.collect(), stats.schema)
 
     def _encoded(self, chunks: DataFrame, collection: str) -> DataFrame:
         """Chunks with all columns of CHUNK, their vectors and numbers of terms; blank texts are left out, of one id the last counts."""
@@ -122,14 +124,14 @@ class Engine:
 
         return self._index("documents", listed, chunk, repo, remove, full)
 
-    def put(self, collection: str, chunks: DataFrame, source_key: Column, sources: DataFrame | None = None) -> DataFrame:
+    @tidied
+    def put(self, collection: str, chunks: DataFrame, source_key: Column, sources: DataFrame | None = None) -> None:
         """Chunks of synced sources: new ones replace all of the same source. sources: (source_key) of those that now may have none."""
         new = self._encoded(chunks.withColumn("source_key", source_key), collection)
         touched = new.select("source_key").unionByName(sources.select("source_key")) if sources is not None else new.select("source_key")
         stale = self.chunks.read(collection).select("chunk_id", "collection", "source_key").join(touched.distinct(), "source_key", "left_semi").join(new.select("chunk_id"), "chunk_id", "left_anti")
         self.chunks.delete(written(stale.select("chunk_id", "collection"), "stale"))
         self.chunks.merge(new)
-        return new
 
     # ---- synced sources: landed rows in, chunks out; a cursor for each source
 
@@ -155,6 +157,7 @@ class Engine:
         """Where a source without a cursor begins: so many days before now (0 or no now: at its beginning)."""
         return iso_before(now, days) if now and days else None
 
+    @tidied
     def sync_issues(self, issues: DataFrame, comments: DataFrame | None = None, now: str | None = None) -> int:
         """issues: repo, issue_number, title, body, labels, updated_at, state?, author?, created_at?, pull_request?; comments: repo, issue_number, pos, user, body, created_at?."""
         cfg = self.config.issues
@@ -172,6 +175,7 @@ class Engine:
         self._commit(new, "issues", "repo", "updated_at")
         return new.count()
 
+    @tidied
     def sync_tickets(self, tickets: DataFrame, comments: DataFrame | None = None, now: str | None = None) -> int:
         """tickets: instance, ticket_key, summary, description (document tree), updated (comparable text), and what else there is; comments: instance, ticket_key, pos, author, body (document tree), created?."""
         cfg = self.config.issues
@@ -186,6 +190,7 @@ class Engine:
         self._commit(new, "jira", "instance", "updated")
         return new.count()
 
+    @tidied
     def sync_pages(self, pages: DataFrame) -> int:
         """pages: page_id, title, url, last_edited_at, content, updated_at?, status? (of fetching the page, as windows.sweep takes it).
 
@@ -201,6 +206,7 @@ class Engine:
         self._commit(at.withColumn("__source", F.lit("default")), "slite", "__source", "cursor")
         return new.count()
 
+    @tidied
     def sync_changes(self, prs: DataFrame, files_: DataFrame, comments: DataFrame, now: str | None = None) -> int:
         """prs: repo, pr_number, title, body, updated_at, and what else there is; files_ and comments as chunkers.change_chunks takes them."""
         cfg = self.config.issues
@@ -215,6 +221,7 @@ class Engine:
         self._commit(new, "prs", "repo", "updated_at")
         return new.count()
 
+    @tidied
     def sync_chat(self, landed: DataFrame, users: DataFrame) -> int:
         """landed: all messages there are of the channels (messages.chat_rows), users as messages.names takes them.
 
@@ -229,6 +236,7 @@ class Engine:
         self._commit(due, "slack", "channel_id", "at")
         return due.count()
 
+    @tidied
     def sync_sessions(self, entries: DataFrame, now_us: int | None = None) -> int:
         """entries: all rows there are (messages.session_rows); sessions with entries after their cursor are cut anew, others are skipped."""
         cfg = self.config.sessions
@@ -252,14 +260,17 @@ class Engine:
         self.chunks.read().createOrReplaceTempView("chunks")
         self.status().createOrReplaceTempView("collections")
 
+    @tidied
     def remove_repo(self, repo: str) -> int:
         """Takes a repository out of index, state and register; the number of its chunks."""
         stale = written(self.chunks.read("code_chunks", "documents").filter(F.col("repo") == repo).select("chunk_id", "collection"), "removed")
+        n = stale.count()
         self.chunks.delete(stale)
         self.state.delete(written(self.state.read("code_chunks", "documents").filter(F.col("repo") == repo).select("key", "collection"), "removed"))
         self.repos.delete(self.spark.createDataFrame([(repo, "repos")], "name string, collection string"))
-        return stale.count()
+        return n
 
+    @tidied
     def remove_source(self, source_key: str, *collections: str) -> int:
         """Takes the chunks of one issue, ticket, change request, page, channel or session out."""
         stale = written(self.chunks.read(*collections).filter(F.col("source_key") == source_key).select("chunk_id", "collection"), "removed")
@@ -383,8 +394,7 @@ class Engine:
 
     def evaluate(self, cases: DataFrame, k: int = 5) -> DataFrame:
         """cases: qid, query, expected_files ARRAY<STRING>, expected_prs ARRAY<INT> (either may be null), or expected ARRAY<STRING> of both."""
-        found = written(self.results(cases.select("qid", "query"), k), "results")
-        return evaluate.summary(evaluate.of_cases(cases, found, k))
+        return evaluate.summary(evaluate.of_cases(cases, self.results(cases.select("qid", "query"), k), k))
 
     def status(self) -> DataFrame:
         """Rows of each collection and files known of each."""

@@ -35,6 +35,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import tidied, written
+
 FILE = "path string, size bigint, modified timestamp, checksum bigint, rows bigint"
 #: Pending files named in a filter, which prunes the listing; more are joined.
 NAMED = 10_000
@@ -102,8 +104,6 @@ class Ledger:
 
     def pending(self, df: DataFrame) -> DataFrame:
         """Input files that no committed batch has processed, with checksums."""
-        from ..functions.shared import written
-
         done = self.manifest()
         fresh = written(listing(df).join(done, ["path", "size", "modified"], "left_anti"), "fresh")
         return checksums(df, fresh).join(done.select("path", "checksum"), ["path", "checksum"], "left_anti").select("path", "size", "modified", "checksum", "rows")
@@ -119,14 +119,13 @@ class Ledger:
         fs.mkdirs(self._path(f"pending/{run}")[1])
         return run
 
+    @tidied
     def run(self, inputs: dict[str, DataFrame], work: Callable[[dict[str, DataFrame]], DataFrame], before_commit: Callable[[], None] | None = None) -> DataFrame | None:
         """One run over the pending files of all inputs. None: nothing to do.
 
         work gets, for each input, the rows of its pending files.  before_commit is called
         between writing and committing (tests kill a run there).
         """
-        from ..functions.shared import written
-
         files = {k: written(self.pending(df), f"pending-{k}") for k, df in inputs.items()}
         counts = {k: f.count() for k, f in files.items()}
         if not any(counts.values()):
