@@ -107,8 +107,8 @@ _STREETS = (
     "straße", "strasse", "str. ", "gasse ", "weg ", "platz ", "allee ", "allée ", "box ", "postfach ", "apartado ", "postale ", "rue ", "avenue ", "boulevard ", "place ",
     "chemin ", "impasse ", "quai ", "calle ", "avenida ", "plaza ", "paseo ", "camino ", "via ", "viale ", "piazza ", "rua ",
 )
-#: Cheap test for a text that may hold a personal number: a digit and five more characters that stand in one.
-_DIGITS = re.compile(r"\d[\d ()./-]{5,}|[A-Za-z]\d{8}")
+#: Cheap test for a text that may hold a personal number: every form has six digits with few signs between, or begins with a plus.
+_DIGITS = re.compile(r"\d(?:[ ()./-]{0,3}\d){5}|\+\d")
 #: Any number that stands by itself.
 _NUMBER = re.compile(r"(?<![\w.,:/@#+-])\d[\d.,:/-]*(?![\w@])")
 #: Capitalised words in a row; the last two are the candidate.
@@ -131,12 +131,13 @@ class Lexicon:
 # ---- the graph --------------------------------------------------------------------------------------------------
 
 PAIRS = "kind string, pattern string, instance string, clear boolean, n bigint"
+_SOME_DIGITS = re.compile(r"\d+")
 _QUOTES = "\"'“”()[]<>*_"
 
 
 def _word(w: str) -> str:
     """A context word without its numbers and quotes."""
-    return re.sub(r"\d+", "9", w.lower()).strip(_QUOTES)
+    return w.lower() if w.isalpha() else _SOME_DIGITS.sub("9", w.lower()).strip(_QUOTES)
 
 
 def _left(text: str, at: int) -> list[str]:
