@@ -112,6 +112,24 @@ def fold(items: Items, complete: bool) -> tuple[list[np.ndarray], Items | None]:
     return nodes, Items(items.start[first], items.end[last], sums[last + 1] - sums[first], inside, done)
 
 
+def fold_many(us: np.ndarray, codes: np.ndarray, words: pa.Array) -> pa.RecordBatch:
+    """All nodes of the trees of several whole entities at once: codes tells whose each event is, gaps between two entities have no limit."""
+    gaps, border = np.diff(us), np.diff(codes) != 0
+    gaps[border] = INF
+    left, right = _bounds(gaps)
+    edge = np.concatenate([[INF], gaps, [INF]])
+    inner = np.flatnonzero(~border)
+    lo, hi = left[inner] + 1, right[inner]
+    k = np.arange(len(us))
+    cols = [
+        np.concatenate([us[lo], us]), np.concatenate([us[hi], us]), np.concatenate([hi - lo + 1, np.ones(len(us), np.int64)]), np.concatenate([gaps[inner], np.full(len(us), LEAF)]),
+        np.concatenate([np.minimum(edge[left[inner] + 1], edge[right[inner] + 1]), np.minimum(edge[k], edge[k + 1])]),
+    ]
+    who = np.concatenate([codes[lo], codes])
+    rest = [pa.array(np.full(len(who), NODE, np.int8)), pa.array(np.arange(len(who)), pa.int64())]
+    return pa.RecordBatch.from_arrays([words.take(pa.array(who)), *[pa.array(c, pa.int64()) for c in cols], *rest], names=["entity", *_COLS, "state", "seq"])
+
+
 def _rows(entity: str, cols: list[np.ndarray], state: np.ndarray | int) -> pa.RecordBatch:
     k = len(cols[0])
     state = np.full(k, state, np.int8) if isinstance(state, int) else state.astype(np.int8)
@@ -140,11 +158,14 @@ def _fold_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         if not batch.num_rows:
             continue
         names = batch.column(0).dictionary_encode()
-        codes, words = names.indices.to_numpy(zero_copy_only=False), names.dictionary.to_pylist()
+        codes, words = names.indices.to_numpy(zero_copy_only=False), names.dictionary
         us = batch.column(1).to_numpy(zero_copy_only=False)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1, [len(codes)]])
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            entity, items = words[codes[a]], Items.events(us[a:b])
+        # entities that begin and end in the batch, all but its first and last: one fold for all of them
+        if len(cuts) > 3:
+            put(fold_many(us[cuts[1] : cuts[-2]], codes[cuts[1] : cuts[-2]], words))
+        for a, b in [(0, cuts[1]), *([(cuts[-2], cuts[-1])] if len(cuts) > 2 else [])]:
+            entity, items = words[codes[a]].as_py(), Items.events(us[a:b])
             if carry and carry[0] == entity:
                 items = carry[1] + items
             elif carry:

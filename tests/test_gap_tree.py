@@ -2,7 +2,9 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fathomline.operators.gap_tree import INF, Items, cut_sessions, fold, gap_tree
+import pyarrow as pa
+
+from fathomline.operators.gap_tree import INF, Items, cut_sessions, fold, fold_many, gap_tree
 
 
 def brute(times, gap):
@@ -69,3 +71,29 @@ def test_null_ids_are_events_of_their_own(spark):
     tree = gap_tree(spark.createDataFrame(rows, "e string, us bigint, id bigint"), "e", "us", "id")
     got = sorted((r.start_us // s, r.end_us // s, r.n_events) for r in cut_sessions(tree, 1800 * s).collect())
     assert got == [(0, 0, 1), (10_000, 10_000, 1), (20_000, 20_010, 2)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 300), min_size=1, max_size=15), min_size=1, max_size=8), st.sampled_from([0, 1, 7, 60, 500]))
+def test_many_entities_in_one_fold(entities, gap):
+    us = np.concatenate([np.sort(np.array(t, np.int64)) for t in entities])
+    codes = np.repeat(np.arange(len(entities)), [len(t) for t in entities])
+    t = fold_many(us, codes, pa.array([f"e{k}" for k in range(len(entities))]))
+    got = {}
+    for e, a, b, n, own, parent, *_ in zip(*[c.to_pylist() for c in t.columns]):
+        if own <= gap < parent:
+            got.setdefault(e, []).append((a, b, n))
+    assert {e: sorted(x) for e, x in got.items()} == {f"e{k}": brute(t, gap) for k, t in enumerate(entities)}
+
+
+def test_many_small_and_one_large_entity(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"u{i % 4000:04d}", int(t), i) for i, t in enumerate(rng.integers(0, 10**6, 12_000))] + [("hot", int(t), 100_000 + i) for i, t in enumerate(rng.integers(0, 10**7, 20_000))]
+    tree = gap_tree(spark.createDataFrame(rows, "e string, us bigint, id bigint"), "e", "us", "id")
+    want = {}
+    for e, t, _ in rows:
+        want.setdefault(e, []).append(t)
+    got = {}
+    for r in cut_sessions(tree, 900).collect():
+        got.setdefault(r.entity, []).append((r.start_us, r.end_us, r.n_events))
+    assert {e: sorted(x) for e, x in got.items()} == {e: brute(t, 900) for e, t in want.items()}
