@@ -27,7 +27,7 @@ from .config import Config, load, put
 from .functions.shared import exists, tidied, written
 from .functions.text import adf_text, chunk_id, iso_before
 from .operators import changes, chunkers, code, encoders, evaluate, messages, render, router, search, windows
-from .sources import files
+from .sources import files, landed, pages
 from .sources.store import BUCKETS, ChunkStore
 
 CHUNK = (
@@ -253,6 +253,28 @@ class Engine:
         self._commit(due, "sessions", "session_id", "at")
         return due.count()
 
+    def pull(self, kind: str, addresses: dict[str, str], users: str | None = None, now: str | None = None, **options) -> int:
+        """Fetches a kind of source (pages.STORES) from a service and syncs it; addresses: source (repository, instance, channel) -> where its first page is."""
+        pages.register(self.spark)
+        names = self.spark.createDataFrame([(a, s) for s, a in addresses.items()], "address string, source string")
+
+        def values(what: str, at: list[str]) -> DataFrame:
+            read = self.spark.read.format("paged_api").options(**pages.options_of(what, **options), addresses=" ".join(at))
+            return written(read.load().join(names, "address", "left"), "fetched")
+
+        if kind == "slack":
+            return self.sync_chat(landed.messages(values("messages", list(addresses.values())), "source"), landed.users(values("users", [users])))
+        rows = values({"jira": "tickets", "slite": "pages"}.get(kind, kind), list(addresses.values()))
+        if kind == "slite":
+            return self.sync_pages(landed.pages(rows))
+        if kind == "prs":
+            return self.sync_changes(*landed.changes(rows, "source"), now)
+        return (self.sync_issues if kind == "issues" else self.sync_tickets)(*(landed.issues if kind == "issues" else landed.tickets)(rows, "source"), now)
+
+    def sync_session_files(self, path: str, modified_after: str | None = None) -> int:
+        """Logs of assistant sessions below a folder, a file each; files older than modified_after aren't opened."""
+        return self.sync_sessions(landed.session_entries(files.json_lines(self.spark, path, modified_after)))
+
     # ---- keeping house
 
     def views(self) -> None:
@@ -432,6 +454,8 @@ def main(argv: list[str] | None = None) -> None:
     command("index", "path", repo=None, full=False)
     command("docs", "path", globs="")
     command("sync", "kind", "rows", comments="", files="", users="", now="")
+    command("pull", "kind", "source", "address", users="", secret="", now="")
+    command("sessions", "path", after="")
     command("search", "query", scope="all", prefer_repo="")
     command("remove", "repo")
     command("refresh", full=False)
@@ -470,6 +494,10 @@ def main(argv: list[str] | None = None) -> None:
         if args.kind not in kinds:
             p.error(f"a kind is one of {', '.join(kinds)}")
         print(f"{args.kind}: {kinds[args.kind]()} taken")
+    elif args.do == "pull":
+        print(f"{args.kind}: {engine.pull(args.kind, {args.source: args.address}, args.users or None, args.now or None, **({'secret': args.secret} if args.secret else {}))} taken")
+    elif args.do == "sessions":
+        print(f"{engine.sync_session_files(args.path, args.after or None)} sessions taken")
     elif args.do == "search":
         asked = spark.createDataFrame([(1, args.query)], "qid int, query string")
         print(engine.answers(asked, scope=args.scope, prefer_repo=args.prefer_repo, log=True).first().answer)

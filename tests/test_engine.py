@@ -265,6 +265,94 @@ def test_pages(spark, tmp_path):
     assert list(pages.walk("x", flaky, {}, pause=lambda s: None)) == [{"id": 1}] and len(calls) == 3
 
 
+@pytest.fixture
+def service():
+    """A service that pages by link, by token and by cursor, is busy now and then, and wants a secret."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import parse_qs, urlsplit
+
+    busy = set()
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            at, base = urlsplit(self.path), f"http://127.0.0.1:{self.server.server_port}"
+            q = {k: v[0] for k, v in parse_qs(at.query).items()}
+            headers, code = {}, 200
+            if self.headers.get("Authorization") != "Bearer hush":
+                code, answer = 403, {}
+            elif at.path == "/issues":
+                n = int(q.get("page", 1))
+                answer = [{"number": k, "updated_at": f"2025-0{9 - k}", "comments_url": f"{base}/comments/{k}", "state": "open" if k % 2 else "closed"} for k in (2 * n - 1, 2 * n)]
+                headers = {"Link": f'<{base}/issues?page={n + 1}>; rel="next"'} if n < 3 else {}
+            elif at.path.startswith("/comments/"):
+                answer = [{"body": f"said on {at.path[-1]}"}]
+            elif at.path == "/search":
+                answer = {"issues": [{"key": q.get("nextPageToken", "first")}], "nextPageToken": {"first": "second", "second": "third"}.get(q.get("nextPageToken", "first"))}
+            else:
+                answer = {"messages": [{"ts": q.get("cursor", "0"), "channel": q["channel"]}], "response_metadata": {"next_cursor": "" if q.get("cursor") else "1"}}
+            if code == 200 and self.path not in busy and "page=2" in self.path:
+                busy.add(self.path)
+                code, answer, headers = 429, {}, {"Retry-After": "0"}
+            raw = json.dumps(answer).encode()
+            self.send_response(code)
+            for k, v in headers.items():
+                self.send_header(k, v)
+            self.end_headers()
+            self.wfile.write(raw)
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_services(spark, service, monkeypatch):
+    import urllib.error
+
+    monkeypatch.setenv("SECRET_OF_TEST", "hush")
+    read = lambda kind, at, **more: [x for a in at for x in pages.walk(f"{service}{a}", pages.http_page, pages.options_of(kind, secret="SECRET_OF_TEST", **more), pause=lambda s: None)]
+    got = read("issues", ["/issues"])
+    assert [x["number"] for x in got] == [1, 2, 3, 4, 5, 6] and got[3]["comments_list"] == [{"body": "said on 4"}]
+    assert [x["number"] for x in read("issues", ["/issues"], only={"state": ["closed"]}, children={})] == [2, 4, 6]
+    assert [x["number"] for x in read("prs", ["/issues"], children={}, since="2025-06")] == [1, 2, 3]  # the list descends: the third page isn't asked for
+    assert [x["key"] for x in read("tickets", ["/search"])] == ["first", "second", "third"]
+    assert [(x["channel"], x["ts"]) for x in read("messages", ["/history?channel=a", "/history?channel=b"])] == [("a", "0"), ("a", "1"), ("b", "0"), ("b", "1")]
+    with pytest.raises(urllib.error.HTTPError):
+        list(pages.walk(f"{service}/issues", pages.http_page, pages.options_of("issues")))
+    with pytest.raises(pages.Retry):
+        list(pages.walk("http://127.0.0.1:9/none", pages.http_page, {"tries": "2"}, pause=lambda s: None))
+    pages.register(spark)
+    df = spark.read.format("paged_api").options(**pages.options_of("messages", headers={"Authorization": "Bearer hush"}), addresses=f"{service}/history?channel=a {service}/history?channel=b").load()
+    assert sorted(json.loads(r.value)["channel"] for r in df.collect()) == ["a", "a", "b", "b"] and df.rdd.getNumPartitions() == 2
+
+
+def test_records_as_services_send_them(spark, tmp_path):
+    from fathomline.sources import landed
+
+    make = lambda *x: spark.createDataFrame([("r", json.dumps(v) if v is not None else "broken") for v in x], "source string, value string")
+    issue = {"number": 1, "title": "T", "body": None, "state": "open", "user": {"login": "ann"}, "labels": [{"name": "bug"}], "created_at": "1", "updated_at": "2", "comments_list": [{"body": "b", "user": None, "created_at": "3"}]}
+    flat, said = landed.issues(make(issue, {**issue, "number": 2, "pull_request": {"url": "x"}, "comments_list": []}, None), "source")
+    assert [(r.issue_number, r.author_login, r.labels, r.pull_request) for r in flat.orderBy("issue_number").collect()] == [(1, "ann", ["bug"], None), (2, "ann", ["bug"], '{"url":"x"}')]
+    assert [tuple(r) for r in said.collect()] == [("r", 1, 0, None, "b", "3")]
+    prs, changed, talk = landed.changes(make({"number": 5, "title": "P", "files": [{"filename": "a.py", "status": "added", "patch": "@@"}], "comments": [{"body": "nit", "path": "a.py", "user": {"login": "bob"}}]}), "source")
+    assert prs.first().pr_number == 5 and changed.first().filename == "a.py" and talk.first().user == "bob"
+    tree = {"type": "doc", "content": [{"type": "paragraph", "content": [{"type": "text", "text": "x"}]}]}
+    ticket, notes = landed.tickets(make({"key": "K-1", "fields": {"summary": "S", "description": tree, "status": {"name": "open"}, "reporter": {"displayName": "Ann"}, "labels": ["l"], "updated": "u", "comment": {"comments": [{"author": {"displayName": "Bob"}, "body": tree, "created": "c"}]}}}), "source")
+    assert json.loads(ticket.first().description) == tree and ticket.first().reporter == "Ann" and json.loads(notes.first().body) == tree
+    assert landed.pages(make({"id": "p", "title": "T", "lastEditedAt": None})).first().last_edited_at == ""
+    assert landed.messages(make({"ts": "1.0", "user": "U1", "text": "hi"}), "source").first().channel_id == "r" and landed.users(make({"id": "U1", "name": "a", "profile": {"display_name": "A"}})).first().display_name == "A"
+    folder = Path(tmp_path, "proj")
+    folder.mkdir()
+    lines = [{"type": "user", "message": {"role": "user", "content": "go"}, "cwd": "/w"}, "broken", {"type": "assistant", "message": {"role": "assistant", "content": [{"type": "text", "text": "done"}]}}, {"type": "summary"}]
+    Path(folder, "s1.jsonl").write_text("".join((x if isinstance(x, str) else json.dumps(x)) + "\n" for x in lines))
+    got = landed.session_entries(files.json_lines(spark, str(tmp_path))).orderBy("entry_id").collect()
+    assert [(r.session_id, r.folder, r.entry_id, r.entry_type) for r in got] == [("s1", "proj", 1, "user"), ("s1", "proj", 2, "assistant"), ("s1", "proj", 3, "summary")] and json.loads(got[0].message)["content"] == "go"
+
+
 def test_config(tmp_path):
     user, project = tmp_path / "u.yaml", tmp_path / "p.yaml"
     user.write_text("retrieval: {top_k: 7, final_k: 3, unknown: 1}\nother: 2\n")
