@@ -560,6 +560,16 @@ def chk13_hunks(spark, sf):
     return d.select("doc_id", F.size(chunkers.hunks(patch)).cast("bigint").alias("n_hunks"))
 
 
+@query("""WITH d AS (SELECT source, doc_id, 'f' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.yml' WHEN 1 THEN '.kt' ELSE '.tar' END AS p, regexp_replace(text, '^﻿', '') AS t FROM documents WHERE source IS NOT NULL AND trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')
+SELECT substr(sha256(source || ':' || p || ':__file__:1'), 1, 16) AS chunk_id, source AS repo, p AS file_path, CASE doc_id % 3 WHEN 0 THEN 'yaml' ELSE 'kotlin' END AS language, p AS entity_name, 'file' AS entity_type,
+'1-' || (1 + length(t) - length(replace(t, chr(10), ''))) AS line_range, CASE WHEN length(t) > 2048 THEN left(t, 2048) || chr(10) || '# ... (truncated)' ELSE t END AS text FROM d WHERE doc_id % 3 < 2""")
+def chk11_whole_files(spark, sf):
+    """CHK-11/19/20: files of languages without entities (documents stand in for them), one chunk each; unknown suffixes none."""
+    kind = F.element_at(F.array(F.lit(".yml"), F.lit(".kt"), F.lit(".tar")), (F.col("doc_id") % 3 + 1).cast("int"))
+    d = table(spark, sf, "documents").filter("source is not null").select(F.col("source").alias("repo"), F.concat(F.lit("f"), F.col("doc_id").cast("string"), kind).alias("file_path"), "text")
+    return code.code_chunks(d).select("chunk_id", "repo", "file_path", "language", "entity_name", "entity_type", "line_range", "text")
+
+
 _CUT = "CASE WHEN length(t) > 2048 THEN left(t, 2048) || chr(10) || '# ... (truncated)' ELSE t END"
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(8232) || chr(8233) || chr(12288)"
 
