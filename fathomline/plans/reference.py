@@ -1,7 +1,7 @@
 """Queries of the retrieval engine's own operators over the project's tables, with the SQL they are checked against.
 
 A name begins with the id of the operator; each calls the operator as the engine does.  SQL stands beside the query where SQL can say the
-same over whole tables, written from the operator's definition; code chunks and packing of long sections have tests instead.
+same over whole tables, written from the operator's definition; code chunks have tests instead.
 """
 
 from __future__ import annotations
@@ -537,7 +537,22 @@ def chk02_paragraphs(spark, sf):
     return out.select("doc_id", "section_path", F.length("text").cast("bigint").alias("n"), F.sha2("text", 256).alias("hash"))
 
 
-@query()
+# a word that begins at a goes on the piece as long as its end, from where the piece's own words begin, leaves room for the tail of the piece before
+_PACKED = rf"""p AS (SELECT doc_id, source, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, source, regexp_split_to_array(text, '\n{_WS}*\n') AS ps FROM documents WHERE text <> '')),
+b AS (SELECT doc_id, coalesce(source || '/' || doc_id || '.txt', '') AS path, i, regexp_replace(regexp_replace(p, '^{_WS}+', ''), '{_WS}+$', '') AS body FROM p),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS section_index FROM b WHERE body <> ''),
+w1 AS (SELECT doc_id, i, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM (SELECT doc_id, i, string_split(body, ' ') AS ws FROM c WHERE length(body) > 2048)),
+w AS (SELECT doc_id, i, j, sum(length(word) + 1) OVER (PARTITION BY doc_id, i ORDER BY j) - 1 AS e, sum(length(word) + 1) OVER (PARTITION BY doc_id, i ORDER BY j) - 1 - length(word) AS a FROM w1),
+r AS (SELECT doc_id, i, 0::BIGINT AS k, 1::BIGINT AS j, ''::VARCHAR AS tail, ''::VARCHAR AS held FROM w WHERE j = 1
+ UNION ALL SELECT n.doc_id, n.i, n.k + 1, n.nj, right(n.h, 200), n.h FROM (SELECT m.*, CASE WHEN tail = '' THEN '' ELSE tail || ' ' END || substr(body, (fa + 1)::BIGINT, (le - fa)::BIGINT) AS h FROM
+  (SELECT r.doc_id, r.i, r.k, r.tail, min(w.a) AS fa, max(w.e) AS le, max(w.j) + 1 AS nj FROM r JOIN w f ON f.doc_id = r.doc_id AND f.i = r.i AND f.j = r.j
+   JOIN w ON w.doc_id = r.doc_id AND w.i = r.i AND w.j >= r.j AND (w.j = r.j OR w.e - f.a + length(r.tail) + CASE WHEN r.tail = '' THEN 0 ELSE 1 END <= 2048) GROUP BY r.doc_id, r.i, r.k, r.tail) m JOIN c USING (doc_id, i)) n),
+o AS (SELECT doc_id, i, k, regexp_replace(regexp_replace(held, '^{_WS}+', ''), '{_WS}+$', '') AS text FROM r WHERE k > 0 UNION ALL SELECT doc_id, i, 1, body FROM c WHERE length(body) <= 2048),
+q AS (SELECT o.*, path, section_index, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS chunk_index FROM o JOIN c USING (doc_id, i) WHERE text <> '')"""
+
+
+@query(f"""WITH RECURSIVE {_PACKED} SELECT doc_id, substr(sha256('doc:' || path || ':Paragraph ' || i || ':' || chunk_index), 1, 16) AS chunk_id, 'Paragraph ' || i AS section_path, section_index::INT AS section_index, chunk_index::INT AS chunk_index,
+text, 'Paragraph ' || i AS entity_name FROM q""")
 def chk03_documents(spark, sf):
     """CHK-03: documents cut to size with overlap."""
     docs = table(spark, sf, "documents").select("doc_id", "text", F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
