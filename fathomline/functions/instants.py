@@ -19,6 +19,7 @@ Defined results
 from __future__ import annotations
 
 import functools
+import re
 import zoneinfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,7 +65,9 @@ _FIELDS = {
     "p": "acde", "z": "abcde", "b": "acde",
 }
 _SEP = "\u0001"
-REPLACEMENT = _SEP.join(["".join(f"${{{k}{s}}}" for s in ss) for k, ss in _FIELDS.items()] + ["${n}", "${nf}"])
+#: All groups are named, so they count in the order of their names; numbers are found faster than names.
+_GROUP = {name: f"${i}" for i, name in enumerate(re.findall(r"\(\?<(\w+)>", PATTERN), 1)}
+REPLACEMENT = _SEP.join(["".join(_GROUP[k + s] for s in ss) for k, ss in _FIELDS.items()] + [_GROUP["n"], _GROUP["nf"]])
 _AT = {k: i for i, k in enumerate([*_FIELDS, "n", "nf"])}
 
 
@@ -110,18 +113,19 @@ def with_instant(df: DataFrame, value_col: str, out: str = "utc_us", zone_col: s
     df = df.select("*", F.explode(F.array(_components(raw))).alias(c))
     ok = F.size(c) == len(_AT)
     at = lambda k: F.when(ok, F.col(c)[_AT[k]])
-    num = lambda k, kind="int": at(k).try_cast(kind)
+    # the expression lets digits through only; an empty group isn't cast, as a cast that fails costs more than all the rest
+    num = lambda k, kind="int": F.when(at(k) != "", at(k).cast(kind))
     name = F.lower(F.substring(at("m"), 1, 3))
-    month = F.coalesce(num("m"), F.when(F.length(name) == 3, F.floor((F.instr(F.lit(_MONTH_STARTS), name) - 1) / 3).cast("int") + 1))
+    month = F.when(F.length(name) == 3, F.floor((F.instr(F.lit(_MONTH_STARTS), name) - 1) / 3).cast("int") + 1).otherwise(num("m"))
     year = F.when(F.length(at("y")) == 2, num("y") + 2000).otherwise(num("y"))
     part = lambda k: F.when(at(k) == "", 0).otherwise(num(k))
     df = df.select(
         "*",
         F.struct(
             year.alias("y"), month.alias("m"), num("d").alias("d"), part("H").alias("hh"), part("M").alias("mi"), part("S").alias("ss"),
-            F.rpad(F.substring(at("f"), 1, 6), 6, "0").try_cast("int").alias("f"), F.lower(at("p")).alias("p"),
+            F.rpad(F.substring(at("f"), 1, 6), 6, "0").cast("int").alias("f"), F.lower(at("p")).alias("p"),
             F.when(at("z") != "", at("z")).when(at("b") != "", at("b")).alias("z"),
-            num("n", "bigint").alias("n"), F.rpad(F.substring(at("nf"), 1, 6), 6, "0").try_cast("int").alias("nf"),
+            num("n", "bigint").alias("n"), F.rpad(F.substring(at("nf"), 1, 6), 6, "0").cast("int").alias("nf"),
         ).alias(f),
     )
     df = df.withColumn(f, F.explode(F.array(F.col(f))))
@@ -139,7 +143,7 @@ def with_instant(df: DataFrame, value_col: str, out: str = "utc_us", zone_col: s
     df = df.select("*", F.explode(F.array(F.struct(local.alias("local"), offset.alias("o"), z.alias("z"), own.alias("own"), n.alias("n"), g("nf").alias("nf")))).alias(h)).drop(c, f)
     k = lambda name: F.col(h)[name]
     local, z, own, n, o = k("local"), k("z"), k("own"), k("n"), k("o")
-    oh, om = o[1].try_cast("int"), F.coalesce(o[2].try_cast("int"), F.lit(0))
+    oh, om = o[1].cast("int"), F.when(o[2] != "", o[2].cast("int")).otherwise(0)
     shifted = F.when((oh <= 18) & (om <= 59), local - (oh * 60 + om) * F.when(o[0] == "-", -60000000).otherwise(60000000).cast("long"))
     fixed = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])[F.upper(z)]
     by_zone = lambda zone: F.when(zone.isin(*zone_names()), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), zone)))
