@@ -407,12 +407,22 @@ class Finder:
         return sorted(taken)
 
 
+_LAST: list = [None, None]
+
+
+def finder_of(lexicon: Lexicon) -> Finder:
+    """The finder of a lexicon, built once in each worker, not in each task: what is broadcast stays the same object there."""
+    if _LAST[0] is not lexicon:
+        _LAST[:] = [lexicon, Finder(lexicon)]
+    return _LAST[1]
+
+
 def find_places(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     """rows: tab, row_key, text -> (tab, row_key, kind, start_pos)."""
     shipped = rows.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(shipped.value)
+        finder = finder_of(shipped.value)
         for batch in batches:
             at, kinds, starts = [], [], []
             for i, t in enumerate(batch.column(2).to_pylist()):
@@ -442,7 +452,7 @@ def redact(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
         return "".join([*parts, t[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(shipped.value)
+        finder = finder_of(shipped.value)
         for batch in batches:
             text = pa.array([cleaned(finder, t) for t in batch.column(2).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text], names=["tab", "row_key", "text"])
