@@ -432,6 +432,16 @@ def ret12_infer_repo(spark, sf):
     return search.infer_repo(cwd, cwd.select(root.alias("repo_path"), root.alias("name")).filter("name <> ''").distinct())
 
 
+@query(rf"""WITH t AS (SELECT doc_id, collection, {_TOKENS.format("text")} AS ts FROM documents WHERE text IS NOT NULL)
+SELECT collection, count(*) AS n_chunks, sum(len(list_distinct(ts)))::BIGINT AS n_postings, sum(len(ts))::BIGINT AS n_terms FROM t GROUP BY 1""")
+def snk01_index(spark, sf):
+    """SNK-01, ENC-04: the documents indexed anew: chunks with vectors, and their postings."""
+    _STORES.pop((spark.sparkContext.applicationId, sf), None)
+    store = _indexed(spark, sf)
+    held = store.read_derived("postings").groupBy("collection").agg(F.count("*").alias("n_postings"), F.sum("tf").alias("n_terms"))
+    return store.count().join(held, "collection", "left").select("collection", "n_chunks", F.coalesce("n_postings", F.lit(0)).alias("n_postings"), F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
+
+
 @query("SELECT collection, count(*) AS n_chunks FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def ret15_count(spark, sf):
     """RET-15, AGG-02: exact number of rows of a collection of the index."""
