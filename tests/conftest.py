@@ -20,6 +20,9 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from fathomline.shipping import ship
+
+    ship(s)
     yield s
     s.stop()
 
